@@ -10,6 +10,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -65,11 +66,11 @@ def quantile(p: float, df: float) -> float:
     return (low + high) / 2.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([two_sided_p(a, b) for a, b in zip(t, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([quantile(a, b) for a, b in zip(p, df)])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sourcetrust.functions.session import new_folder
+
 MAX_BROADCAST_CELLS = 4_000_000
 SALTS = 64
 
@@ -25,18 +26,21 @@ class Sized:
 
 
 def sized(table: DataFrame | Sized, measure: Column | None = None) -> Sized:
-    """Compute an aggregate once and count its rows.
+    """Compute a small table once and count its rows.
 
-    Lost blocks are recomputed from lineage, so this is safe when executors vanish.
+    The table is written to the shared folder, so what follows neither recomputes it nor
+    carries its plan, and a lost executor loses nothing. A `Sized` is only measured.
     """
     if isinstance(table, Sized) and measure is None:
         return table
     if isinstance(table, Sized):
-        table = table.table
-    if not table.is_cached:
-        table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    rows, largest = table.agg(F.count("*"), F.max(measure) if measure is not None else F.lit(0)).first()
-    return Sized(table, rows, largest or 0)
+        stored = table.table
+    else:
+        folder = new_folder(table.sparkSession, "table")
+        table.write.parquet(folder)
+        stored = table.sparkSession.read.schema(table.schema).parquet(folder)
+    rows, largest = stored.agg(F.count("*"), F.max(measure) if measure is not None else F.lit(0)).first()
+    return Sized(stored, rows, largest or 0)
 
 
 def lookup_join(

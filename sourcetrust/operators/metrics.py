@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sourcetrust.operators.joins import sized
 from sourcetrust.operators.ordering import global_prefix_sum
 
 
@@ -111,7 +112,7 @@ def roc_points(df: DataFrame, y_true: str = "y_true", score: str = "score") -> D
         F.count_if(F.col(y_true) == 1).alias("pos"), F.count_if(F.col(y_true) == 0).alias("neg")
     )
     running = global_prefix_sum(by_score, [F.desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")})
-    totals = df.agg(F.count_if(F.col(y_true) == 1).alias("_p"), F.count_if(F.col(y_true) == 0).alias("_n"))
+    totals = running.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))  # from the checkpoint
     joined = running.join(F.broadcast(totals))  # one row
     return joined.withColumns({"tpr": ratio(F.col("tp"), F.col("_p")), "fpr": ratio(F.col("fp"), F.col("_n"))})
 
@@ -132,9 +133,10 @@ def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score") -> Data
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
-    """Counts in equal bins over [min, max]; the last bin is closed."""
+    """Counts in equal bins over [min, max] of a per-source table; the last bin is closed."""
+    df = sized(df.select(value)).table
     edges = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    placed = df.select(value).join(F.broadcast(edges))  # one row
+    placed = df.join(F.broadcast(edges))  # one row
     width = (F.col("_hi") - F.col("_lo")) / bins
     bin_ = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)))
     counts = placed.filter(F.col(value).isNotNull()).groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))

@@ -23,16 +23,16 @@ def share_out(counts: DataFrame, source: list[str], label: str, total: Column) -
     """
     per_source = W.partitionBy(*source)
     wide = lambda c: c.cast("decimal(19,0)")
-    sized = counts.withColumn("n_source", F.sum("n").over(per_source)).withColumn("_total", total.cast("bigint"))
+    shares = counts.withColumn("n_source", F.sum("n").over(per_source)).withColumn("_total", total.cast("bigint"))
     product = wide(F.col("_total")) * wide(F.col("n"))
-    sized = (
-        sized.withColumn("_floor", F.floor(product / wide(F.col("n_source"))).cast("bigint"))
+    shares = (
+        shares.withColumn("_floor", F.floor(product / wide(F.col("n_source"))).cast("bigint"))
         .withColumn("_rest", (product % wide(F.col("n_source"))))
     )
     order = W.partitionBy(*source).orderBy(F.desc("_rest"), F.col(label))
     spare = F.col("_total") - F.sum("_floor").over(per_source)
     extra = F.when(F.row_number().over(order) <= spare, 1).otherwise(0)
-    return sized.withColumn("quota", (F.col("_floor") + extra).cast("bigint")).drop("_total", "_floor", "_rest")
+    return shares.withColumn("quota", (F.col("_floor") + extra).cast("bigint")).drop("_total", "_floor", "_rest")
 
 
 def split_stratified(
@@ -125,9 +125,10 @@ def weight_quotas(weights: DataFrame, cap: int | None = CAP, base: int = CAP, so
     quota = F.floor(F.round(F.col("weight") * F.col("_k") * float(base), 6)).cast("bigint")
     if cap is not None:
         quota = F.least(quota, F.lit(cap).cast("bigint"))
+    weights = sized(weights).table
     totals = weights.agg(F.count("*").cast("double").alias("_k"))
-    sized = weights.join(F.broadcast(totals))  # one row
-    return sized.withColumn("quota", F.greatest(quota, F.lit(0).cast("bigint"))).drop("_k")
+    shared = weights.join(F.broadcast(totals))  # one row
+    return shared.withColumn("quota", F.greatest(quota, F.lit(0).cast("bigint"))).drop("_k")
 
 
 def quota_sample(

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sourcetrust.functions.vectors import LN2, squared_distance
-from sourcetrust.operators.joins import lookup_join
+from sourcetrust.operators.joins import lookup_join, sized
 from sourcetrust.operators.ordering import global_prefix_sum
 
 # fixed values: constants of the trust rules
@@ -241,6 +241,7 @@ def trust_weights(
     """
     by = by or []
     beta = beta if isinstance(beta, Column) else F.lit(beta)
+    trust = sized(trust).table
     base = F.greatest(F.col("trust"), F.lit(0.0))
     if min_trust > 0:
         base = F.when(base >= min_trust, base).otherwise(F.lit(0.0))
@@ -255,6 +256,7 @@ def trust_weights(
 
 def equal_weights(sources: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
+    sources = sized(sources).table
     totals = sources.groupBy(*by).agg(F.count("*").alias("_k"))
     joined = lookup_join(sources, totals, by, "inner") if by else sources.join(F.broadcast(totals))  # one row
     return joined.withColumn("weight", 1.0 / F.col("_k")).drop("_k")

@@ -88,10 +88,18 @@ def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as predictions: truth is an error event, the rule predicts value > 50."""
-    return table(spark, sf_dir, "events").select(
+    return predictions(table(spark, sf_dir, "events"))
+
+
+def predictions(events: DataFrame, source: str = "client") -> DataFrame:
+    """Events as predictions: truth is an error event, the rule predicts value > 50.
+
+    A source is one of twelve user groups, or with `source="user"` a single user.
+    """
+    number = F.col("user_id") % 12 if source == "client" else F.col("user_id")
+    return events.select(
         "event_id",
-        F.concat(F.lit("client_"), (F.col("user_id") % 12).cast("string")).alias("client_id"),
+        F.concat(F.lit(f"{source}_"), number.cast("string")).alias("client_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).alias("y_true"),
         F.when(F.col("value") > 50, 1).otherwise(0).alias("y_pred"),
