@@ -18,10 +18,14 @@ def hash_hex(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[_part(p) for p in parts]))
 
 
+def hex_uniform(hex_: Column, at: int = 1) -> Column:
+    """Uniform double in [0, 1) from the eight hex digits starting at `at`."""
+    return F.conv(F.substring(hex_, at, 8), 16, 10).cast("bigint") / F.lit(float(2**32))
+
+
 def hash_uniform(*parts) -> Column:
     """Uniform double in [0, 1) from the first 32 bits of the hash."""
-    head = F.conv(F.substring(hash_hex(*parts), 1, 8), 16, 10).cast("bigint")
-    return head / F.lit(float(2**32))
+    return hex_uniform(hash_hex(*parts))
 
 
 def hash_slot(n: Column, *parts) -> Column:
@@ -30,8 +34,7 @@ def hash_slot(n: Column, *parts) -> Column:
     return head % n + F.lit(1)
 
 
-def hash_normal(*parts) -> Column:
-    """Standard normal draw (Box-Muller on two hash uniforms)."""
-    u = hash_uniform(*parts, "u")
-    v = hash_uniform(*parts, "v")
+def hex_normal(hex_: Column, first: int, second: int) -> Column:
+    """Standard normal draw: Box-Muller on two groups of eight hex digits."""
+    u, v = hex_uniform(hex_, first), hex_uniform(hex_, second)
     return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2.0 * F.pi() * v)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sourcetrust.functions.keys import hash_hex, hash_normal, hash_uniform
+from sourcetrust.functions.keys import hash_hex, hash_uniform, hex_normal, hex_uniform
 from sourcetrust.operators.joins import Sized, lookup_join, sized
 from sourcetrust.operators.picking import (
     BUCKET_ROWS, group_sizes, hash_cuts, mark_first, picked_by_hash, picked_by_score, score_cuts,
@@ -150,13 +150,8 @@ def _flip_marked(df: DataFrame, label: str) -> DataFrame:
 
 
 def important_features(features: list[str]) -> Column:
-    """Names of the features to target, given `feature_stats` columns.
-
-    More than five features: the max(5, floor(0.2 F)) with the largest std, constant ones
-    left out. Otherwise all of them.
-    """
-    if len(features) <= 5:
-        return F.array(*[F.lit(f) for f in features])
+    """Names of the max(5, floor(0.2 F)) features with the largest std, constant ones left
+    out, given `feature_stats` columns."""
     ranked = F.array_sort(
         F.filter(
             F.array(*[
@@ -169,37 +164,66 @@ def important_features(features: list[str]) -> Column:
     return F.transform(F.slice(ranked, 1, max(5, int(len(features) * 0.2))), lambda e: e["f"])
 
 
-def chosen_features(pool: Column, count: Column, seed: int, key: Column) -> Column:
-    """`count` members of `pool`, drawn per row by hash."""
-    order = F.array_sort(F.transform(pool, lambda f: F.struct(hash_hex(seed, "feature", key, f).alias("h"), f.alias("f"))))
-    return F.transform(F.slice(order, F.lit(1), count), lambda e: e["f"])
+def corruption_plan(features: list[str], targeted: Column) -> dict[str, Column]:
+    """Columns of the per-source table that say how a corrupted row is hit.
+
+    `_count`: max(1, floor(0.1 F)) of all features, or with `targeted` max(1, floor(0.3 P))
+    of the P most variable ones, whose names are `_pool`. Up to five features all of them
+    are candidates either way and there is no `_pool`.
+    """
+    few = max(1, int(len(features) * 0.1))
+    if len(features) <= 5:
+        return {"_count": F.when(targeted, F.lit(max(1, int(len(features) * 0.3)))).otherwise(F.lit(few))}
+    aimed = important_features(features)
+    some = F.greatest(F.lit(1), F.floor(F.size(aimed) * 0.3).cast("int"))
+    return {"_pool": F.when(targeted, aimed), "_count": F.when(targeted, some).otherwise(F.lit(few))}
+
 
+def corrupted(feature: str, draw: Column, sigmas: float, noise_only: bool = False) -> Column:
+    """New value of one feature: noise of `sigmas` std, or a uniform value in [min, max].
 
-def corrupted(feature: str, seed: int, key: Column, sigmas: float, noise_only: bool = False) -> Column:
-    """New value of one feature: noise of `sigmas` std, or a uniform value in [min, max]."""
+    `draw` is the hash that chose the feature. Its first eight digits decided the choice,
+    the other three groups of eight give the noise, and the coin between the two kinds.
+    """
     x, std = F.col(feature).cast("double"), F.coalesce(F.col(f"_std_{feature}"), F.lit(0.0))
-    low, high = F.col(f"_min_{feature}"), F.col(f"_max_{feature}")
-    noisy = x + hash_normal(seed, "noise", key, feature) * (std * sigmas)
+    noisy = x + hex_normal(draw, 9, 17) * (std * sigmas)
     if noise_only:
         return noisy
-    coin = hash_uniform(seed, "coin", key, feature) < 0.5
-    return F.when(coin, noisy).otherwise(low + hash_uniform(seed, "value", key, feature) * (high - low))
+    low, high = F.col(f"_min_{feature}"), F.col(f"_max_{feature}")
+    return F.when(hex_uniform(draw, 25) < 0.5, noisy).otherwise(low + hex_uniform(draw, 9) * (high - low))
+
+
+# sorts after every hex digit: a feature outside the pool is never among the first
+OUTSIDE = "g"
 
 
 def _apply_corruption(
-    df: DataFrame, features: list[str], flag: Column, pool: Column, count: Column, seed: int, key: str,
-    sigmas: float = 3.0, noise_only: bool = False,
+    df: DataFrame, features: list[str], seed: int, key: str, sigmas: float = 3.0, noise_only: bool = False
 ) -> DataFrame:
-    """Replace chosen features of flagged rows; `df` carries `feature_stats` columns."""
-    names = F.when(flag, chosen_features(pool, count, seed, F.col(key)))
-    picked = df.withColumn("_chosen", names)
+    """Replace features of rows flagged `corrupted`.
+
+    `df` carries `feature_stats` and `corruption_plan` columns. A row loses the `_count`
+    candidate features whose hashes come first.
+    """
+
+    def draw(f: str) -> Column:
+        own = hash_hex(seed, "feature", F.col(key), F.lit(f))
+        if "_pool" in df.columns:
+            own = F.when(F.coalesce(F.array_contains("_pool", f), F.lit(True)), own).otherwise(OUTSIDE)
+        return F.when(F.col("corrupted"), own)
+
+    hashes = {f"_h_{f}": draw(f) for f in features}
+    last = F.try_element_at(F.sort_array(F.array(*[F.col(h) for h in hashes])), F.col("_count"))
+    last = F.when(F.col("corrupted"), F.when(F.col("_count") == 1, F.least(*hashes)).otherwise(last) if len(features) > 1 else F.col(*hashes))
+    drawn = df.withColumns(hashes).withColumn("_last", last)
     new = {
         f: F.when(
-            F.coalesce(F.array_contains("_chosen", f), F.lit(False)), corrupted(f, seed, F.col(key), sigmas, noise_only)
+            F.col("corrupted") & (F.col(f"_h_{f}") <= F.col("_last")) & (F.col(f"_h_{f}") != OUTSIDE),
+            corrupted(f, F.col(f"_h_{f}"), sigmas, noise_only),
         ).otherwise(F.col(f).cast("double"))
         for f in features
     }
-    return picked.withColumns(new).drop("_chosen")
+    return drawn.withColumns(new).drop("_last", "_pool", "_count", *hashes)
 
 
 def corrupt_features(
@@ -226,23 +250,13 @@ def corrupt_features(
     quotas = stats.derive(stats.table.select(source, "n", share_of(F.col("n"), ratio).alias("quota")))
     cuts = hash_cuts(keyed, [source], "_key", quotas, bucket_rows)
     per_source = lookup_join(stats.table.drop("n"), cuts.derive(_hidden(cuts.table)), [source])
+    per_source = per_source.withColumns(corruption_plan(features, F.lit(targeted)))
     marked = lookup_join(keyed, stats.derive(per_source), [source])
-    flag = picked_by_hash("_key", "_n", "_quota", "_cut")
-    pool, count = corruption_plan(features, targeted)
-    changed = _apply_corruption(
-        marked.withColumn("corrupted", flag), features, F.col("corrupted"), pool, count, seed, key, sigmas, noise_only
-    )
+    marked = marked.withColumn("corrupted", picked_by_hash("_key", "_n", "_quota", "_cut"))
+    changed = _apply_corruption(marked, features, seed, key, sigmas, noise_only)
     return changed.drop("_key", "_n", "_quota", "_cut", *_stat_names(features))
 
 
-def corruption_plan(features: list[str], targeted: bool) -> tuple[Column, Column]:
-    """Candidate features and how many of them a corrupted row loses."""
-    if targeted:
-        pool = important_features(features)
-        return pool, F.greatest(F.lit(1), F.floor(F.size(pool) * 0.3).cast("int"))
-    return F.array(*[F.lit(f) for f in features]), F.lit(max(1, int(len(features) * 0.1)))
-
-
 def apply_tiers(
     df: DataFrame,
     tiers: DataFrame,
@@ -264,11 +278,7 @@ def apply_tiers(
         "flipped": picked_by_score("_score", "_flip_key", "_n", "_flip_quota", "_flip_cut"),
         "corrupted": picked_by_hash("_corrupt_key", "_n", "_corrupt_quota", "_corrupt_cut"),
     })
-    random_pool, random_count = corruption_plan(features, False)
-    target_pool, target_count = corruption_plan(features, True)
-    pool = F.when(F.col("_adversarial"), target_pool).otherwise(random_pool)
-    count = F.when(F.col("_adversarial"), target_count).otherwise(random_count)
-    changed = _apply_corruption(marked, features, F.col("corrupted"), pool, count, seed, key)
+    changed = _apply_corruption(marked, features, seed, key)
     return _flip_marked(changed, label).select(*df.columns, "quality", "flipped", "corrupted")
 
 
@@ -315,6 +325,7 @@ def _tier_cuts(df, tiers, features, seed, source, key, bucket_rows, with_feature
     flip_table = cuts.table.select(source, "score_cut", F.col("cut").alias("_flip_cut"))
     table = lookup_join(table, cuts.derive(flip_table), [source])
     if with_features:
+        table = table.withColumns(corruption_plan(features, F.col("_adversarial")))
         keyed = keyed.withColumn("_corrupt_key", hash_hex(seed, "corrupt", F.col(key)))
         corrupt_quotas = stats.derive(stats.table.select(source, "n", F.col("_corrupt_quota").alias("quota")))
         corrupt_cuts = hash_cuts(keyed, [source], "_corrupt_key", corrupt_quotas, bucket_rows)

@@ -29,7 +29,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("client_"), (F.col("l_suppkey") % 12).cast("string")).alias("client_id"),
         F.concat_ws(
             "|", text("l_orderkey"), text("l_partkey"), text("l_suppkey"), text("l_linenumber"),
-            F.date_format("l_shipdate", "yyyyMMdd"),
+            F.col("l_shipdate").cast("date").cast("string"),
         ).alias("row_id"),
         F.col("l_suppkey").alias("supplier"),
         F.col("l_shipdate").alias("ts"),

@@ -27,12 +27,16 @@ def key(*parts: str) -> str:
     return f"md5(concat_ws('|', {', '.join(parts)}))"
 
 
+def hex_uniform(hex_: str, at: int = 1) -> str:
+    return f"(CAST('0x' || substr({hex_}, {at}, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
 def uniform(*parts: str) -> str:
-    return f"(CAST('0x' || substr({key(*parts)}, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+    return hex_uniform(key(*parts))
 
 
-def normal(*parts: str) -> str:
-    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {uniform(*parts, chr(39) + 'u' + chr(39))})) * cos(2.0::DOUBLE * pi() * {uniform(*parts, chr(39) + 'v' + chr(39))}))"
+def normal(hex_: str) -> str:
+    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {hex_uniform(hex_, 9)})) * cos(2.0::DOUBLE * pi() * {hex_uniform(hex_, 17)}))"
 
 
 def with_(*ctes: str, final: str, recursive: bool = False) -> str:
@@ -40,7 +44,7 @@ def with_(*ctes: str, final: str, recursive: bool = False) -> str:
 
 
 FLOWS = """flows AS (SELECT 'client_' || (l_suppkey % 12) AS client_id,
-  concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, strftime(l_shipdate, '%Y%m%d')) AS row_id,
+  concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS row_id,
   l_suppkey AS supplier, l_shipdate AS ts, CAST(year(l_shipdate) - 1994 AS BIGINT) AS round,
   CASE WHEN l_returnflag = 'N' THEN 'BENIGN' ELSE 'ATTACK_' || l_returnflag END AS label_raw,
   CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS label,
@@ -286,12 +290,10 @@ FUSED = f"least(greatest((f1_score + {dbl(0.3)} * stability + {dbl(0.2)} * drift
 
 
 def noise_value(sigmas: float, only: bool) -> str:
-    noisy = f"x + {normal(chr(39) + '42' + chr(39), chr(39) + 'noise' + chr(39), 'row_id', 'f')} * (coalesce(s, 0) * {dbl(sigmas)})"
+    noisy = f"x + {normal('h')} * (coalesce(s, 0) * {dbl(sigmas)})"
     if only:
         return noisy
-    q = chr(39)
-    coin, value = uniform(f"{q}42{q}", f"{q}coin{q}", "row_id", "f"), uniform(f"{q}42{q}", f"{q}value{q}", "row_id", "f")
-    return f"CASE WHEN {coin} < 0.5 THEN {noisy} ELSE lo + {value} * (hi - lo) END"
+    return f"CASE WHEN {hex_uniform('h', 25)} < 0.5 THEN {noisy} ELSE lo + {hex_uniform('h', 9)} * (hi - lo) END"
 
 
 def corruption(rows: str, features: list[str], picked: str, sigmas: float = 3.0, only: bool = False, targeted: bool = False, name: str = "spoiled") -> str:
@@ -308,8 +310,9 @@ def corruption(rows: str, features: list[str], picked: str, sigmas: float = 3.0,
 {name}_s AS (SELECT client_id, f, stddev_samp(x) AS s, min(x) AS lo, max(x) AS hi FROM {name}_l GROUP BY ALL),
 {name}_o AS (SELECT client_id, f FROM (SELECT client_id, f, {rank} AS r FROM {name}_s {alive}) WHERE r <= {keep}),
 {name}_k AS (SELECT client_id, {take} AS k FROM (SELECT client_id, count(*) AS size FROM {name}_o GROUP BY 1)),
-{name}_c AS (SELECT l.row_id, l.f, row_number() OVER (PARTITION BY l.row_id ORDER BY {key("'42'", "'feature'", "l.row_id", "l.f")}) <= k AS hit
-  FROM {name}_l l JOIN {name}_o o USING (client_id, f) JOIN {name}_k USING (client_id) WHERE l.corrupted),
+{name}_c AS (SELECT row_id, f, h, row_number() OVER (PARTITION BY row_id ORDER BY h) <= k AS hit FROM (
+  SELECT l.row_id, l.f, k, {key("'42'", "'feature'", "l.row_id", "l.f")} AS h
+  FROM {name}_l l JOIN {name}_o o USING (client_id, f) JOIN {name}_k USING (client_id) WHERE l.corrupted)),
 {name}_n AS (SELECT row_id, f, CASE WHEN coalesce(hit, false) THEN {noise_value(sigmas, only)} ELSE x END AS nx
   FROM {name}_l JOIN {name}_s USING (client_id, f) LEFT JOIN {name}_c USING (row_id, f)),
 {name} AS (SELECT p.* EXCLUDE ({', '.join(features)}), w.* EXCLUDE (row_id) FROM {name}_p p

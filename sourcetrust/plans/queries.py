@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sourcetrust.functions.vectors import binary_entropy
 from sourcetrust.operators import clean, metrics, models, perturb, reports, sample, trust
+from sourcetrust.operators.joins import sized
 from sourcetrust.plans import fixtures as fx
 from sourcetrust.plans.rounding import nudge
 from sourcetrust.sources import flows as src, history as hist, results as res
@@ -456,7 +457,9 @@ def observed_trust(spark, sf_dir) -> DataFrame:
 
 
 def agreement_history(spark, sf_dir) -> DataFrame:
-    return trust.adaptive_trust(observed_trust(spark, sf_dir).select("client_id", "round", "computed"))
+    """Trust history of the agreement rounds, computed once."""
+    observed = observed_trust(spark, sf_dir).select("client_id", "round", "computed")
+    return sized(trust.adaptive_trust(observed)).table
 
 
 @query
@@ -683,7 +686,7 @@ def centroid_models(df: DataFrame, by: list[str]) -> DataFrame:
     means = parts.groupBy(*by, "pos").agg(at(0).alias("m0"), at(1).alias("m1"))
     means = means.withColumns({"w": F.col("m1") - F.col("m0"), "b": (F.col("m0") ** 2 - F.col("m1") ** 2) / 2})
     both = means.groupBy(*by).agg(models.in_order("pos", "w").alias("coef"), F.sum("b").alias("intercept"), F.count("w").alias("_n"))
-    return both.filter(F.col("_n") > 0).drop("_n")
+    return sized(both.filter(F.col("_n") > 0).drop("_n")).table
 
 
 def unrolled(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -813,7 +816,7 @@ def local_fit(spark, sf_dir):
     """One descent-fitted model per source, evaluated on the source's validation rows."""
     split = sample.split_stratified(fx.vectors(spark, sf_dir), 0.2, fx.SEED)
     train, val = split.filter("split = 'train'"), split.filter("split = 'val'")
-    fitted = models.fit_sources(train, seed=fx.SEED).persist()
+    fitted = sized(models.fit_sources(train, seed=fx.SEED)).table
     scored = models.score_linear(val.withColumn("y_true", F.col("label")), fitted, ["client_id"])
     table = metrics.evaluate(scored, ["client_id"]).join(models.training_metrics(train, fitted), "client_id")
     return table.select("client_id", *rounded_as(["accuracy", "f1_score", "train_accuracy", "train_f1"]))
