@@ -26,7 +26,7 @@ def parse_results(documents: DataFrame, column: str, keys: list[str]) -> DataFra
 
 def read_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Results of all documents under `paths`, one whole file each, with the file name."""
-    text = spark.read.option("wholetext", True).text(paths).withColumn("file", F.col("_metadata.file_name"))
+    text = spark.read.text(paths, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
     return parse_results(text, "value", ["file"])
 
 
