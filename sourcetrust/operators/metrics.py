@@ -112,9 +112,9 @@ def roc_points(df: DataFrame, y_true: str = "y_true", score: str = "score") -> D
         F.count_if(F.col(y_true) == 1).alias("pos"), F.count_if(F.col(y_true) == 0).alias("neg")
     )
     running = global_prefix_sum(by_score, [F.desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")})
-    totals = running.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))  # from the checkpoint
-    joined = running.join(F.broadcast(totals))  # one row
-    return joined.withColumns({"tpr": ratio(F.col("tp"), F.col("_p")), "fpr": ratio(F.col("fp"), F.col("_n"))})
+    positives, negatives = (running.select(F.sum(c)).scalar() for c in ("pos", "neg"))  # from the checkpoint
+    totals = running.withColumns({"_p": positives, "_n": negatives})
+    return totals.withColumns({"tpr": ratio(F.col("tp"), F.col("_p")), "fpr": ratio(F.col("fp"), F.col("_n"))})
 
 
 def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score") -> DataFrame:
@@ -135,12 +135,14 @@ def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score") -> Data
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Counts in equal bins over [min, max] of a per-source table; the last bin is closed."""
     df = sized(df.select(value)).table
-    edges = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    placed = df.join(F.broadcast(edges))  # one row
+    low, high = df.select(F.min(value)).scalar(), df.select(F.max(value)).scalar()
+    placed = df.withColumns({"_lo": low, "_hi": high})
     width = (F.col("_hi") - F.col("_lo")) / bins
     bin_ = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)))
-    counts = placed.filter(F.col(value).isNotNull()).groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(edges)).select(
+    counts = placed.filter(F.col(value).isNotNull()).groupBy(bin_.cast("int").alias("bin")).agg(
+        F.count("*").alias("n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")
+    )
+    return counts.select(
         "bin", "n",
         (F.col("_lo") + F.col("bin") * width).alias("low"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("high"),
     )

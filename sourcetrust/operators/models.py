@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sourcetrust.functions.keys import hash_hex, hash_slot
 from sourcetrust.functions.vectors import dot, linear_probability, sigmoid
-from sourcetrust.operators.joins import MAX_BROADCAST_CELLS, lookup_join, sized
+from sourcetrust.operators.joins import MAX_BROADCAST_CELLS, Sized, lookup_join, sized
 from sourcetrust.operators.metrics import evaluate
 from sourcetrust.operators.sample import CAP, bootstrap_capped
 
@@ -154,7 +154,11 @@ def _join_models(df: DataFrame, models: DataFrame, on: list[str]) -> DataFrame:
 def score_linear(df: DataFrame, models: DataFrame, on: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """Add `y_proba` and `y_pred` from the model matched by `on`, or from the only model."""
     params = models.select(*(on or []), "coef", "intercept")
-    joined = _join_models(df, params, on) if on else df.join(F.broadcast(params.limit(1)))
+    if on:
+        joined = _join_models(df, params, on)
+    else:
+        only = params.select(F.struct("coef", "intercept")).scalar()  # d + 1 numbers
+        joined = df.withColumn("_m", only).withColumns({"coef": F.col("_m.coef"), "intercept": F.col("_m.intercept")}).drop("_m")
     scored = joined.withColumn("y_proba", linear_probability(F.col("x"), F.col("coef"), F.col("intercept")))
     return scored.withColumn("y_pred", F.when(F.col("y_proba") >= threshold, 1).otherwise(0)).drop("coef", "intercept")
 
@@ -208,12 +212,13 @@ def ensemble_score(df: DataFrame, models: DataFrame, source: str = "client_id",
     )
     scored = df.withColumn("y_proba", F.lit(0.0))
     for b in range(blocks):
-        block = packed.filter(F.col("_block") == b).agg(F.flatten(F.collect_list("_models")).alias("_models"))
+        block = Sized(packed.filter(F.col("_block") == b), 1)
         part = F.aggregate(
-            "_models", F.lit(0.0),
+            F.coalesce("_models", F.array()), F.lit(0.0),
             lambda acc, m: acc + m["weight"] * sigmoid(dot(F.col("x"), m["coef"]) + m["intercept"]),
         )
-        scored = scored.join(F.broadcast(block)).withColumn("y_proba", F.col("y_proba") + part).drop("_models")
+        matched = lookup_join(scored.withColumn("_block", F.lit(b).cast("bigint")), block, ["_block"])
+        scored = matched.withColumn("y_proba", F.col("y_proba") + part).drop("_models", "_block")
     return scored.withColumn("y_pred", F.when(F.col("y_proba") >= threshold, 1).otherwise(0))
 
 

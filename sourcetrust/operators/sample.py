@@ -122,13 +122,11 @@ def weight_quotas(weights: DataFrame, cap: int | None = CAP, base: int = CAP, so
     full proportionality. The product is rounded at 1e-6 so that an exact share such as
     base * K * (1/K) does not lose a row to floating point.
     """
-    quota = F.floor(F.round(F.col("weight") * F.col("_k") * float(base), 6)).cast("bigint")
+    weights = sized(weights)
+    quota = F.floor(F.round(F.col("weight") * float(weights.rows) * float(base), 6)).cast("bigint")
     if cap is not None:
         quota = F.least(quota, F.lit(cap).cast("bigint"))
-    weights = sized(weights).table
-    totals = weights.agg(F.count("*").cast("double").alias("_k"))
-    shared = weights.join(F.broadcast(totals))  # one row
-    return shared.withColumn("quota", F.greatest(quota, F.lit(0).cast("bigint"))).drop("_k")
+    return weights.table.withColumn("quota", F.greatest(quota, F.lit(0).cast("bigint")))
 
 
 def quota_sample(
@@ -211,8 +209,8 @@ def mix_benign(
         .withColumn("_key", hash_hex(seed, F.col(key)))
     )
     sizes = sized(group_sizes(benign, ["_pool"]), F.col("n"))
-    wanted = needs.table.select(source, "need").join(F.broadcast(sizes.table))  # one row
-    slots = number_line(wanted, F.least("need", "n"), "slot").select("_pool", source, "slot")
+    available = F.lit(sizes.largest)
+    slots = number_line(needs.table, F.least(F.col("need"), available), "slot").select(F.lit(0).alias("_pool"), source, "slot")
     added = take_slots(benign, ["_pool"], "_key", sizes, slots, bucket_rows)
     own = lookup_join(attack, needs.derive(needs.table.select(source)), [source], "left_semi")
     return own.withColumn("mixed_in", F.lit(False)).unionByName(

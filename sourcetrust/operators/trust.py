@@ -231,6 +231,13 @@ def trust_of(sources: DataFrame, latest: DataFrame, params: TrustParams = TrustP
     return found.withColumn("trust", F.coalesce("trust", F.lit(params.initial)))
 
 
+def _with_totals(table: DataFrame, by: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Add aggregates of each `by` group, or of the whole table, to its rows."""
+    if not by:
+        return table.withColumns({name: table.select(total).scalar() for name, total in totals.items()})
+    return lookup_join(table, table.groupBy(*by).agg(*[t.alias(n) for n, t in totals.items()]), by, "inner")
+
+
 def trust_weights(
     trust: DataFrame, beta: float | Column = 0.8, min_trust: float = 0.0, by: list[str] | None = None
 ) -> DataFrame:
@@ -246,8 +253,7 @@ def trust_weights(
     if min_trust > 0:
         base = F.when(base >= min_trust, base).otherwise(F.lit(0.0))
     powered = trust.withColumn("_p", F.when(base > 0, F.power(base, beta)).otherwise(F.lit(0.0)))
-    totals = powered.groupBy(*by).agg(F.sum("_p").alias("_t"), F.count("*").alias("_k"))
-    joined = lookup_join(powered, totals, by, "inner") if by else powered.join(F.broadcast(totals))  # one row
+    joined = _with_totals(powered, by, {"_t": F.sum("_p"), "_k": F.count("*")})
     return joined.withColumns({
         "weight": F.when(F.col("_t") > 0, F.col("_p") / F.col("_t")).otherwise(1.0 / F.col("_k")),
         "fallback": F.col("_t") <= 0,
@@ -257,8 +263,7 @@ def trust_weights(
 def equal_weights(sources: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     sources = sized(sources).table
-    totals = sources.groupBy(*by).agg(F.count("*").alias("_k"))
-    joined = lookup_join(sources, totals, by, "inner") if by else sources.join(F.broadcast(totals))  # one row
+    joined = _with_totals(sources, by, {"_k": F.count("*")})
     return joined.withColumn("weight", 1.0 / F.col("_k")).drop("_k")
 
 

@@ -65,8 +65,8 @@ def prefer_sources(df: DataFrame, name: str = "source_name") -> DataFrame:
     kind = source_class(F.col(name))
     priority = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in order.items()])
     ranked = df.withColumn("_priority", priority).filter(F.col("_priority").isNotNull())
-    best = df.select(F.min(priority).alias("_priority"))
-    return ranked.join(F.broadcast(best), "_priority", "left_semi").drop("_priority")  # one row
+    best = df.select(F.min(priority)).scalar()
+    return ranked.filter(F.col("_priority") == best).drop("_priority")
 
 
 def benign_sources(df: DataFrame, name: str = "source_name") -> DataFrame:

@@ -163,5 +163,5 @@ def read_events(spark: SparkSession, folder: str, names: str = "*.parquet") -> D
 
 def closed_windows(table: DataFrame, events: DataFrame, delay: str = DELAY) -> DataFrame:
     """Batch windows that a stream over the same events would have closed by now."""
-    mark = events.agg((F.max("ts") - F.expr(f"interval {delay}")).alias("_mark"))
-    return table.join(F.broadcast(mark)).filter(F.col("window_end") <= F.col("_mark")).drop("_mark")  # one row
+    mark = events.select(F.max("ts") - F.expr(f"interval {delay}")).scalar()
+    return table.filter(F.col("window_end") <= mark)
