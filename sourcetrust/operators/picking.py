@@ -10,7 +10,8 @@ bucket; `p` grows with the largest group so that a bucket stays near `BUCKET_ROW
 * `take_slots` fetches the rows at given ranks. Only buckets that are asked for are sorted.
 
 Groups no larger than a bucket are ranked directly, on the key columns alone. Hashes must
-be unique within a group (hash a unique row key).
+be unique within a group (hash a unique row key). Cuts are stored once found, so that a
+chain of operators does not search for them again.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def hash_cuts(
     rank = F.row_number().over(W.partitionBy(*groups).orderBy(key))
     cuts = edge.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_left"))
     cuts = cuts.select(*groups, F.col(key).alias("cut"))
-    return quotas.derive(lookup_join(table, quotas.derive(cuts), groups))
+    return sized(lookup_join(table, quotas.derive(cuts), groups))
 
 
 def picked_by_hash(key: str, n: str = "n", quota: str = "quota", cut: str = "cut") -> Column:
@@ -127,7 +128,7 @@ def score_cuts(
         rank = F.row_number().over(W.partitionBy(*groups).orderBy(F.desc("_s"), F.col(key)))
         cuts = edge.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_left"))
         cuts = cuts.select(*groups, F.col("_s").alias("score_cut"), F.col(key).alias("cut"))
-        return quotas.derive(lookup_join(table, quotas.derive(cuts), groups))
+        return sized(lookup_join(table, quotas.derive(cuts), groups))
 
     narrow = narrow.withColumn("_h", F.floor(F.col("_s") / SCORE_STEP))
     count = lambda rows, digit: rows.groupBy(*groups, digit).agg(F.count("*").alias("_c"))
@@ -141,7 +142,7 @@ def score_cuts(
     # a tie that is taken whole has no cut: every hash is below 'g'
     cut = F.when(F.col("quota") >= F.col("n"), F.lit("g")).otherwise(F.col("cut"))
     cuts = exact.table.select(*groups, F.col("_s").alias("score_cut")).join(tied.select(*groups, cut.alias("cut")), groups)
-    return quotas.derive(lookup_join(table, quotas.derive(cuts), groups))
+    return sized(lookup_join(table, quotas.derive(cuts), groups))
 
 
 def picked_by_score(score: str, key: str, n: str = "n", quota: str = "quota", cut: str = "cut") -> Column:

@@ -585,7 +585,7 @@ def trust_evolution(spark, sf_dir):
 
 @query
 def round_log(spark, sf_dir):
-    table = observed_trust(spark, sf_dir)
+    table = sized(observed_trust(spark, sf_dir)).table
     history = trust.adaptive_trust(table.select("client_id", "round", "computed"))
     numbers = ["accuracy", "f1_score", "precision", "recall", "false_positive_rate", "trust_score"]
     return trust.round_log(table, history).select("client_id", *longs(["round"]), *rounded_as(numbers))
@@ -911,7 +911,7 @@ def log_metrics(spark, sf_dir):
 
 @query
 def log_comparison(spark, sf_dir):
-    logs = run_logs(spark, sf_dir)
+    logs = sized(run_logs(spark, sf_dir)).table
     rows = res.comparison_rows(logs, "log", ["client_id"])
     tests = logs.select("client_id", F.lit("test").alias("approach"), F.lit("accuracy").alias("metric"), res.test_accuracy(F.col("log")).alias("value"))
     return rows.unionByName(tests).select("client_id", "approach", "metric", rounded("value", 4).alias("value"))
