@@ -68,6 +68,8 @@ def hash_cuts(
     """
     quotas = sized(quotas, F.when(_is_open(), F.col("n")))
     table = quotas.table.select(*groups, "n", "quota")
+    if quotas.largest == 0:  # every quota takes all rows or none
+        return quotas.derive(table.withColumn("cut", F.lit(None).cast("string")))
     keys = df.select(*groups, key)
     p = prefix_length(quotas.largest, bucket_rows)
     wanted = table.filter(_is_open()).select(*groups, F.col("quota").alias("_left"))
@@ -121,6 +123,9 @@ def score_cuts(
     """
     quotas = sized(quotas, F.when(_is_open(), F.col("n")))
     table = quotas.table.select(*groups, "n", "quota")
+    if quotas.largest == 0:
+        none = {"score_cut": F.lit(None).cast("bigint"), "cut": F.lit(None).cast("string")}
+        return quotas.derive(table.withColumns(none))
     wanted = table.filter(_is_open()).select(*groups, F.col("quota").alias("_left"))
     narrow = df.select(*groups, key, F.col(score).alias("_s"))
     if prefix_length(quotas.largest, bucket_rows) == 0:

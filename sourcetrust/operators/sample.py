@@ -91,9 +91,11 @@ def draw_rows(
 
 def _sample_or_keep(df, quotas, source, label, seed, key, replace, bucket_rows) -> DataFrame:
     """`quotas` holds `source, label, n, quota, sampled`; unsampled sources pass whole."""
-    quotas = sized(quotas)
+    quotas = sized(quotas, F.when(F.col("sampled"), F.col("n")))
     whole = quotas.table.filter(~F.col("sampled")).select(source).distinct()
     kept = lookup_join(df, quotas.derive(whole), [source], "left_semi").withColumn("draw", F.lit(0).cast("bigint"))
+    if quotas.largest == 0:  # no source is above its quota
+        return kept
     thin = quotas.derive(quotas.table.filter("sampled"))
     picked = draw_rows(df, thin, [source, label], seed, key, replace, bucket_rows)
     return kept.unionByName(picked)
