@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,21 +10,14 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names in `spark.checkpoint.dir`.
 
-    Where it is unset a temporary folder is used, in local mode only.
+    Where it is unset, a folder in the warehouse, which all executors share too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if named and not current:
+    if not named:
+        named = spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if current:
-        return current
-    folder = tempfile.mkdtemp(prefix="sourcetrust-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+    return named
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
