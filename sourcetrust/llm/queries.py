@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcetrust.llm import exact_dedup
+from sourcetrust.llm import exact_dedup, packing, token_files
+from sourcetrust.llm.tables import Workspace
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,4 +24,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(docs).select("doc_id", "dedup.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup,)}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return packing.pack_sequences(docs, vocabulary("byte_bpe_50k.json"), kind="spaced").drop("ids")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = f"{Workspace(spark, 'token-files').folder}/files"
+    token_files.write_token_files(docs, folder, vocabulary("word_bpe_49k.json"), end_id=2, kind="words")
+    return token_files.read_token_files(spark, folder, with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_packing, op8_token_files)}
