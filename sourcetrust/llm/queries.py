@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcetrust.llm import exact_dedup, packing, token_files
+from sourcetrust.llm import bpe, exact_dedup, packing, token_counts, token_files
 from sourcetrust.llm.tables import Workspace
 
 
@@ -29,6 +29,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(docs, vocabulary("byte_bpe_50k.json"), kind="spaced").drop("ids")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     folder = f"{Workspace(spark, 'token-files').folder}/files"
@@ -36,4 +41,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_packing, op8_token_files)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode_texts(docs, vocabulary("word_bpe_49k.json"))
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_packing, op7_token_counts, op8_token_files, op9_bpe)}
