@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcetrust.llm import bpe, exact_dedup, packing, token_counts, token_files
+from sourcetrust.llm import bpe, embedding_dedup, exact_dedup, packing, simhash_dedup, token_counts, token_files
 from sourcetrust.llm.tables import Workspace
 
 
@@ -24,6 +24,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(docs).select("doc_id", "dedup.*")
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash_dedup.near_duplicates(docs)
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return packing.pack_sequences(docs, vocabulary("byte_bpe_50k.json"), kind="spaced").drop("ids")
@@ -49,4 +61,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_packing, op7_token_counts, op8_token_files, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_embedding_dedup, op6_packing, op7_token_counts, op8_token_files, op9_bpe)}

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sourcetrust.functions.session import new_folder
@@ -68,3 +70,38 @@ def worker_value(name: str, make: Callable):
     if not hasattr(home, name):
         setattr(home, name, make())
     return getattr(home, name)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Batches sorted by an integer column, joined to tables of about `least` rows that divide no group."""
+    held, rows, goal = [], 0, least
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < goal:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1], side="left"))
+        if cut:
+            yield table.slice(0, cut)
+        held, rows = table.slice(cut).to_batches(), len(table) - cut
+        goal = max(least, 2 * rows)  # a group longer than `least` is searched seldom
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def linked(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 the smallest node reachable by the given links."""
+    label = np.arange(n)
+    while len(left):
+        low = np.minimum(label[left], label[right])
+        np.minimum.at(label, label[left], low)
+        np.minimum.at(label, label[right], low)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[left] != label[right]
+        left, right = left[open_], right[open_]
+    return label
