@@ -19,10 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from sourcetrust.llm.tables import worker_value
+from sourcetrust.llm.tables import LONGEST_KEY, Memory, worker_value
 
-KNOWN = 400_000
-LONGEST = 64  # longer chunks are not remembered
+KNOWN = 1_000_000
 NONE = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
 PLACE = np.uint64(0xFFFF_FFFF)
 # fixed values: split patterns of the vocabularies, with white space as Unicode defines it
@@ -71,7 +70,7 @@ class PairEncoder:
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
         self.glue = b"" if spec["decoder"] else b" "
         self.bytes_of = {c: bytes([b]) for b, c in enumerate(letters)}
-        self.known: dict[bytes, bytes] = {}
+        self.known = Memory(KNOWN)
 
     # encoding
 
@@ -80,15 +79,12 @@ class PairEncoder:
         if self.spaced:  # a text is one chunk: its spaces belong to the words
             return [self._assembled([self._pieces(t)])[0] for t in texts]
         chunks = [t.encode().split() for t in texts]  # no token spans white space
-        new = set().union(*chunks).difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-            new = set().union(*chunks)
-        new = list(new)
-        ids = dict(zip(new, self._assembled([self._pieces(c.decode()) for c in new]), strict=True))
-        lookup = {**self.known, **ids} if not self.known else _Both(self.known, ids)
-        out = [b"".join(map(lookup.__getitem__, c)) for c in chunks]
-        self.known.update((c, i) for c, i in ids.items() if len(c) <= LONGEST and len(self.known) < KNOWN)
+        new = self.known.unknown(set().union(*chunks))
+        self.known.add(dict(zip(new, self._assembled([self._pieces(c.decode()) for c in new]), strict=True)))
+        out = [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        for chunk in new:
+            if len(chunk) > LONGEST_KEY:
+                self.known.pop(chunk, None)
         return out
 
     def _pieces(self, chunk: str) -> list[bytes | int]:
@@ -199,17 +195,6 @@ class PairEncoder:
         return raw.decode("utf-8", "replace").encode()
 
 
-class _Both:
-    """Lookup in the remembered chunks, then in the new ones."""
-
-    def __init__(self, known: dict, new: dict):
-        self.known, self.new = known, new
-
-    def __getitem__(self, chunk):
-        ids = self.known.get(chunk)
-        return self.new[chunk] if ids is None else ids
-
-
 def _levels(width: int) -> Iterable[int]:
     while width > 1:
         width //= 2

@@ -7,27 +7,14 @@ splitters cut a text only where no token can span the cut, so the ids are those
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 
-from sourcetrust.llm.tables import worker_value
+from sourcetrust.llm.tables import Memory, worker_value
 
-KNOWN = 400_000  # chunks remembered by one Python worker, at most
-LONGEST = 64  # longer chunks are encoded each time
-
-
-class _Memory(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk):
-        ids = self.encode(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[chunk] = ids
-        return ids
+KNOWN = 1_000_000  # chunks remembered by one Python worker, at most
+SIGNS = frozenset(".,;:!?)|#$%&*")  # fixed value: signs that no token joins to a letter before them
 
 
 class _Unsafe(Exception):
@@ -63,7 +50,7 @@ class SpacedEncoder(Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.first, self.later = _Memory(self._first), _Memory(self._later)
+        self.first, self.later, self.sign = Memory(KNOWN // 10, self._first), Memory(KNOWN, self._later), Memory(100, self.whole)
 
     def _first(self, chunk: str) -> bytes:
         if not chunk or chunk[-1].isspace():
@@ -74,6 +61,8 @@ class SpacedEncoder(Encoder):
         if not chunk or chunk[-1].isspace():
             raise _Unsafe
         if not chunk[0].isspace():
+            if chunk[-1] in SIGNS and chunk[:-1].isalpha():
+                return self.later[chunk[:-1]] + self.sign[chunk[-1]]
             return self.whole(" " + chunk)
         if chunk[0] != "\n" or chunk[1].isspace():
             raise _Unsafe
@@ -102,7 +91,13 @@ class WordEncoder(Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words = _Memory(lambda word: self.whole(word.decode()))
+        self.words = Memory(KNOWN, self._word)
+
+    def _word(self, word: bytes) -> bytes:
+        shown = word.decode()
+        if shown[-1] in SIGNS and unicodedata.normalize("NFC", shown[:-1]).lower().isalpha():
+            return self.words[shown[:-1].encode()] + self.words[shown[-1].encode()]
+        return self.whole(shown)
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.encode().split()))

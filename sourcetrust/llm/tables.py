@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from sourcetrust.functions.session import new_folder
 
+LONGEST_KEY = 64  # longer keys are worked out each time
+
 
 class Workspace:
     """Parquet tables of one operator call, in the folder `spark.checkpoint.dir` names.
@@ -105,3 +107,29 @@ def linked(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         open_ = label[left] != label[right]
         left, right = left[open_], right[open_]
     return label
+
+
+class Memory(dict):
+    """Results a Python worker remembers: the latest `limit / 2` keys and as many before them.
+
+    Keys asked for again move to the latest, so frequent ones stay while rare ones go.
+    """
+
+    def __init__(self, limit: int, make: Callable | None = None):
+        super().__init__()
+        self.half, self.make, self.old = limit // 2, make, {}
+
+    def __missing__(self, key):
+        value = self.old[key] if key in self.old or self.make is None else self.make(key)
+        if len(key) <= LONGEST_KEY:
+            self.add({key: value})
+        return value
+
+    def unknown(self, keys: set) -> list:
+        return [key for key in keys.difference(self) if key not in self.old]
+
+    def add(self, items: dict) -> None:
+        if len(self) + len(items) > self.half:
+            self.old = dict(self)
+            self.clear()
+        self.update(items)

@@ -16,10 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sourcetrust.llm.bpe import byte_letters
-from sourcetrust.llm.tables import worker_value
+from sourcetrust.llm.tables import LONGEST_KEY, Memory, worker_value
 
-KNOWN = 400_000  # words remembered by one Python worker, at most
-LONGEST = 64
+KNOWN = 1_000_000  # words remembered by one Python worker, at most
 
 
 class MatchAutomaton:
@@ -54,7 +53,7 @@ class MatchAutomaton:
                 while byte not in children[back]:
                     count, back = count + self.popped[back], self.link[back]
                 self.popped[child], self.link[child] = count, children[back][byte]
-        self.known: dict[bytes, int] = {}
+        self.known = Memory(KNOWN)
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Number of pieces of each word."""
@@ -93,15 +92,13 @@ class MatchAutomaton:
     def count_texts(self, texts: list[str]) -> list[tuple[int, int]]:
         """Words and pieces of each text; a word is what white space parts, with a space before it."""
         split = [t.encode().split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        counts = dict(zip(new, self.count([b" " + w for w in new]).tolist(), strict=True))
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-            again = list(set().union(*split).difference(counts))
-            counts |= zip(again, self.count([b" " + w for w in again]).tolist(), strict=True)
-        self.known.update((w, c) for w, c in counts.items() if len(w) <= LONGEST and len(self.known) < KNOWN)
-        known = self.known
-        return [(len(s), sum(known[w] if w in known else counts[w] for w in s)) for s in split]
+        new = self.known.unknown(set().union(*split))
+        self.known.add(dict(zip(new, self.count([b" " + w for w in new]).tolist(), strict=True)))
+        out = [(len(s), sum(map(self.known.__getitem__, s))) for s in split]
+        for word in new:
+            if len(word) > LONGEST_KEY:
+                self.known.pop(word, None)
+        return out
 
 
 def vocabulary_pieces(path: str) -> list[bytes]:
