@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcetrust.llm import bpe, embedding_dedup, exact_dedup, packing, simhash_dedup, token_counts, token_files
+from sourcetrust.llm import bpe, embedding_dedup, exact_dedup, packing, simhash_dedup, suffix_dedup, token_counts, token_files
 from sourcetrust.llm.tables import Workspace
 
 
@@ -36,6 +36,16 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.repeated_spans(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return packing.pack_sequences(docs, vocabulary("byte_bpe_50k.json"), kind="spaced").drop("ids")
@@ -61,4 +71,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_embedding_dedup, op6_packing, op7_token_counts, op8_token_files, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_embedding_dedup, op5_suffix_dedup, op6_packing, op7_token_counts, op8_token_files, op9_bpe)}
