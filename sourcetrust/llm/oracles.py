@@ -11,4 +11,49 @@ ORACLES = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm ORDER BY size DESC, doc_id)""",
+    "op10_chat_formatting": r"""
+        WITH m AS (
+            SELECT conv_id, turn, role, row_number() OVER (
+                       PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(coalesce("text", ''))) - 1 AS position,
+                   list_transform(string_split(regexp_replace(coalesce("text", ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: {
+                       'level': length(regexp_replace(regexp_extract(x, '^[ \t]*(>[ \t]*)+'), '[^>]', '', 'g')),
+                       'content': regexp_replace(x, '^[ \t]*(>[ \t]*)+', '')}) AS lines
+            FROM conversations),
+        b AS (
+            SELECT *, regexp_replace(array_to_string(list_transform(
+                          list_filter(lines, lambda x: x.level = 0), lambda x: x.content), chr(10)),
+                      '\A[ \t\n]+|[ \t\n]+\z', '', 'g') AS body,
+                   list_filter(range(1, len(lines) + 1), lambda i: lines[i].level > 0
+                       AND (i = 1 OR lines[greatest(i - 1, 1)].level <> lines[i].level)) AS firsts,
+                   list_filter(range(1, len(lines) + 1), lambda i: lines[i].level > 0
+                       AND (i = len(lines) OR lines[least(i + 1, len(lines))].level <> lines[i].level)) AS lasts
+            FROM m),
+        p AS (
+            SELECT conv_id, position, unnest(range(1, len(firsts) + 1)) AS passage, firsts, lasts, lines FROM b),
+        t AS (
+            SELECT conv_id, position, passage, lines[firsts[passage]].level AS level, array_to_string(list_transform(
+                       lines[firsts[passage]:lasts[passage]], lambda x: x.content), chr(10)) AS body
+            FROM p),
+        every AS (
+            SELECT conv_id, position, 0 AS passage, 0 AS level, body FROM b UNION ALL
+            SELECT conv_id, position, passage, level, body FROM t),
+        units AS (
+            SELECT DISTINCT conv_id, position, passage, level, trim(lower(regexp_replace(u, '[ \t\n]+', ' ', 'g'))) AS unit
+            FROM (SELECT *, unnest([body] || regexp_split_to_array(body, '\n[ \t]*\n') || string_split(body, chr(10))) AS u FROM every)),
+        origin AS (
+            SELECT conv_id, md5(unit) AS hash, min(position) AS original FROM units
+            WHERE level = 0 AND unit <> '' GROUP BY ALL),
+        met AS (
+            SELECT q.conv_id, q.position, passage, level, original, sum(length(unit)) AS size
+            FROM units q JOIN origin o ON q.conv_id IS NOT DISTINCT FROM o.conv_id AND md5(unit) = hash
+            WHERE level > 0 AND original < q.position GROUP BY ALL),
+        linked AS (
+            SELECT conv_id, position, passage, level, max({'size': size, 'original': original}) AS best FROM met GROUP BY ALL),
+        replies AS (
+            SELECT conv_id, position, count(*) AS n_linked, max(best) FILTER (level = 1) AS best FROM linked GROUP BY ALL)
+        SELECT b.conv_id, turn, role, b.position,
+               coalesce(best.original, CASE WHEN b.position > 0 THEN b.position - 1 END) AS reply_to,
+               CAST(len(firsts) AS BIGINT) AS n_quotes, coalesce(n_linked, 0) AS n_linked, body,
+               '<|im_start|>' || coalesce(role, '') || chr(10) || body || '<|im_end|>' || chr(10) AS chat
+        FROM b LEFT JOIN replies r ON b.conv_id IS NOT DISTINCT FROM r.conv_id AND b.position = r.position""",
 }

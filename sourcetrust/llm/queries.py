@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcetrust.llm import bpe, embedding_dedup, exact_dedup, packing, simhash_dedup, suffix_dedup, token_counts, token_files
+from sourcetrust.llm import bpe, chat, embedding_dedup, exact_dedup, packing, simhash_dedup, suffix_dedup, token_counts, token_files
 from sourcetrust.llm.tables import Workspace
 
 
@@ -71,4 +71,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_embedding_dedup, op5_suffix_dedup, op6_packing, op7_token_counts, op8_token_files, op9_bpe)}
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotes(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_embedding_dedup, op5_suffix_dedup, op6_packing, op7_token_counts, op8_token_files, op9_bpe, op10_chat_formatting)}
