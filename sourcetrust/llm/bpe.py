@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from sourcetrust.llm.tables import LONGEST_KEY, Memory, worker_value
+from sourcetrust.llm.tables import Memory, worker_value
 
 KNOWN = 1_000_000
 NONE = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
@@ -79,12 +79,9 @@ class PairEncoder:
         if self.spaced:  # a text is one chunk: its spaces belong to the words
             return [self._assembled([self._pieces(t)])[0] for t in texts]
         chunks = [t.encode().split() for t in texts]  # no token spans white space
-        new = self.known.unknown(set().union(*chunks))
-        self.known.add(dict(zip(new, self._assembled([self._pieces(c.decode()) for c in new]), strict=True)))
+        new = self.known.learn(set().union(*chunks), lambda some: self._assembled([self._pieces(c.decode()) for c in some]))
         out = [b"".join(map(self.known.__getitem__, c)) for c in chunks]
-        for chunk in new:
-            if len(chunk) > LONGEST_KEY:
-                self.known.pop(chunk, None)
+        self.known.forget_long(new)
         return out
 
     def _pieces(self, chunk: str) -> list[bytes | int]:

@@ -28,7 +28,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from sourcetrust.llm.tables import Workspace, whole_groups
 
@@ -223,10 +224,12 @@ def _packed(offsets: np.ndarray) -> bytes:
 # the Spark steps
 
 
+def texts_columns(id_: str, text: str) -> list[Column]:
+    return [F.coalesce(F.col(id_).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
+
+
 def _texts(df: DataFrame, id_: str, text: str) -> DataFrame:
-    return df.select(
-        F.coalesce(F.col(id_).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
+    return df.select(*texts_columns(id_, text))
 
 
 def _found(texts: DataFrame, length: int) -> DataFrame:
@@ -254,15 +257,19 @@ def _found(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _squeezed(texts: DataFrame) -> DataFrame:
-    """Texts packed before a shuffle."""
+    """Texts packed before a shuffle; further columns go along."""
+    fields = StructType().add("id", "long").add("packed", "binary")
+    for field in texts.schema.fields[2:]:
+        fields = fields.add(field.name, field.dataType)
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             packed = pa.array([pack(t.as_py().encode()) for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["id", "packed"])
+            names = ["id", "packed", *batch.schema.names[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], names)
 
-    return texts.mapInArrow(squeezed, "id bigint, packed binary")
+    return texts.mapInArrow(squeezed, fields)
 
 
 def _unpacked(column: pa.Array) -> list[bytes]:
@@ -364,7 +371,22 @@ def _merged(windows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(merged, "id bigint, segment bigint, offsets binary")
 
 
-def _removed(joined: DataFrame, length: int) -> DataFrame:
+def whole_letters(text: bytes, spans: list[tuple[int, int]]) -> str:
+    """The text without the letters that lie wholly inside a span."""
+    out, at = [], 0
+    for start, end in spans:
+        while start < end and text[start] & 0xC0 == 0x80:
+            start += 1
+        while start < end < len(text) and text[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(text[at:start])
+        at = end
+    return b"".join([*out, text[at:]]).decode()
+
+
+def _removed(joined: DataFrame, length: int, rest: StructType | None) -> DataFrame:
+    """With `rest` (the type of that column) the remaining letters beside it, else spans and remaining bytes."""
+
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -389,39 +411,34 @@ def _removed(joined: DataFrame, length: int) -> DataFrame:
                                 np.add.at(change, starts, 1)
                                 np.add.at(change, starts + length, -1)
                     cover[i] = np.cumsum(change[:-1]) > 0
-                spans, kept = [], []
-                for text, gone in zip(texts, cover, strict=True):
-                    if gone is None or not gone.any():
-                        spans.append([])
-                        kept.append(text)
-                        continue
-                    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-                    spans.append([{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())])
-                    kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
+                spans = []
+                for gone in cover:
+                    edges = [] if gone is None else np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).tolist()
+                    spans.append(list(zip(edges[::2], edges[1::2], strict=True)))
+                if rest is not None:
+                    left = [whole_letters(t, s) for t, s in zip(texts, spans, strict=True)]
+                    yield pa.RecordBatch.from_arrays([rows.column("rest"), pa.array(left, pa.string())], ["rest", "text"])
+                    continue
+                kept = [np.frombuffer(t, np.uint8)[~g].tobytes() if s else t for t, g, s in zip(texts, cover, spans, strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     rows.column("id"), pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(kept, pa.binary()), pa.array(texts, pa.binary()),
-                ], ["id", "n_bytes", "spans", "kept", "bytes"])
+                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPANS), pa.array(kept, pa.binary()),
+                ], ["id", "n_bytes", "spans", "kept"])
 
+    if rest is not None:
+        schema = StructType().add("rest", rest).add("text", "string")
+        return joined.select("id", "packed", "marks", "rest").mapInArrow(removed, schema)
     return joined.select("id", "packed", "marks").mapInArrow(
-        removed, "id bigint, n_bytes bigint, spans array<struct<start bigint, end bigint>>, kept binary, bytes binary"
+        removed, "id bigint, n_bytes bigint, spans array<struct<start bigint, end bigint>>, kept binary"
     )
 
 
-def repeated_spans(
-    df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 200, shard_segments: int = 4096
-) -> DataFrame:
-    """Per row: id, n_bytes, spans (start, end of the maximal removed runs, in bytes), kept and bytes (binary).
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    A byte goes if a string of `length` bytes (at least 64) that covers it also starts anywhere else
-    in the table. Null text counts as empty: no bytes and spans. Rows that repeat an id are texts of
-    their own; so are rows without an id, whose id is null in the result. Identical rows remove each
-    other. An empty table gives no rows.
-    """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
-    space, texts = Workspace(df.sparkSession, "suffixes"), _texts(df, id_, text)
+
+def _marks(texts: DataFrame, length: int, shard_segments: int) -> DataFrame:
+    """Per id, the segments with repeated windows and the windows' offsets (null: all)."""
+    space = Workspace(texts.sparkSession, "suffixes")
     counted = _found(texts, length).groupBy("gram", "segment").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
     counted = space.keep(counted, "counted")
     grams = counted.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
@@ -433,14 +450,43 @@ def repeated_spans(
         "hot": hot,
         "shard": F.when(hot, F.xxhash64("gram", F.pmod(F.col("segment"), shards))).otherwise(F.col("gram")),
     })
-    squeezed = _squeezed(texts)
-    found = space.keep(_sharded(_shipped(squeezed, wanted, length), length), "repeats")
+    found = space.keep(_sharded(_shipped(_squeezed(texts), wanted, length), length), "repeats")
     elsewhere = _merged(found.filter("window IS NOT NULL").select("window", "shard", "id", "segment", "offsets"))
     once = found.filter("window IS NULL").select("id", "segment", "offsets").unionByName(elsewhere)
     twice = known.filter("n > 1").select("gram", "segment")
     every = _found(texts, length).join(twice, ["gram", "segment"]).select(
         "id", "segment", F.lit(None).cast("binary").alias("offsets")
     )
-    marks = every.unionByName(once).groupBy("id").agg(F.collect_list(F.struct("segment", "offsets")).alias("marks"))
-    result = _removed(squeezed.join(marks, "id", "left"), length)
+    return every.unionByName(once).groupBy("id").agg(F.collect_list(F.struct("segment", "offsets")).alias("marks"))
+
+
+def repeated_spans(
+    df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 200, shard_segments: int = 4096
+) -> DataFrame:
+    """Per row: id, n_bytes, spans (start, end of the maximal removed runs, in bytes), kept (binary).
+
+    A byte goes if a string of `length` bytes (at least 64) that covers it also starts anywhere else
+    in the table. Null text counts as empty: no bytes and spans. Rows that repeat an id are texts of
+    their own; so are rows without an id, whose id is null in the result. Identical rows remove each
+    other. An empty table gives no rows.
+    """
+    if length < 2 * GRAM:
+        raise ValueError(f"length must be at least {2 * GRAM}")
+    texts = _texts(df, id_, text)
+    result = _removed(_squeezed(texts).join(_marks(texts, length, shard_segments), "id", "left"), length, None)
     return result.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
+
+
+def drop_repeats(
+    df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 200, shard_segments: int = 4096
+) -> DataFrame:
+    """All rows and columns of `df`, the text without repeated strings; a letter goes if all its bytes do.
+
+    Cases are those of `repeated_spans`; a text that goes wholly becomes empty, a null one too.
+    """
+    rest = F.struct(*[F.col(c) for c in df.columns if c != text], F.lit(0).alias("_")).alias("rest")
+    texts = _texts(df, id_, text)
+    packed = _squeezed(df.select(*texts_columns(id_, text), rest))
+    joined = packed.join(_marks(texts, length, shard_segments), "id", "left")
+    result = _removed(joined, length, packed.schema["rest"].dataType)
+    return result.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in df.columns])

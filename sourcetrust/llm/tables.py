@@ -120,15 +120,30 @@ class Memory(dict):
         self.half, self.make, self.old = limit // 2, make, {}
 
     def __missing__(self, key):
-        value = self.old[key] if key in self.old or self.make is None else self.make(key)
+        if key in self.old:
+            value = self[key] = self.old[key]  # at most `limit / 2` keys can move
+            return value
+        if self.make is None:
+            raise KeyError(key)
+        value = self.make(key)
         if len(key) <= LONGEST_KEY:
-            self.add({key: value})
+            self._store({key: value})
         return value
 
-    def unknown(self, keys: set) -> list:
-        return [key for key in keys.difference(self) if key not in self.old]
+    def learn(self, keys: set, make: Callable[[list], list]) -> list:
+        """Have all `keys` at hand until the next call; gives those that had to be made."""
+        absent = keys.difference(self)
+        moved = {key: self.old[key] for key in absent if key in self.old}
+        new = [key for key in absent if key not in moved]
+        self._store(moved | dict(zip(new, make(new), strict=True)))
+        return new
 
-    def add(self, items: dict) -> None:
+    def forget_long(self, keys: list) -> None:
+        for key in keys:
+            if len(key) > LONGEST_KEY:
+                self.pop(key, None)
+
+    def _store(self, items: dict) -> None:
         if len(self) + len(items) > self.half:
             self.old = dict(self)
             self.clear()

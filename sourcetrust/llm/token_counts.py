@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sourcetrust.llm.bpe import byte_letters
-from sourcetrust.llm.tables import LONGEST_KEY, Memory, worker_value
+from sourcetrust.llm.tables import Memory, worker_value
 
 KNOWN = 1_000_000  # words remembered by one Python worker, at most
 
@@ -92,12 +92,9 @@ class MatchAutomaton:
     def count_texts(self, texts: list[str]) -> list[tuple[int, int]]:
         """Words and pieces of each text; a word is what white space parts, with a space before it."""
         split = [t.encode().split() for t in texts]
-        new = self.known.unknown(set().union(*split))
-        self.known.add(dict(zip(new, self.count([b" " + w for w in new]).tolist(), strict=True)))
+        new = self.known.learn(set().union(*split), lambda some: self.count([b" " + w for w in some]).tolist())
         out = [(len(s), sum(map(self.known.__getitem__, s))) for s in split]
-        for word in new:
-            if len(word) > LONGEST_KEY:
-                self.known.pop(word, None)
+        self.known.forget_long(new)
         return out
 
 
