@@ -105,8 +105,8 @@ def segments(texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray,
         grams, first, last = _runs(data, ends, length)
         hashes = _digests(data, grams, first, last, length)
         text = np.searchsorted(ends, first, side="right")
-        cuts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]).tolist() if len(text) else []
-        for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
+        cuts = np.flatnonzero(np.r_[True, text[1:] != text[:-1], True][:len(text) + 1]).tolist() if len(text) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             begin = int(ends[text[a]] - len(texts[at + text[a]]))
             yield at + int(text[a]), grams[a:b], first[a:b] - begin, last[a:b] - begin, hashes[a:b]
         at = end
