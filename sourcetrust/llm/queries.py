@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcetrust.llm import bpe, chat, embedding_dedup, exact_dedup, packing, simhash_dedup, suffix_dedup, token_counts, token_files
+from sourcetrust.llm import bpe, chat, embedding_dedup, exact_dedup, packing, simhash_dedup, suffix_dedup, token_counts, token_files, toxicity
 from sourcetrust.llm.tables import Workspace
 
 
@@ -36,6 +36,14 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    held_out = toxicity.held_out(F.col("doc_id"))
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return toxicity.score_texts(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_dedup.repeated_spans(docs)
@@ -75,4 +83,4 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_quotes(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_embedding_dedup, op5_suffix_dedup, op6_packing, op7_token_counts, op8_token_files, op9_bpe, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_embedding_dedup, op4_toxicity, op5_suffix_dedup, op6_packing, op7_token_counts, op8_token_files, op9_bpe, op10_chat_formatting)}
