@@ -461,7 +461,7 @@ def _marks(texts: DataFrame, length: int, shard_segments: int) -> DataFrame:
 
 
 def repeated_spans(
-    df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 200, shard_segments: int = 4096
+    df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 200, shard_segments: int = 1024
 ) -> DataFrame:
     """Per row: id, n_bytes, spans (start, end of the maximal removed runs, in bytes), kept (binary).
 
@@ -478,7 +478,7 @@ def repeated_spans(
 
 
 def drop_repeats(
-    df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 200, shard_segments: int = 4096
+    df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 200, shard_segments: int = 1024
 ) -> DataFrame:
     """All rows and columns of `df`, the text without repeated strings; a letter goes if all its bytes do.
 
