@@ -78,21 +78,27 @@ class Model:
 
 def fit(
     rows: np.ndarray, weights: np.ndarray, counts: np.ndarray, labels: np.ndarray,
-    epochs: int = 60, rate: float = 0.1, decay: float = 1e-4, min_texts: int = 5, toxic_weight: float = 0.4, seed: int = 3,
+    epochs: int = 150, rate: float = 0.1, decay: float = 1e-4, min_texts: int = 5, least_z: float = 5.0, toxic_weight: float = 0.4, seed: int = 3,
 ) -> Model:
     """Train table, softmax and biases together on texts of `counts` buckets each.
 
-    Only buckets of at least `min_texts` texts are trained. The toxic texts together weigh
+    Only buckets are trained that at least `min_texts` texts have and whose share of texts differs
+    between the classes by `least_z` standard errors; the others' vectors stay zero. The toxic texts together weigh
     `toxic_weight`. With one class or no rows, the score is that class's share everywhere.
     """
     share = labels.mean() if len(labels) else 0.5
     if share in (0, 1) or not len(labels):
         return Model(np.zeros((BUCKETS, 2), np.float32), np.array([0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
-    used = np.flatnonzero(np.bincount(rows, minlength=BUCKETS) >= min_texts)
+    toxic = np.repeat(labels == 1, counts)
+    high, low = (np.bincount(rows[toxic == c], minlength=BUCKETS) for c in (True, False))
+    n_high, n_low = (labels == 1).sum(), (labels == 0).sum()
+    pooled = (high + low + 1) / (n_high + n_low + 2)
+    z = (high / n_high - low / n_low) / np.sqrt(pooled * (1 - pooled) * (1 / n_high + 1 / n_low))
+    used = np.flatnonzero((high + low >= min_texts) & (np.abs(z) >= least_z))
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     common = place[rows] >= 0
-    counts = np.add.reduceat(common, np.cumsum(counts) - counts, dtype=np.int64) * (counts > 0)
+    counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[common], minlength=len(counts))
     rows, weights = place[rows[common]], weights[common]
     ends = np.cumsum(counts)
     blocks = [(i, min(i + 256, len(counts))) for i in range(0, len(counts), 256)]
