@@ -96,15 +96,15 @@ def prepare_features(df: DataFrame, features: list[str], source: str = "client_i
 
 
 def union_sources(tables: list[DataFrame], keys: Iterable[str] = ()) -> DataFrame:
-    """Union by name; a numeric column missing in a table is 0 there. Columns come out as
-    `keys` followed by the rest in name order."""
+    """Union by name; a feature missing in a table is 0 there, a missing identifier or label is null.
+    Columns come out as `keys` followed by the rest in name order."""
     keys = list(keys)
     merged = tables[0]
     for table in tables[1:]:
         merged = merged.unionByName(table, allowMissingColumns=True)
     rest = sorted(c for c in merged.columns if c not in keys)
-    numeric = [f.name for f in merged.schema.fields if isinstance(f.dataType, NumericType) and f.name in rest]
-    return merged.fillna(0, subset=numeric).select(*keys, *rest) if numeric else merged.select(*keys, *rest)
+    absent = [c for c in feature_columns(merged.select(*rest))]
+    return merged.fillna(0, subset=absent).select(*keys, *rest) if absent else merged.select(*keys, *rest)
 
 
 def align_features(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sourcetrust.functions.session import new_folder
 
 MAX_BROADCAST_CELLS = 4_000_000
-SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -52,13 +51,11 @@ def lookup_join(
 ) -> DataFrame:
     """Join `df` with a small table, mostly one row per `on` key.
 
-    The table is measured first. Up to `max_cells` cells it is broadcast, so `df` is not
-    shuffled. Beyond that, keys are salted: each table row is copied to `SALTS` salts and
-    rows of `df` spread over them, so one hot key never lands in a single task.
+    A measured table of up to `max_cells` cells is broadcast, so `df` is not shuffled. Any other
+    table is joined plainly: adaptive execution broadcasts it if it turns out small, and splits
+    the partition of a hot key.
     """
-    known = sized(table)
-    if known.rows * len(known.table.columns) <= max_cells:
-        return df.join(F.broadcast(known.table), on, how)
-    copies = known.table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.lit(SALTS)).cast("int")
-    return df.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    if not isinstance(table, Sized):
+        return df.join(table, on, how)
+    fits = table.rows * len(table.table.columns) <= max_cells
+    return df.join(F.broadcast(table.table) if fits else table.table, on, how)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sourcetrust.operators.joins import sized
 from sourcetrust.operators.ordering import global_prefix_sum
 
 
@@ -40,9 +39,11 @@ def evaluate(df: DataFrame, by: list[str], y_true: str = "y_true", y_pred: str =
     return rates(confusion(df, by, y_true, y_pred))
 
 
-def join_predictions(truth: DataFrame, predictions: DataFrame, key: str = "row_id") -> DataFrame:
-    """Truth and prediction of the same row, matched by key and never by position."""
-    return truth.join(predictions, key)
+def join_predictions(
+    truth: DataFrame, predictions: DataFrame, key: str = "row_id", source: str = "client_id"
+) -> DataFrame:
+    """Truth and prediction of the same row, matched by source and key and never by position."""
+    return truth.join(predictions, [source, key])
 
 
 def classification_report(df: DataFrame, by: list[str]) -> DataFrame:
@@ -134,7 +135,7 @@ def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score") -> Data
 
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Counts in equal bins over [min, max] of a per-source table; the last bin is closed."""
-    df = sized(df.select(value)).table
+    df = df.select(value)
     low, high = df.select(F.min(value)).scalar(), df.select(F.max(value)).scalar()
     placed = df.withColumns({"_lo": low, "_hi": high})
     width = (F.col("_hi") - F.col("_lo")) / bins

@@ -2,13 +2,14 @@
 
 A linear model is a row: `coef ARRAY<DOUBLE>`, `intercept DOUBLE`. Rows carry features as
 an array column `x`. Scoring is Catalyst only; Python runs in one place, the mini-batch
-descent on a shard of one source's rows.
+descent on a bounded number of one source's rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,13 +20,15 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sourcetrust.functions.keys import hash_hex, hash_slot
+from sourcetrust.functions.keys import hash_hex
 from sourcetrust.functions.vectors import dot, linear_probability, sigmoid
 from sourcetrust.operators.joins import MAX_BROADCAST_CELLS, Sized, lookup_join, sized
+from sourcetrust.operators.picking import mark_first
 from sourcetrust.operators.metrics import evaluate
 from sourcetrust.operators.sample import CAP, bootstrap_capped
 
-SHARD_ROWS = 100_000
+FIT_ROWS = 100_000  # labelled rows of a source that its descent reads, at most
+PROBABILITY_UNITS = 10**15
 CONSTANT_INTERCEPT = 50.0
 
 # fixed values: settings of the local descent
@@ -53,33 +56,27 @@ def descend(
     return theta
 
 
-def _descend_shards(
-    df: DataFrame, source: str, label: str, key: str, start: np.ndarray | None, lr, epochs, batch, seed, mu, shard_rows
+def _descend_sources(
+    df: DataFrame, source: str, label: str, key: str, start: np.ndarray | None, lr, epochs, batch, seed, mu, fit_rows
 ) -> DataFrame:
-    """Descent per (source, shard): `source, n, theta`.
-
-    A source of up to `shard_rows` rows is one shard and is fitted exactly; a larger one is
-    spread over ceil(n / shard_rows) shards by hash, so that no task holds a whole hot
-    source, and its shard models are averaged by size.
-    """
-    counts = df.groupBy(source).agg(F.count("*").alias("_n"))
-    shards = counts.select(source, F.ceil(F.col("_n") / shard_rows).alias("_shards"))
-    placed = lookup_join(df.select(source, label, key, "x"), shards, [source])
-    placed = placed.withColumns({
-        "_shard": hash_slot(F.col("_shards"), seed, "shard", F.col(key)),
-        "_key": hash_hex(seed, F.col(key)),
-    }).select(source, "_shard", "_key", F.col(label).alias("_y"), "x")
+    """One descent per source on its first `fit_rows` rows in hash order: `source, n, theta`; `n` counts all rows."""
+    keyed = df.select(source, F.col(label).alias("_y"), "x", hash_hex(seed, F.col(key)).alias("_key"))
+    quotas = sized(
+        df.groupBy(source).agg(F.count("*").alias("n")).withColumn("quota", F.least("n", F.lit(fit_rows).cast("bigint"))),
+        F.when(F.col("quota") < F.col("n"), F.col("n")),
+    )
+    placed = mark_first(keyed, [source], "_key", quotas, "_fit").filter("_fit").select(source, "_key", "_y", "x")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_key")
         x = np.stack(group["x"].to_numpy()).astype(float)
         first = np.zeros(x.shape[1] + 1) if start is None else start
         theta = descend(x, group["_y"].to_numpy(float), first, lr, epochs, batch, seed, mu)
-        return pd.DataFrame({source: [group[source].iloc[0]], "n": [len(group)], "theta": [theta.tolist()]})
+        return pd.DataFrame({source: [group[source].iloc[0]], "theta": [theta.tolist()]})
 
     kind = dict(df.dtypes)[source]
-    fitted = placed.groupBy(source, "_shard").applyInPandas(fit, f"{source} {kind}, n bigint, theta array<double>")
-    return average_vectors(fitted, [source], "theta", "n")
+    fitted = placed.groupBy(source).applyInPandas(fit, f"{source} {kind}, theta array<double>")
+    return fitted.join(quotas.table.select(source, F.col("n").cast("double").alias("n")), source)
 
 
 def average_vectors(table: DataFrame, by: list[str], vector: str, weight: str) -> DataFrame:
@@ -105,18 +102,19 @@ def fit_sources(
     epochs: int = LOCAL_EPOCHS,
     batch: int = BATCH_SIZE,
     seed: int = 42,
-    shard_rows: int = SHARD_ROWS,
+    fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """One linear model per source: `source, coef, intercept, n, constant`.
 
-    A source with a single class gets a constant model. All rows of a source are used.
+    A source with a single class gets a constant model. A descent reads the first `fit_rows` rows of its
+    source in hash order, by one path at every size; `n` counts all rows.
     """
     classes = sized(df.groupBy(source).agg(
         F.count("*").alias("n"), F.min(label).alias("_lo"), F.max(label).alias("_hi"), F.max(F.size("x")).alias("_d")
     ))
     mixed = classes.derive(classes.table.filter(F.col("_lo") != F.col("_hi")).select(source))
-    fitted = _descend_shards(
-        lookup_join(df, mixed, [source], "left_semi"), source, label, key, None, lr, epochs, batch, seed, 0.0, shard_rows
+    fitted = _descend_sources(
+        lookup_join(df, mixed, [source], "left_semi"), source, label, key, None, lr, epochs, batch, seed, 0.0, fit_rows
     )
     learned = fitted.select(source, *_split_theta(), F.col("n").cast("bigint").alias("n"), F.lit(False).alias("constant"))
     single = classes.table.filter(F.col("_lo") == F.col("_hi"))
@@ -197,32 +195,38 @@ def median_models(models: DataFrame, by: list[str] | None = None) -> DataFrame:
     return medians.groupBy(*by).agg(in_order("_pos", "_v").alias("theta")).select(*by, *_split_theta())
 
 
-def ensemble_score(df: DataFrame, models: DataFrame, source: str = "client_id", threshold: float = 0.5) -> DataFrame:
+def ensemble_score(
+    df: DataFrame, models: DataFrame, source: str = "client_id", threshold: float = 0.5, max_cells: int = MAX_BROADCAST_CELLS
+) -> DataFrame:
     """Add `y_proba` = sum of weight * probability over all models, and `y_pred`.
 
-    Models travel as one broadcast array, so rows are not multiplied. Beyond the broadcast
-    bound they are split into blocks whose partial sums are added up in the same pass.
+    Models travel as one broadcast array, so rows are not multiplied. Beyond the broadcast bound
+    they are split into blocks; rows are stored between blocks, so that one block is held at a time.
+    Terms are added in units of 1e-15, so the sum is the same in any order and number of blocks.
     """
     known = sized(models.select(source, "weight", "coef", "intercept"), F.size("coef"))
-    per_block = max(1, MAX_BROADCAST_CELLS // (known.largest + 3))
+    per_block = max(1, max_cells // (known.largest + 3))
     blocks = 1 if known.rows <= per_block else 2 * math.ceil(known.rows / per_block)
     member = F.struct(source, "weight", "coef", "intercept")
     packed = known.table.groupBy(F.pmod(F.xxhash64(source), F.lit(blocks)).alias("_block")).agg(
-        F.array_sort(F.collect_list(member)).alias("_models")
+        F.collect_list(member).alias("_models")
     )
-    scored = df.withColumn("y_proba", F.lit(0.0))
+    zero = F.lit(0).cast("bigint")
+    scored = df.withColumn("_units", zero)
     for b in range(blocks):
+        if b:
+            scored = sized(scored).table
         block = Sized(packed.filter(F.col("_block") == b), 1)
-        part = F.aggregate(
-            F.coalesce("_models", F.array()), F.lit(0.0),
-            lambda acc, m: acc + m["weight"] * sigmoid(dot(F.col("x"), m["coef"]) + m["intercept"]),
-        )
+        part = F.aggregate(F.coalesce("_models", F.array()), zero, lambda acc, m: acc + F.round(
+            m["weight"] * sigmoid(dot(F.col("x"), m["coef"]) + m["intercept"]) * PROBABILITY_UNITS
+        ).cast("bigint"))
         matched = lookup_join(scored.withColumn("_block", F.lit(b).cast("bigint")), block, ["_block"])
-        scored = matched.withColumn("y_proba", F.col("y_proba") + part).drop("_models", "_block")
+        scored = matched.withColumn("_units", F.col("_units") + part).drop("_models", "_block")
+    scored = scored.withColumn("y_proba", F.col("_units") / float(PROBABILITY_UNITS)).drop("_units")
     return scored.withColumn("y_pred", F.when(F.col("y_proba") >= threshold, 1).otherwise(0))
 
 
-def _rounds(df, rounds, source, label, key, cap, seed, lr, epochs, batch, mu, combine, shard_rows) -> np.ndarray:
+def _rounds(df, rounds, source, label, key, cap, seed, lr, epochs, batch, mu, combine, fit_rows) -> np.ndarray:
     """Rounds of local descent from the shared model; only its d + 1 numbers reach the driver."""
     classes = sized(df.groupBy(source).agg(F.min(label).alias("_lo"), F.max(label).alias("_hi")))
     mixed = classes.derive(classes.table.filter(F.col("_lo") != F.col("_hi")).select(source))
@@ -235,7 +239,7 @@ def _rounds(df, rounds, source, label, key, cap, seed, lr, epochs, batch, mu, co
         if theta is None:
             width = usable.agg(F.max(F.size("x"))).first()[0]
             theta = np.zeros(width + 1)
-        local = _descend_shards(sample, source, label, key, theta, lr, epochs, batch, seed + r, mu, shard_rows)
+        local = _descend_sources(sample, source, label, key, theta, lr, epochs, batch, seed + r, mu, fit_rows)
         found = combine(local).first()
         if found is not None and found["theta"] is not None:
             theta = np.array(found["theta"])
@@ -260,13 +264,13 @@ def proximal_rounds(
     lr: float = LEARNING_RATE,
     batch: int = BATCH_SIZE,
     seed: int = 42,
-    shard_rows: int = SHARD_ROWS,
+    fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """One shared linear model: per round every two-class source descends from it with a
     proximal pull, and the results are averaged by row count. Sources above `cap` rows are
     resampled to it in each round."""
     size_weighted = lambda local: average_vectors(local, [], "theta", "n")
-    return _as_model(df, _rounds(df, rounds, source, label, key, cap, seed, lr, epochs, batch, mu, size_weighted, shard_rows))
+    return _as_model(df, _rounds(df, rounds, source, label, key, cap, seed, lr, epochs, batch, mu, size_weighted, fit_rows))
 
 
 def median_rounds(
@@ -280,7 +284,7 @@ def median_rounds(
     lr: float = LEARNING_RATE,
     batch: int = BATCH_SIZE,
     seed: int = 42,
-    shard_rows: int = SHARD_ROWS,
+    fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """As `proximal_rounds` without the pull; sources are combined by coordinate median."""
 
@@ -289,7 +293,7 @@ def median_rounds(
         per = parts.groupBy("_pos").agg(F.median("_v").alias("_v"))
         return per.agg(in_order("_pos", "_v").alias("theta"))
 
-    return _as_model(df, _rounds(df, rounds, source, label, key, cap, seed, lr, epochs, batch, 0.0, medians, shard_rows))
+    return _as_model(df, _rounds(df, rounds, source, label, key, cap, seed, lr, epochs, batch, 0.0, medians, fit_rows))
 
 
 # fixed values: settings of the global fits
@@ -311,11 +315,23 @@ def _estimators(width: int, seed: int) -> dict[str, Callable[..., object]]:
     }
 
 
+@dataclass(frozen=True)
+class ConstantModel:
+    """The predictor of a table with a single class; zero coefficients."""
+
+    value: int
+    width: int
+
+    @property
+    def intercept(self) -> float:
+        return CONSTANT_INTERCEPT if self.value else -CONSTANT_INTERCEPT
+
+
 def fit_global(df: DataFrame, kind: str = "logistic_regression", seed: int = 42, label: str = "label", **settings):
     """Fit one Spark ML model on all rows of `df` (arrays in `x`).
 
-    A single class gives None and its value is left to `constant_models`, as tree and
-    linear learners need two classes.
+    A single class gives a `ConstantModel`, as tree and linear learners need two; no rows give
+    one of class 0.
     """
     if kind not in _estimators(1, seed):
         raise ValueError(f"unknown model kind {kind!r}")
@@ -323,14 +339,16 @@ def fit_global(df: DataFrame, kind: str = "logistic_regression", seed: int = 42,
     try:
         low, high, width = rows.agg(F.min("label"), F.max("label"), F.max(F.size("x"))).first()
         if low == high:
-            return None
+            return ConstantModel(int(low or 0), width or 0)
         return _estimators(width, seed)[kind](**settings).fit(rows.select("label", array_to_vector("x").alias("features")))
     finally:
         rows.unpersist()
 
 
 def score_global(model, df: DataFrame) -> DataFrame:
-    """Add `y_proba` and `y_pred` from a fitted Spark ML model."""
+    """Add `y_proba` and `y_pred` from a fitted Spark ML model or a constant one."""
+    if isinstance(model, ConstantModel):
+        return df.withColumns({"y_proba": F.lit(float(model.value)), "y_pred": F.lit(model.value)})
     rows = df.withColumn("features", array_to_vector("x"))
     scored = model.transform(rows).withColumn("y_proba", vector_to_array("probability")[1])
     return scored.withColumn("y_pred", F.col("prediction").cast("int")).drop(
@@ -340,7 +358,9 @@ def score_global(model, df: DataFrame) -> DataFrame:
 
 def model_parameters(model) -> dict[str, list[float] | float]:
     """Coefficients and intercept of a linear model, layer weights of a perceptron, feature
-    importances of tree models."""
+    importances of tree models; a constant model has zero coefficients."""
+    if isinstance(model, ConstantModel):
+        return {"coef": [0.0] * model.width, "intercept": model.intercept}
     if hasattr(model, "coefficients"):
         return {"coef": model.coefficients.toArray().tolist(), "intercept": float(model.intercept)}
     if hasattr(model, "featureImportances"):

@@ -17,7 +17,6 @@ from sourcetrust.operators.picking import (
     BUCKET_ROWS, group_sizes, hash_cuts, mark_first, picked_by_hash, picked_by_score, score_cuts,
 )
 
-SCORE_FEATURES = 20
 SCORE_SCALE = 1_000_000
 
 
@@ -94,12 +93,12 @@ def feature_stats(df: DataFrame, features: list[str], source: str = "client_id")
 
 
 def outlier_score(features: list[str]) -> Column:
-    """Sum of |z| over the first 20 features in units of 1e-6, given `feature_stats` columns.
+    """Sum of |z| over the features in units of 1e-6, given `feature_stats` columns.
 
     Constant features are skipped. The integer scale makes ties exact.
     """
     total = F.lit(0.0)
-    for f in features[:SCORE_FEATURES]:
+    for f in features:
         std = F.col(f"_std_{f}")
         z = F.abs((F.col(f).cast("double") - F.col(f"_mean_{f}")) / std)
         total = total + F.when(std > 0, z).otherwise(F.lit(0.0))
@@ -126,10 +125,9 @@ def flip_adversarial(
     """
     if not features:
         return flip_random(df, ratio, seed, source, label, key, bucket_rows=bucket_rows)
-    used = features[:SCORE_FEATURES]
-    stats = sized(feature_stats(df, used, source))
+    stats = sized(feature_stats(df, features, source))
     scored = lookup_join(df, stats.derive(stats.table.drop("n")), [source])
-    scored = scored.withColumn("_score", outlier_score(features)).drop(*_stat_names(used))
+    scored = scored.withColumn("_score", outlier_score(features)).drop(*_stat_names(features))
     scored = scored.withColumn("_key", hash_hex(seed, "flip", F.col(key)))
     quotas = stats.derive(stats.table.select(source, "n", share_of(F.col("n"), ratio).alias("quota")))
     cuts = score_cuts(scored, [source], "_score", "_key", quotas, bucket_rows)
@@ -312,7 +310,7 @@ def _tier_cuts(df, tiers, features, seed, source, key, bucket_rows, with_feature
         "_flip_quota": share_of(F.col("n"), F.coalesce(pick(0), F.lit(0.0))),
         "_corrupt_quota": share_of(F.col("n"), F.coalesce(pick(1), F.lit(0.0))),
     }))
-    needed = [f"_{t}_{f}" for f in features[:SCORE_FEATURES] for t in ("mean", "std")]
+    needed = [f"_{t}_{f}" for f in features for t in ("mean", "std")]
     keyed = lookup_join(df, stats.derive(stats.table.select(source, "_adversarial", *needed)), [source])
     keyed = keyed.withColumns({
         "_score": F.when(F.col("_adversarial"), outlier_score(features)).otherwise(F.lit(0).cast("bigint")),
@@ -365,15 +363,15 @@ def restore(
 ) -> DataFrame:
     """Move towards the original: features blended (1 - ratio) : ratio, floor(n * ratio)
     labels of each source put back; ratio 1 or more restores everything."""
-    parent = original.select(key, *[F.col(c).alias(f"_o_{c}") for c in [*features, label]])
+    parent = original.select(source, key, *[F.col(c).alias(f"_o_{c}") for c in [*features, label]])
     if ratio >= 1.0:
-        joined = current.join(parent, key)
+        joined = current.join(parent, [source, key])
         back = {c: F.col(f"_o_{c}") for c in [*features, label]}
         return joined.withColumns(back).withColumn("restored", F.lit(True)).select(*current.columns, "restored")
     quotas = group_sizes(current, [source]).withColumn("quota", share_of(F.col("n"), ratio))
     keyed = current.withColumn("_key", hash_hex(seed, "restore", F.col(key)))
     marked = mark_first(keyed, [source], "_key", quotas, "restored", bucket_rows)
-    joined = marked.join(parent, key)
+    joined = marked.join(parent, [source, key])
     blend = {f: (1.0 - ratio) * F.col(f) + ratio * F.col(f"_o_{f}") for f in features}
     put_back = F.when(F.col("restored"), F.col(f"_o_{label}")).otherwise(F.col(label))
     return joined.withColumns({**blend, label: put_back}).select(*current.columns, "restored")

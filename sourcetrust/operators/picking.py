@@ -30,7 +30,7 @@ def prefix_length(largest: int, bucket_rows: int) -> int:
     """Hex digits needed so that the largest group splits into buckets of `bucket_rows`."""
     if largest <= bucket_rows:
         return 0
-    return min(8, math.ceil(math.log(largest / bucket_rows, 16)))
+    return math.ceil(math.log(largest / bucket_rows, 16))
 
 
 def group_sizes(df: DataFrame, groups: list[str]) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sourcetrust.functions.student_t import p_value, t_quantile
-from sourcetrust.operators.joins import sized
 from sourcetrust.operators.metrics import ratio
 
 
@@ -36,7 +35,6 @@ def improvement(results: DataFrame, against: str, approach: str) -> DataFrame:
 
 def gap_to_best(results: DataFrame) -> DataFrame:
     """Add `best` and `gap` = best - value within each metric."""
-    results = sized(results).table
     best = results.groupBy("metric").agg(F.max("value").alias("best"))
     return results.join(best, "metric").withColumn("gap", F.col("best") - F.col("value"))
 

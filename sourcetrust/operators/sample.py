@@ -71,12 +71,14 @@ def draw_rows(
     key: str,
     replace: bool,
     bucket_rows: int = BUCKET_ROWS,
+    within: str | None = None,
 ) -> DataFrame:
     """`quota` rows of each group: by independent draws (`replace`) or the first in hash order.
 
-    Adds `draw`: the number of the draw, or 0 for rows taken without replacement.
+    Adds `draw`: the number of the draw, or 0 for rows taken without replacement. Where groups hold
+    several sources, `within` names the source column, as keys are unique within a source only.
     """
-    keyed = df.withColumn("_key", hash_hex(seed, F.col(key)))
+    keyed = df.withColumn("_key", hash_hex(seed, *[F.col(c) for c in (within, key) if c]))
     if not replace:
         marked = mark_first(keyed, groups, "_key", quotas, "_in", bucket_rows)
         return marked.filter("_in").drop("_in", "_key").withColumn("draw", F.lit(0).cast("bigint"))
@@ -124,11 +126,10 @@ def weight_quotas(weights: DataFrame, cap: int | None = CAP, base: int = CAP, so
     full proportionality. The product is rounded at 1e-6 so that an exact share such as
     base * K * (1/K) does not lose a row to floating point.
     """
-    weights = sized(weights)
-    quota = F.floor(F.round(F.col("weight") * float(weights.rows) * float(base), 6)).cast("bigint")
+    quota = F.floor(F.round(F.col("weight") * weights.select(F.count("*")).scalar() * float(base), 6)).cast("bigint")
     if cap is not None:
         quota = F.least(quota, F.lit(cap).cast("bigint"))
-    return weights.table.withColumn("quota", F.greatest(quota, F.lit(0).cast("bigint")))
+    return weights.withColumn("quota", F.greatest(quota, F.lit(0).cast("bigint")))
 
 
 def quota_sample(
@@ -159,6 +160,7 @@ def class_ratio_sample(
     key: str = "row_id",
     refill: bool = True,
     bucket_rows: int = BUCKET_ROWS,
+    source: str = "client_id",
 ) -> DataFrame:
     """An evaluation set of `size` rows, floor(size * benign_ratio) of them benign, without
     replacement, limited by what exists. With `refill` attack rows fill the whole set when
@@ -169,7 +171,8 @@ def class_ratio_sample(
     need_attack = F.when(has_benign, size - need_benign).otherwise(size if refill else size - need_benign)
     need = F.when(F.col(label) == 0, F.lit(need_benign)).otherwise(need_attack).cast("bigint")
     quotas = counts.withColumn("quota", F.least(need, F.col("n")))
-    return draw_rows(df, quotas, [label], seed, key, False, bucket_rows).drop("draw")
+    within = source if source in df.columns else None
+    return draw_rows(df, quotas, [label], seed, key, False, bucket_rows, within).drop("draw")
 
 
 def mixing_needs(
@@ -208,7 +211,7 @@ def mix_benign(
         pool.filter(F.col(label) == 0)
         .withColumnRenamed(source, "_home")
         .withColumn("_pool", F.lit(0))
-        .withColumn("_key", hash_hex(seed, F.col(key)))
+        .withColumn("_key", hash_hex(seed, F.col("_home"), F.col(key)))
     )
     sizes = sized(group_sizes(benign, ["_pool"]), F.col("n"))
     available = F.lit(sizes.largest)
@@ -298,11 +301,12 @@ def clean_validation(
     key: str = "row_id",
     split: str = "split",
     tiers: tuple[str, ...] = ("medium", "low"),
+    source: str = "client_id",
 ) -> DataFrame:
     """Validation rows; in `tiers` the values of `columns` come from the clean parent rows."""
     own = perturbed.filter(F.col(split) == "val")
-    parent = clean.select(key, *[F.col(c).alias(f"_clean_{c}") for c in columns], F.lit(True).alias("_parent"))
-    joined = own.join(parent, key, "left")
+    parent = clean.select(source, key, *[F.col(c).alias(f"_clean_{c}") for c in columns], F.lit(True).alias("_parent"))
+    joined = own.join(parent, [source, key], "left")
     use = F.coalesce(F.col(quality).isin(*tiers) & F.col("_parent"), F.lit(False))
     swapped = joined.withColumns({c: F.when(use, F.col(f"_clean_{c}")).otherwise(F.col(c)) for c in columns})
     return swapped.withColumn("from_parent", use).drop("_parent", *[f"_clean_{c}" for c in columns])

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sourcetrust.functions.vectors import LN2, squared_distance
-from sourcetrust.operators.joins import lookup_join, sized
+from sourcetrust.operators.joins import lookup_join
 from sourcetrust.operators.ordering import global_prefix_sum
 
 # fixed values: constants of the trust rules
@@ -126,15 +126,17 @@ def initial_history(sources: DataFrame, known: DataFrame | None = None, params:
     return new.select("client_id", F.lit(0).alias("round"), F.lit(params.initial).alias("trust"))
 
 
-def round_spine(observed: DataFrame, first_round: int, last_round: int) -> DataFrame:
+def round_spine(observed: DataFrame, first_round: int, last_round: int | Column) -> DataFrame:
     """One row per source and round; `computed` is null where the source was inactive."""
     spine = observed.select("client_id").distinct().withColumn(
-        "round", F.explode(F.sequence(F.lit(first_round), F.lit(last_round)))
+        "round", F.explode(F.sequence(F.lit(first_round), F.lit(last_round) if isinstance(last_round, int) else last_round))
     )
     return spine.join(observed, ["client_id", "round"], "left")
 
 
-def adaptive_trust(observed: DataFrame, params: TrustParams = TrustParams(), decay: bool = False) -> DataFrame:
+def adaptive_trust(
+    observed: DataFrame, params: TrustParams = TrustParams(), decay: bool = False, stored: DataFrame | None = None
+) -> DataFrame:
     """Trust history from `client_id, round, computed`, one row per source and round.
 
     The smoothing weight depends on the data, so this is an ordered fold per source over
@@ -142,16 +144,28 @@ def adaptive_trust(observed: DataFrame, params: TrustParams = TrustParams(), dec
     decay rate; use `round_spine` to make such rounds. Returns `client_id, round, trust,
     computed, event, previous, consistency, trend`, where the last two describe the history
     before the update.
+
+    With `stored`, an earlier history, each source goes on from its last stored row; rounds up to
+    it are not applied again. Stored and new rows come back together.
     """
+    past = ["client_id", "round", "trust", "computed", "event"]
     steps = F.array_sort(F.collect_list(F.struct(F.col("round").cast("int").alias("round"), F.col("computed").cast("double").alias("computed"))))
+    per_source = observed.groupBy("client_id").agg(steps.alias("_s"))
+    if stored is None:
+        per_source = per_source.withColumns({"_round": F.lit(None).cast("int"), "_trust": F.lit(None).cast("double")})
+    else:
+        last = F.max_by(F.struct(F.col("round").cast("int").alias("r"), "trust"), "round").alias("_last")
+        last = stored.groupBy("client_id").agg(last).select("client_id", F.col("_last.r").alias("_round"), F.col("_last.trust").alias("_trust"))
+        per_source = per_source.join(last, "client_id", "left")
+    known, begun = F.col("_round").isNotNull(), F.coalesce("_round", F.lit(0))
     start = F.array(F.struct(
-        F.lit(0).alias("round"), F.lit(params.initial).alias("trust"),
-        F.lit(None).cast("double").alias("computed"), F.lit("initial").alias("event"),
+        begun.alias("round"), F.coalesce("_trust", F.lit(params.initial)).alias("trust"),
+        F.lit(None).cast("double").alias("computed"), F.when(known, "resumed").otherwise("initial").alias("event"),
     ))
 
     def step(acc: Column, s: Column) -> Column:
         old = F.element_at(acc, -1)["trust"]
-        first = (F.size(acc) == 1) | (s["round"] == 1)
+        first = (~known & (F.size(acc) == 1)) | (s["round"] == 1)
         updated = next_trust(old, s["computed"], first, params)
         idle = s["computed"].isNull()
         trust = F.when(idle, bounded(old * params.decay, params.initial)).otherwise(updated) if decay else updated
@@ -160,9 +174,10 @@ def adaptive_trust(observed: DataFrame, params: TrustParams = TrustParams(), dec
             s["round"].alias("round"), trust.alias("trust"), s["computed"].alias("computed"), event.alias("event")
         )))
 
-    folded = observed.groupBy("client_id").agg(steps.alias("_s")).select(
-        "client_id", F.inline(F.aggregate("_s", start, step))
-    )
+    due = F.filter("_s", lambda s: ~known | (s["round"] > begun))
+    folded = per_source.select("client_id", F.inline(F.aggregate(due, start, step))).filter("event <> 'resumed'")
+    if stored is not None:
+        folded = stored.select(*past).unionByName(folded)
     return describe_history(folded, params.window)
 
 
@@ -248,7 +263,6 @@ def trust_weights(
     """
     by = by or []
     beta = beta if isinstance(beta, Column) else F.lit(beta)
-    trust = sized(trust).table
     base = F.greatest(F.col("trust"), F.lit(0.0))
     if min_trust > 0:
         base = F.when(base >= min_trust, base).otherwise(F.lit(0.0))
@@ -262,7 +276,6 @@ def trust_weights(
 
 def equal_weights(sources: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    sources = sized(sources).table
     joined = _with_totals(sources, by, {"_k": F.count("*")})
     return joined.withColumn("weight", 1.0 / F.col("_k")).drop("_k")
 

@@ -6,6 +6,8 @@ seed and key; floating-point output is rounded as in the queries.
 
 from __future__ import annotations
 
+import re
+
 from sourcetrust.plans.rounding import nudge
 
 FEATURES = ["quantity", "extendedprice", "discount", "tax"]
@@ -40,6 +42,9 @@ def normal(hex_: str) -> str:
 
 
 def with_(*ctes: str, final: str, recursive: bool = False) -> str:
+    """A statement of steps; each is computed once, where none is recursive."""
+    if not recursive:
+        ctes = tuple(re.sub(r"(^|,\n)(\w+) AS \(", r"\1\2 AS MATERIALIZED (", cte) for cte in ctes)
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + "\n" + final
 
 
@@ -230,7 +235,7 @@ QUOTAS = """demand AS (SELECT *, greatest(least(CAST(floor(round(weight * k * 20
   FROM (SELECT *, count(*) OVER () AS k FROM weighted))"""
 DEMAND_CHAIN = (*HISTORY_CHAIN, LATEST, weights("latest", "", "weighted", "0.6"), QUOTAS)
 
-USERS = """user_events AS (SELECT 'user_' || user_id AS client_id, CAST(day(ts) AS BIGINT) AS round,
+USERS = """user_events AS (SELECT 'user_' || user_id AS client_id, CAST(date_diff('day', (SELECT CAST(min(ts) AS DATE) FROM events), CAST(ts AS DATE)) + 1 AS BIGINT) AS round,
   CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y_true, CASE WHEN value > 50 THEN 1 ELSE 0 END AS y_pred FROM events)"""
 DAILY = "daily AS (SELECT client_id, round, avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0 END) AS computed FROM user_events GROUP BY ALL)"
 USER_CHAIN = (USERS, DAILY, history("daily"))
@@ -450,11 +455,11 @@ ORACLES: dict[str, str] = {
         shares("allowed", "want", "qs"), draws("qs", "flows", "ns > want"),
         final="""SELECT client_id, row_id, label, draw FROM drawn UNION ALL SELECT client_id, row_id, label, 0 FROM flows
   WHERE client_id IN (SELECT client_id FROM qs WHERE ns <= want)""", recursive=True),
-    "class_ratio_sample": with_(FLOWS, final=f"""SELECT client_id, row_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {key("'42'", "row_id")}) AS r FROM flows)
+    "class_ratio_sample": with_(FLOWS, final=f"""SELECT client_id, row_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {key("'42'", "client_id", "row_id")}) AS r FROM flows)
   WHERE r <= CASE WHEN label = 0 THEN 2000 WHEN (SELECT count(*) FROM flows WHERE label = 0) > 0 THEN 8000 ELSE 10000 END"""),
     "mix_benign": with_(FLOWS, "pool AS (SELECT * FROM flows WHERE supplier % 12 < 3 AND label = 0)", "attack AS (SELECT * FROM flows WHERE supplier % 12 >= 3)",
         f"""needs AS (SELECT client_id, CAST(floor(count(*) FILTER (label = 1) * {dbl(0.6)} / ({dbl(1)} - {dbl(0.6)})) AS BIGINT) - count(*) FILTER (label = 0) AS need FROM attack GROUP BY 1)""",
-        f"""ranked AS (SELECT row_id, label, row_number() OVER (ORDER BY {key("'42'", "row_id")}) AS r FROM pool)""",
+        f"""ranked AS (SELECT row_id, label, row_number() OVER (ORDER BY {key("'42'", "client_id", "row_id")}) AS r FROM pool)""",
         final="""SELECT client_id, row_id, label, false AS mixed_in FROM attack WHERE client_id IN (SELECT client_id FROM needs WHERE need > 0)
   UNION ALL SELECT n.client_id, r.row_id, r.label, true FROM needs n JOIN ranked r ON r.r <= n.need"""),
     "resize": with_(FLOWS, "counts AS (SELECT client_id, label, count(*) AS n, CASE any_value(quality) WHEN 'high' THEN 25000 WHEN 'medium' THEN 5000 WHEN 'low' THEN 3000 ELSE 25000 END AS target FROM flows GROUP BY ALL)",
@@ -526,7 +531,7 @@ ORACLES: dict[str, str] = {
   {rnd('lag(trust) OVER (PARTITION BY client_id ORDER BY round)', name='previous')}, {rnd(steady('trust', PAST5), name='consistency')}, event,
   {trend(slope('trust', PAST5))} AS trend FROM numbered""", recursive=True),
     "trust_smoothed": with_(*METRICS_CHAIN, OBSERVED, history(alpha=0.5, first="smoothed"), final=f"SELECT client_id, round, {rnd('trust')} FROM history", recursive=True),
-    "trust_decay": with_(USERS, DAILY, "spine AS (SELECT client_id, unnest(range(1, 31)) AS round FROM (SELECT DISTINCT client_id FROM daily))",
+    "trust_decay": with_(USERS, DAILY, "spine AS (SELECT client_id, unnest(range(1, (SELECT max(round) + 1 FROM daily))) AS round FROM (SELECT DISTINCT client_id FROM daily))",
         "filled AS (SELECT s.client_id, s.round, d.computed FROM spine s LEFT JOIN daily d USING (client_id, round))", history("filled", decay=True),
         final=f"SELECT client_id, round, CASE WHEN seq = 0 THEN 'initial' ELSE event END AS event, {rnd('trust')} FROM history", recursive=True),
     "trust_drops": with_(*USER_CHAIN, "steps AS (SELECT client_id, round, trust, lag(trust) OVER (PARTITION BY client_id ORDER BY round) AS previous FROM history)",
@@ -605,3 +610,6 @@ ORACLES: dict[str, str] = {
         f"steps AS (SELECT *, lag(trust) OVER (PARTITION BY client_id ORDER BY round) - trust AS fall FROM history)",
         final=f"SELECT client_id, window_end, round, event, {rnd('trust')}, fall > {dbl(0.2)} AS alert FROM steps JOIN ends USING (client_id, round)", recursive=True),
 }
+
+# continuing a stored history gives the history
+ORACLES["trust_resumed"] = ORACLES["trust_adaptive"]

@@ -26,7 +26,6 @@ BETAS = [0.5, 0.8, 1.0, 1.2]
 THRESHOLDS = [0.0, 0.6]
 # accuracy, stability, drift, uncertainty
 LAMBDA_SETS = [(1.0, 0.0, 0.0, 0.0), (1.0, 0.3, 0.0, 0.0), (1.0, 0.3, 0.2, 0.0), (1.0, 0.3, 0.2, 0.2)]
-MONTH_DAYS = 30
 
 
 def query(fn: Query) -> Query:
@@ -329,8 +328,8 @@ def confusion(spark, sf_dir):
 
 @query
 def join_predictions(spark, sf_dir):
-    truth = fx.flows(spark, sf_dir).select("row_id", F.col("label").alias("y_true"))
-    predictions = fx.agreement(spark, sf_dir).select("row_id", "quality", "y_pred")
+    truth = fx.flows(spark, sf_dir).select("client_id", "row_id", F.col("label").alias("y_true"))
+    predictions = fx.agreement(spark, sf_dir).select("client_id", "row_id", "quality", "y_pred")
     joined = metrics.join_predictions(truth, predictions)
     return metrics.evaluate(joined, ["quality"]).select("quality", "tn", "fp", "fn", "tp", *rounded_as(RATES))
 
@@ -478,14 +477,26 @@ def signal_stability(spark, sf_dir):
     return steady.select("client_id", *longs(["round"]), *rounded_as(["accuracy", "stability"]))
 
 
-@query
-def trust_adaptive(spark, sf_dir):
-    history = agreement_history(spark, sf_dir)
+def adaptive_columns(history: DataFrame) -> DataFrame:
     return history.select(
         "client_id", *longs(["round"]), *rounded_as(["trust", "computed", "previous", "consistency"]), "event", "trend"
     )
 
 
+@query
+def trust_adaptive(spark, sf_dir):
+    return adaptive_columns(agreement_history(spark, sf_dir))
+
+
+@query
+def trust_resumed(spark, sf_dir):
+    """The adaptive history in two parts: rounds 1 to 4 are stored, later ones continue them."""
+    observed = observed_trust(spark, sf_dir).select("client_id", "round", "computed")
+    stored = sized(trust.adaptive_trust(observed.filter("round <= 4"))).table
+    history = trust.adaptive_trust(observed, stored=stored)
+    return adaptive_columns(history)
+
+
 @query
 def trust_smoothed(spark, sf_dir):
     """The variant whose first update is smoothed as well."""
@@ -495,10 +506,12 @@ def trust_smoothed(spark, sf_dir):
 
 
 def daily_users(spark, sf_dir) -> DataFrame:
-    """Accuracy of the value rule per user and day; users are idle on many days."""
-    events = fx.table(spark, sf_dir, "events").select(
+    """Accuracy of the value rule per user and day since the first event; users are idle on many days."""
+    events = fx.table(spark, sf_dir, "events")
+    first_day = events.select(F.min(F.to_date("ts"))).scalar()
+    events = events.select(
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("client_id"),
-        F.dayofmonth("ts").alias("round"),
+        (F.date_diff(F.to_date("ts"), first_day) + 1).alias("round"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).alias("y_true"),
         F.when(F.col("value") > 50, 1).otherwise(0).alias("y_pred"),
     )
@@ -507,7 +520,8 @@ def daily_users(spark, sf_dir) -> DataFrame:
 
 @query
 def trust_decay(spark, sf_dir):
-    spine = trust.round_spine(daily_users(spark, sf_dir), 1, MONTH_DAYS)
+    daily = daily_users(spark, sf_dir)
+    spine = trust.round_spine(daily, 1, daily.select(F.max("round")).scalar())
     history = trust.adaptive_trust(spine, decay=True)
     return history.select("client_id", *longs(["round"]), "event", *rounded_as(["trust"]))
 

@@ -103,7 +103,7 @@ def parent_name(name: Column) -> Column:
 
 def reserve_source(df: DataFrame, name: str = "source_name") -> DataFrame:
     """The one source to hold out: a prepared test set, else the first mixed, high or
-    medium source, else the last one."""
+    medium source, else the last one. None where there is only one source."""
     names = df.select(name).distinct().filter(~F.lower(F.col(name)).contains(BENIGN_MARK))
     lower = F.lower(F.col(name))
     priority = (
@@ -114,7 +114,9 @@ def reserve_source(df: DataFrame, name: str = "source_name") -> DataFrame:
         .otherwise(5)
     )
     best = names.withColumn("_p", priority).groupBy("_p").agg(F.min(name).alias("_a"), F.max(name).alias("_z"))
-    return best.orderBy("_p").limit(1).select(F.when(F.col("_p") == 5, F.col("_z")).otherwise(F.col("_a")).alias(name))
+    chosen = best.orderBy("_p").limit(1).select(F.when(F.col("_p") == 5, F.col("_z")).otherwise(F.col("_a")).alias(name))
+    # a lone source is needed for training
+    return chosen.filter(df.select(F.count_distinct(name) > 1).scalar())
 
 
 def training_sources(df: DataFrame, reserved: DataFrame, name: str = "source_name") -> DataFrame:

@@ -90,5 +90,10 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def write_documents(history: DataFrame, path: str) -> None:
-    """JSON lines, one document per source; replaces earlier documents."""
-    to_documents(history).select(F.col("document").alias("value")).write.mode("overwrite").text(path)
+    """JSON lines, one document per source, in one folder per source.
+
+    Replaces the documents of the sources in `history` alone; a repeated write changes nothing.
+    """
+    documents = to_documents(history).select(F.col("client_id").alias("source"), F.col("document").alias("value"))
+    writer = documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("source").text(path)

@@ -44,11 +44,13 @@ def test_local_fit_is_the_numpy_descent(vectors):
         assert np.allclose(got[name], numpy_descent(x, y, np.zeros(65), 7, 0.0, 2), atol=1e-12)
 
 
-def test_hot_source_is_fitted_in_shards(vectors):
-    one = {r["client_id"]: r for r in models.fit_sources(vectors, shard_rows=30).collect()}
+def test_fit_reads_a_bounded_number_of_rows(vectors):
+    got = {r["client_id"]: r for r in models.fit_sources(vectors, seed=7, fit_rows=30).collect()}
     sizes = {r["client_id"]: r["count"] for r in vectors.groupBy("client_id").count().collect()}
-    assert {c: r["n"] for c, r in one.items()} == sizes
-    assert all(np.isfinite(r["coef"]).all() for r in one.values())
+    assert {c: r["n"] for c, r in got.items()} == sizes
+    for name, (x, y) in by_source(vectors, 7).items():  # rows in hash order
+        expected = numpy_descent(x[:30], y[:30], np.zeros(65), 7, 0.0, 2)
+        assert np.allclose(np.r_[got[name]["coef"], got[name]["intercept"]], expected, atol=1e-12)
 
 
 def test_constant_model_for_one_class(spark):
@@ -81,11 +83,10 @@ def test_capped_rounds_run(vectors):
     assert len(got["coef"]) == 64 and np.isfinite(got["coef"]).all()
 
 
-def test_ensemble_in_blocks(spark, vectors, monkeypatch):
+def test_ensemble_in_blocks(vectors):
     fitted = models.fit_sources(vectors).withColumn("weight", F.lit(0.2))
-    whole = models.ensemble_score(vectors, fitted).select("row_id", F.round("y_proba", 9).alias("p"))
-    monkeypatch.setattr(models, "MAX_BROADCAST_CELLS", 150)
-    blocks = models.ensemble_score(vectors, fitted).select("row_id", F.round("y_proba", 9).alias("p"))
+    whole = models.ensemble_score(vectors, fitted).select("row_id", "y_proba")
+    blocks = models.ensemble_score(vectors, fitted, max_cells=150).select("row_id", "y_proba")
     assert whole.exceptAll(blocks).isEmpty()
 
 
@@ -102,7 +103,11 @@ def test_global_fit(vectors, kind, settings):
 
 
 def test_global_fit_needs_two_classes(vectors):
-    assert models.fit_global(vectors.filter("label = 1")) is None
+    one_class = vectors.filter("label = 1")
+    model = models.fit_global(one_class)
+    scored = models.score_global(model, one_class)
+    assert scored.filter("y_pred <> 1 OR y_proba <> 1").isEmpty() and scored.count() == one_class.count()
+    assert models.model_parameters(model) == {"coef": [0.0] * 64, "intercept": 50.0}
     with pytest.raises(ValueError):
         models.fit_global(vectors, "other")
 
