@@ -6,7 +6,7 @@ recomputes exactly the same sample.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _part(value) -> Column:
@@ -38,3 +38,8 @@ def hex_normal(hex_: Column, first: int, second: int) -> Column:
     """Standard normal draw: Box-Muller on two groups of eight hex digits."""
     u, v = hex_uniform(hex_, first), hex_uniform(hex_, second)
     return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2.0 * F.pi() * v)
+
+
+def row_key(source: str, key: str, *tables: DataFrame) -> list[str]:
+    """Columns that identify a row: keys are unique within a source; tables without sources have one."""
+    return [source, key] if all(source in t.columns for t in tables) else [key]

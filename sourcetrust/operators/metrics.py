@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sourcetrust.functions.keys import row_key
 from sourcetrust.operators.ordering import global_prefix_sum
 
 
@@ -43,7 +44,7 @@ def join_predictions(
     truth: DataFrame, predictions: DataFrame, key: str = "row_id", source: str = "client_id"
 ) -> DataFrame:
     """Truth and prediction of the same row, matched by source and key and never by position."""
-    return truth.join(predictions, [source, key])
+    return truth.join(predictions, row_key(source, key, truth, predictions))
 
 
 def classification_report(df: DataFrame, by: list[str]) -> DataFrame:

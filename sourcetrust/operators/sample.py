@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sourcetrust.functions.keys import hash_hex, hash_slot
+from sourcetrust.functions.keys import hash_hex, hash_slot, row_key
 from sourcetrust.operators.joins import Sized, lookup_join, sized
 from sourcetrust.operators.picking import BUCKET_ROWS, group_sizes, mark_first, number_line, take_slots
 
@@ -305,8 +305,9 @@ def clean_validation(
 ) -> DataFrame:
     """Validation rows; in `tiers` the values of `columns` come from the clean parent rows."""
     own = perturbed.filter(F.col(split) == "val")
-    parent = clean.select(source, key, *[F.col(c).alias(f"_clean_{c}") for c in columns], F.lit(True).alias("_parent"))
-    joined = own.join(parent, [source, key], "left")
+    same = row_key(source, key, perturbed, clean)
+    parent = clean.select(*same, *[F.col(c).alias(f"_clean_{c}") for c in columns], F.lit(True).alias("_parent"))
+    joined = own.join(parent, same, "left")
     use = F.coalesce(F.col(quality).isin(*tiers) & F.col("_parent"), F.lit(False))
     swapped = joined.withColumns({c: F.when(use, F.col(f"_clean_{c}")).otherwise(F.col(c)) for c in columns})
     return swapped.withColumn("from_parent", use).drop("_parent", *[f"_clean_{c}" for c in columns])
