@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sourcetrust.llm.tables import Memory
+from sourcetrust.llm.tables import Memory, worker_value
 
 BUCKETS = 1 << 18
 DIM = 8
 SIZES = (3, 4, 5, 6)
-KNOWN = 600_000  # chunks remembered by one task, at most
+KNOWN = 800_000  # chunks, and words, remembered by one Python worker, at most
+PLAIN, NO_WORD = 0, None  # a word without a trained n-gram, a chunk without a word
 HELD_OUT = 1  # remainder of crc32(id) modulo 3
 
 
@@ -42,8 +43,14 @@ def word_of(chunk: str) -> str:
 def buckets_of(word: str) -> list[int]:
     """Rows of a word's n-grams, its ends marked, and of the word itself."""
     shown = f"<{word}>"
-    grams = [shown[i:i + n] for n in SIZES for i in range(len(shown) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in (*grams, shown)]
+    if shown.isascii():
+        raw, size = shown.encode(), len(shown)
+        grams = [raw[i:i + n] for n in SIZES for i in range(size - n + 1)]
+        grams.append(raw)
+    else:
+        pieces = [shown[i:i + n] for n in SIZES for i in range(len(shown) - n + 1)]
+        grams = [g.encode("utf-8", "replace") for g in (*pieces, shown)]
+    return [zlib.crc32(g) % BUCKETS for g in grams]
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +192,8 @@ def train(
     taken = texts.join(F.broadcast(sample), "_id").select(F.col("_id").cast("string"), "_y", "_text")
     bagged = taken.mapInArrow(bags, "id string, y int, rows binary, weights binary")
     model = bagged.repartition(1).sortWithinPartitions("id", "y").mapInArrow(fitted, "logits binary, bias binary").first()
+    if model is None:  # no labelled row: no task has run
+        return fit(np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.int64))
     return Model(np.frombuffer(model["logits"], np.float32).reshape(BUCKETS, 2), np.frombuffer(model["bias"], np.float64))
 
 
@@ -194,27 +203,35 @@ def score_texts(df: DataFrame, model: Model, id_: str = "doc_id", text: str = "t
     Only the text is read. Null, empty and wordless texts get the score of the bias alone. A column
     named `out` is replaced. An empty table gives no rows.
     """
-    logits, bias = model.logits, model.bias
+    at = np.flatnonzero(model.logits.any(axis=1))
+    trained = dict(zip(at.tolist(), map(tuple, model.logits[at].astype(float).tolist()), strict=True))
+    bias, version = model.bias, zlib.crc32(model.logits.tobytes())
     kept = [c for c in df.columns if c != out]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trained = Model(logits, bias)
+        def weigh(word: str):
+            rows = buckets_of(word)
+            hits = [trained[r] for r in rows if r in trained]
+            return (sum(a for a, _ in hits) / len(rows), sum(b for _, b in hits) / len(rows)) if hits else PLAIN
 
-        def weighed(chunk: str) -> tuple[float, float, int]:
+        def look_up(chunk: str):
             word = word_of(chunk)
-            return (*logits[buckets_of(word)].mean(axis=0).tolist(), 1) if word else (0.0, 0.0, 0)
-
-        known = Memory(KNOWN, weighed)
+            return words[word] if word else NO_WORD
+
+        # chunks of all tasks of a worker; another model starts anew
+        held = worker_value("toxicity", dict)
+        if held.get("version") != version:
+            held |= {"version": version, "chunks": Memory(KNOWN), "words": Memory(KNOWN)}
+        words, chunks, scorer = held["words"], held["chunks"], Model(np.empty(0), bias)
+        words.make, chunks.make = weigh, look_up
         for batch in batches:
             values = []
-            for value in batch.column(batch.num_columns - 1):
-                counts = Counter((value.as_py() or "").split())
-                low = high = 0.0
-                total = 0
-                for chunk, n in counts.items():
-                    found = known[chunk]
-                    low, high, total = low + n * found[0], high + n * found[1], total + n * found[2]
-                values.append(trained.score(np.array([low, high]) / max(1, total)))
+            for text_ in batch.column(batch.num_columns - 1):
+                found = list(map(chunks.__getitem__, (text_.as_py() or "").split()))
+                marked = [f for f in found if f]
+                n = max(1, len(found) - found.count(NO_WORD))
+                sums = np.array([sum(f[0] for f in marked), sum(f[1] for f in marked)])
+                values.append(scorer.score(sums / n))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=[*batch.schema.names[:-1], out])
 
     fields = df.select(*kept).schema.add(out, "double")
