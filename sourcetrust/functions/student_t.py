@@ -73,4 +73,5 @@ def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([quantile(a, b) for a, b in zip(p, df)])
+    known = {pair: quantile(*pair) for pair in set(zip(p, df))}  # degrees of freedom repeat
+    return pd.Series([known[pair] for pair in zip(p, df)])

@@ -5,6 +5,7 @@ Floating-point results are rounded so that two engines summing in different orde
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -879,7 +880,8 @@ def global_fit_perceptron(spark, sf_dir):
 
 @query
 def approach_comparison(spark, sf_dir):
-    """Pooled, equal-weight and trust-weighted training compared on the same held-out rows."""
+    """Five ways of training compared on the same held-out rows: pooled, equal-weight, trust-weighted,
+    proximal rounds and rounds of the coordinate median."""
     split = sample.split_stratified(fx.vectors(spark, sf_dir), 0.2, fx.SEED)
     train, val = split.filter("split = 'train'"), split.filter("split = 'val'")
     weights = vector_weights(train).select("client_id", "trust", "weight")
@@ -893,7 +895,15 @@ def approach_comparison(spark, sf_dir):
         metrics.evaluate(models.score_global(models.fit_global(rows, seed=fx.SEED), truth), []).withColumn("approach", F.lit(name))
         for name, rows in sets.items()
     ]
-    merged = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    shared = {
+        "proximal": models.proximal_rounds(train, rounds=3, seed=fx.SEED),
+        "median": models.median_rounds(train, rounds=3, seed=fx.SEED),
+    }
+    tables += [
+        metrics.evaluate(models.score_linear(truth, model), []).withColumn("approach", F.lit(name))
+        for name, model in shared.items()
+    ]
+    merged = functools.reduce(DataFrame.unionByName, tables)
     return reports.melt_metrics(merged, ["approach"], RATES).select("approach", "metric", rounded("value").alias("value"))
 
 

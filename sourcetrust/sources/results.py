@@ -51,17 +51,21 @@ def trial_summaries(logs: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
     The first such line per metric counts.
     """
-    entries = []
+    # fixed values: the shape of a printed line
+    pair, lines = r"([\d.]+)±([\d.]+)", {}
     for metric, title in LOG_METRICS.items():
-        pattern = title + r"\s+" + r"\s+".join([r"([\d.]+)±([\d.]+)"] * len(LOG_APPROACHES))
-        for i, approach in enumerate(LOG_APPROACHES):
-            entries.append(F.struct(
-                F.lit(approach).alias("approach"),
-                F.lit(metric).alias("metric"),
-                _number(F.col(text), pattern, 2 * i + 1).alias("mean"),
-                _number(F.col(text), pattern, 2 * i + 2).alias("std"),
-            ))
-    return logs.select(*keys, F.inline(F.array(*entries))).filter(F.col("mean").isNotNull())
+        line = F.regexp_extract(F.col(text), title + r"\s+" + r"\s+".join([pair] * len(LOG_APPROACHES)), 0)
+        lines[metric] = F.transform(F.regexp_extract_all(line, F.lit(pair), F.lit(0)), lambda p: F.split(p, "±"))
+    found = logs.select(*keys, *[pairs.alias(f"_{metric}") for metric, pairs in lines.items()])
+    entries = [
+        F.struct(
+            F.lit(approach).alias("approach"), F.lit(metric).alias("metric"),
+            F.get(F.get(f"_{metric}", F.lit(i)), F.lit(0)).try_cast("double").alias("mean"),
+            F.get(F.get(f"_{metric}", F.lit(i)), F.lit(1)).try_cast("double").alias("std"),
+        )
+        for metric in LOG_METRICS for i, approach in enumerate(LOG_APPROACHES)
+    ]
+    return found.select(*keys, F.inline(F.array(*entries))).filter(F.col("mean").isNotNull())
 
 
 def comparison_rows(logs: DataFrame, text: str, keys: list[str]) -> DataFrame:
