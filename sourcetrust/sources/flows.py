@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -34,10 +36,27 @@ def scan_sources(
 
 
 def scan_mixed_sources(spark: SparkSession, paths: list[str], fmt: str = "csv") -> DataFrame:
-    """Read sources whose columns differ: union by name, absent features become 0."""
+    """Read sources whose columns differ: union by name, absent features become 0.
+
+    Parquet files are one scan with a merged schema; text files are read one by one, as each has
+    its own header.
+    """
+    if fmt == "parquet":
+        merged = spark.read.option("mergeSchema", True).parquet(*paths)
+        return union_sources([merged.withColumn("source_name", F.col("_metadata.file_name"))])
     return union_sources([scan_sources(spark, p, fmt) for p in paths])
 
 
+def scan_preferred(spark: SparkSession, folder: str, fmt: str = "csv", schema=None) -> DataFrame:
+    """Scan only the files of the best kind of training source in a folder, by its listing."""
+    files = [unquote(f) for f in spark.read.format("text").load(folder).inputFiles()]
+    listed = spark.createDataFrame([(f, f.rsplit("/", 1)[-1]) for f in files], "path string, source_name string")
+    chosen = [r["path"] for r in prefer_sources(listed).collect()]
+    if not chosen:
+        raise ValueError(f"no training source in {folder}")
+    return scan_sources(spark, chosen, fmt, schema)
+
+
 def _marked(name: Column, marks: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for mark in marks:

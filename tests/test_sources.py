@@ -119,3 +119,19 @@ def test_logs(spark):
     rows = {(r["approach"], r["metric"]): r["value"] for r in results.comparison_rows(df, "log", ["id"]).collect()}
     assert rows[("trust_weighted", "accuracy")] == 0.9 and rows[("centralized", "f1_score")] == 0.4
     assert [r[0] for r in df.orderBy("id").select(results.test_accuracy(F.col("log"))).collect()] == [0.7312, None]
+
+
+def test_unwanted_files_are_not_scanned(spark, folder):
+    df = flows.scan_preferred(spark, str(folder))
+    assert sorted(f.rsplit("/", 1)[-1] for f in df.inputFiles()) == [
+        "client_1_high_quality_mixed_a.csv", "client_2_compromised_mixed_b.csv"]
+    assert names_of(df) == names_of(flows.prefer_sources(flows.scan_sources(spark, str(folder))))
+    with pytest.raises(ValueError, match="no training source"):
+        flows.scan_preferred(spark, str(folder / "benign.csv"))
+
+
+def test_mixed_parquet_is_one_scan(spark, tmp_path):
+    for name, rows, schema in (("a", [(1, 2.0)], "row_id int, x double"), ("b", [(2, 3.0)], "row_id int, y double")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+    df = flows.scan_mixed_sources(spark, [str(tmp_path / "a"), str(tmp_path / "b")], "parquet")
+    assert {(r["row_id"], r["x"], r["y"]) for r in df.collect()} == {(1, 2.0, 0.0), (2, 0.0, 3.0)}
