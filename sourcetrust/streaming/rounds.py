@@ -46,57 +46,68 @@ class TrustProcessor(StatefulProcessor):
     """Keeps trust, last window end and round number of one source.
 
     Windows of a micro-batch are sorted before they are folded in. A window without events
-    decays trust: gaps when the next window arrives, trailing ones by an event-time timer.
+    decays trust: gaps when the next window arrives, trailing ones by an event-time timer. After
+    `idle_windows` windows in a row without events (None: never) the source is retired: its state
+    and timer go, no more decay rows are made, and a later window starts it anew.
     """
 
-    def __init__(self, params: TrustParams, window_ms: int) -> None:
+    def __init__(self, params: TrustParams, window_ms: int, idle_windows: int | None = None) -> None:
         self.params = params
         self.window_ms = window_ms
+        self.idle_windows = idle_windows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("trust", "trust double, last_end bigint, round int")
+        self.state = handle.getValueState("trust", "trust double, last_end bigint, round int, idle int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         table = pd.concat(list(rows)).sort_values("window_end")
-        trust, last, number = self._read()
+        trust, last, number, idle = self._read()
         out = []
         for end, computed in zip(table["window_end"], table["computed"]):
             end_ms = int(pd.Timestamp(end).value // 1_000_000)
             if last is not None:
-                trust, last, number = self._idle(key, trust, last, number, end_ms - self.window_ms, out)
+                trust, last, number, idle = self._idle(key, trust, last, number, idle, end_ms - self.window_ms, out)
             number += 1
             trust = self._record(key, end_ms, number, "update", computed, trust, self._next(trust, computed, number), out)
-            last = end_ms
-        self._write(trust, last, number)
+            last, idle = end_ms, 0
+        self._write(trust, last, number, idle)
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        trust, last, number = self._read()
+        trust, last, number, idle = self._read()
         out = []
         if last is not None:
-            trust, last, number = self._idle(key, trust, last, number, timerValues.getCurrentWatermarkInMs(), out)
-            self._write(trust, last, number)
+            now = timerValues.getCurrentWatermarkInMs()
+            self._write(*self._idle(key, trust, last, number, idle, now, out))
         yield self._frame(out)
 
     def close(self) -> None:
         pass
 
     def _read(self):
-        return tuple(self.state.get()) if self.state.exists() else (self.params.initial, None, 0)
+        return tuple(self.state.get()) if self.state.exists() else self._unknown()
 
-    def _write(self, trust, last, number) -> None:
+    def _unknown(self):
+        return self.params.initial, None, 0, 0
+
+    def _write(self, trust, last, number, idle) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.state.update((float(trust), int(last), int(number)))
+        if last is None:
+            self.state.clear()
+            return
+        self.state.update((float(trust), int(last), int(number), int(idle)))
         self.handle.registerTimer(int(last) + self.window_ms)
 
-    def _idle(self, key, trust, last, number, until_ms, out):
-        """Decay once for every window that ended by `until_ms` without events."""
+    def _idle(self, key, trust, last, number, idle, until_ms, out):
+        """Decay once for every window that ended by `until_ms` without events, up to retirement."""
         while last + self.window_ms <= until_ms:
-            last, number = last + self.window_ms, number + 1
+            if self.idle_windows is not None and idle >= self.idle_windows:
+                return self._unknown()
+            last, number, idle = last + self.window_ms, number + 1, idle + 1
             trust = self._record(key, last, number, "decay", None, trust, trust * self.params.decay, out)
-        return trust, last, number
+        return trust, last, number, idle
 
     def _next(self, old, computed, number) -> float:
         if computed is None or computed != computed or abs(computed) == float("inf"):
@@ -119,15 +130,18 @@ class TrustProcessor(StatefulProcessor):
 
 
 def trust_stream(
-    events: DataFrame, params: TrustParams = TrustParams(), window: str = WINDOW, window_ms: int = 7 * DAY_MS, delay: str = DELAY
+    events: DataFrame, params: TrustParams = TrustParams(), window: str = WINDOW, window_ms: int = 7 * DAY_MS, delay: str = DELAY,
+    idle_windows: int | None = None,
 ) -> DataFrame:
     """Trust per source and window with decay and alerts, from a stream of predictions.
 
+    With `idle_windows`, a source without events for that many windows is forgotten.
+
     Needs the RocksDB state store (`run_stream` sets it).
     """
     measured = round_metrics(events, window, delay).select("client_id", "window_end", F.col("accuracy").alias("computed"))
     return measured.groupBy("client_id").transformWithStateInPandas(
-        statefulProcessor=TrustProcessor(params, window_ms),
+        statefulProcessor=TrustProcessor(params, window_ms, idle_windows),
         outputStructType=OUTPUT,
         outputMode="append",
         timeMode="EventTime",

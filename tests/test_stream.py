@@ -59,3 +59,11 @@ def test_stateful_trust_equals_the_batch_fold(spark, batches):
     assert [(r["client_id"], r["round"]) for r in alerts] == [("x", 5)]
     idle = [r["event"] for r in table.filter("client_id = 'y'").orderBy("round").collect()]
     assert idle == ["update"] + ["decay"] * 6
+
+
+def test_idle_source_is_retired(spark, batches):
+    stream = rounds.trust_stream(read(spark, batches), window="1 day", window_ms=rounds.DAY_MS, idle_windows=2)
+    rows = rounds.run_stream(stream, "retired").orderBy("window_end").collect()
+    assert [r["event"] for r in rows if r["client_id"] == "y"] == ["update", "decay", "decay"]
+    assert [(r["round"], r["event"]) for r in rows if r["client_id"] == "x"][:5] == [
+        (1, "update"), (2, "update"), (3, "decay"), (4, "decay"), (5, "update")]
