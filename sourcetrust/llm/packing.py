@@ -75,6 +75,7 @@ PIECES = (
 def pack_sequences(
     df: DataFrame, tokenizer: str, end_id: int = 0, id_: str = "doc_id", text: str = "text", source: str = "source",
     kind: str = "whole", sequence: int = 1024, window_sequences: int = 64, targets: dict[str, float] | None = None,
+    with_ids: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
@@ -83,8 +84,10 @@ def pack_sequences(
     it does not name weighs as much as its share of the tokens, and without targets all do. A
     source that is emptied leaves its share to the others. Sources with a share below two tokens a
     window share one queue, so there are at most window / 2 queues. A null source is a source. Rows
-    that repeat an id are packed each. An empty table gives no rows.
+    that repeat an id are packed each. An empty table gives no rows. Without `with_ids` the column
+    `ids` is left out.
     """
+    schema = PIECES if with_ids else PIECES.removesuffix(", ids binary")
     space, window = Workspace(df.sparkSession, "packing"), sequence * window_sequences
     rows = df.select(
         F.col(id_).cast("long").alias("_id"),
@@ -96,7 +99,7 @@ def pack_sequences(
     totals = parts.groupBy("queue").agg(F.sum("n").cast("long").alias("n"))
     lanes, lane_of = _lanes(totals, targets, window)
     if lanes is None:
-        return df.sparkSession.createDataFrame([], PIECES)
+        return df.sparkSession.createDataFrame([], schema)
 
     # start of every (part, queue) within its lane: running sums in lane order, over range partitions
     named = df.sparkSession.createDataFrame([(q, n) for q, n in lane_of.items()], "queue string, lane int")
@@ -119,7 +122,7 @@ def pack_sequences(
     placed = stored.join(begun, ["queue", "pid"]).select(
         "id", "queue", "lane", (F.col("base") + F.col("at")).alias("at"), "n", "ids"
     )
-    return placed.mapInArrow(_pieces(lanes, lane_starts, sequence, encoder_dtype(tokenizer, kind)), PIECES)
+    return placed.mapInArrow(_pieces(lanes, lane_starts, sequence, encoder_dtype(tokenizer, kind), with_ids), schema)
 
 
 ENCODED = "pid int, id bigint, queue string, at bigint, n bigint, ids binary"
@@ -177,9 +180,11 @@ def _lanes(totals: DataFrame, targets: dict[str, float] | None, window: int) ->
     return Lanes(tokens, rates, window), lane_of
 
 
-def _pieces(lanes: Lanes, lane_starts: np.ndarray, sequence: int, dtype: str):
+def _pieces(lanes: Lanes, lane_starts: np.ndarray, sequence: int, dtype: str, with_ids: bool):
     names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
+    if not with_ids:
+        names, kinds = names[:-1], kinds[:-1]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -208,7 +213,7 @@ def _pieces(lanes: Lanes, lane_starts: np.ndarray, sequence: int, dtype: str):
                         part = wide[4 * (u - begin):4 * (u - begin + size)]
                         row = (doc, source, u - begin, size, zlib.crc32(part), n,
                                position // sequence, position % sequence, part)
-                        for column, value in zip(out, row, strict=True):
+                        for column, value in zip(out, row, strict=with_ids):
                             column.append(value)
                         u += size
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)

@@ -56,7 +56,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return packing.pack_sequences(docs, vocabulary("byte_bpe_50k.json"), kind="spaced").drop("ids")
+    return packing.pack_sequences(docs, vocabulary("byte_bpe_50k.json"), kind="spaced", with_ids=False)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
