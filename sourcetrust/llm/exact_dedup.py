@@ -8,8 +8,8 @@ Texts are compared without white space. Three combining stages, all grouped by t
    copies of a hot text are dealt over `salts` groups,
 3. the at most `salts` winners of a text are combined to the global winner.
 
-The winner goes back to the rows by an equi-join on digest, a second hash and the length,
-whose hot partitions adaptive execution splits.
+The winner goes back to the rows by an equi-join on the whole SHA-256, a second hash and the
+length, whose hot partitions adaptive execution splits. This stage alone compares hashes.
 """
 
 from __future__ import annotations
@@ -48,15 +48,16 @@ def mark_duplicates(
         .groupBy("_digest", "_salt", "_norm")
         .agg(F.count("*").alias("_n"), F.max("_best").alias("_best"))
     )
+    whole = F.col("_digest") if digest_bits >= 256 else F.sha2("_norm", 256)
     winners = (
         salted.groupBy("_digest", "_norm")
         .agg(F.sum("_n").alias("_n"), F.max("_best").alias("_best"))
         .select(
-            F.col("_digest").alias("_d"), F.xxhash64("_norm").alias("_c"), F.length("_norm").alias("_s"),
+            whole.alias("_d"), F.xxhash64("_norm").alias("_c"), F.length("_norm").alias("_s"),
             "_n", F.bitwise_not(F.col("_best.r")).alias("_keep"),
         )
     )
-    same = (F.col("_digest") == F.col("_d")) & (F.col("_check") == F.col("_c")) & (F.col("_size") == F.col("_s"))
+    same = (F.col("_sha") == F.col("_d")) & (F.col("_check") == F.col("_c")) & (F.col("_size") == F.col("_s"))
     marks = F.struct(
         F.col("_keep").alias("keep_id"),
         F.col("_n").alias("group_size"),
