@@ -83,9 +83,9 @@ def pack_sequences(
     little-endian unsigned 32-bit integers. `targets` weighs sources against each other; a source
     it does not name weighs as much as its share of the tokens, and without targets all do. A
     source that is emptied leaves its share to the others. Sources with a share below two tokens a
-    window share one queue, so there are at most window / 2 queues. A null source is a source. Rows
-    that repeat an id are packed each. An empty table gives no rows. Without `with_ids` the column
-    `ids` is left out.
+    window share one queue, in which their documents are mixed by a hash, so there are at most
+    window / 2 queues. A null source is a source. Rows that repeat an id are packed each. An empty
+    table gives no rows. Without `with_ids` the column `ids` is left out.
     """
     schema = PIECES if with_ids else PIECES.removesuffix(", ids binary")
     space, window = Workspace(df.sparkSession, "packing"), sequence * window_sequences
@@ -95,18 +95,22 @@ def pack_sequences(
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
     )
     stored = space.keep(rows.mapInArrow(_encoded(tokenizer, kind, end_id), ENCODED), "encoded")
-    parts = stored.groupBy("queue", "pid").agg(F.sum("n").alias("n"))
-    totals = parts.groupBy("queue").agg(F.sum("n").cast("long").alias("n"))
+    totals = stored.groupBy("queue").agg(F.sum("n").cast("long").alias("n"))
     lanes, lane_of = _lanes(totals, targets, window)
     if lanes is None:
         return df.sparkSession.createDataFrame([], schema)
 
-    # start of every (part, queue) within its lane: running sums in lane order, over range partitions
+    # start of every part within its lane: running sums in lane order, over range partitions; a part is
+    # what a task has of a queue, or one document of a small source; the latter go in the order of a hash
     named = df.sparkSession.createDataFrame([(q, n) for q, n in lane_of.items()], "queue string, lane int")
-    rest = lane_of.get(REST, 0)
-    laned = parts.join(F.broadcast(named), "queue", "left").withColumn("lane", F.coalesce("lane", F.lit(rest)))
-    order = [F.col("lane"), F.col("queue"), F.col("pid")]
-    ranged = space.keep(laned.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "parts")
+    rest = lane_of.get(REST, -1)
+    laned = stored.join(F.broadcast(named), "queue", "left").withColumns({
+        "lane": F.coalesce("lane", F.lit(rest)), "sub": F.when(F.col("lane").isNull(), F.col("at")).otherwise(F.lit(-1)),
+    })
+    parts = laned.groupBy("lane", "queue", "pid", "sub").agg(F.sum("n").alias("n"))
+    parts = parts.withColumn("mixed", F.when(F.col("lane") == rest, F.xxhash64("queue", "pid", "sub")).otherwise(F.lit(0)))
+    order = [F.col(c) for c in ("lane", "mixed", "queue", "pid", "sub")]
+    ranged = space.keep(parts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "parts")
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shifts = ranged.groupBy("_part").agg(F.sum("n").alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")
@@ -116,12 +120,17 @@ def pack_sequences(
         "base", F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("_shift")
     )
     lane_starts = np.concatenate([[0], np.cumsum(lanes.tokens)])
-    begun = space.keep(begun.select("queue", "pid", "lane", "base"), "begun")
-    if begun.count() <= BROADCAST_ROWS:
-        begun = F.broadcast(begun)
-    placed = stored.join(begun, ["queue", "pid"]).select(
-        "id", "queue", "lane", (F.col("base") + F.col("at")).alias("at"), "n", "ids"
-    )
+    begun = space.keep(begun.select("queue", "pid", "sub", "base"), "begun")
+    placed = None
+    for some in ("sub < 0", "sub >= 0") if rest >= 0 else ("sub < 0",):
+        starts = begun.filter(some)
+        if starts.count() <= BROADCAST_ROWS:
+            starts = F.broadcast(starts)
+        inside_part = F.when(F.col("sub") < 0, F.col("at")).otherwise(F.lit(0))
+        found = laned.filter(some).join(starts, ["queue", "pid", "sub"]).select(
+            "id", "queue", "lane", (F.col("base") + inside_part).alias("at"), "n", "ids"
+        )
+        placed = found if placed is None else placed.unionByName(found)
     return placed.mapInArrow(_pieces(lanes, lane_starts, sequence, encoder_dtype(tokenizer, kind), with_ids), schema)
 
 
@@ -172,6 +181,7 @@ def _lanes(totals: DataFrame, targets: dict[str, float] | None, window: int) ->
         rest_rate = sum_rate - sum(rates)
         if names and rest_rate * window < 2 * sum_rate:  # too small even together: they join the last queue
             tokens[-1] += rest
+            rates[-1] += rest_rate
             lane_of[REST] = len(names) - 1
         else:
             lane_of[REST] = len(names)
