@@ -7,9 +7,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from sourcetrust.plans.session import local_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-MEDIUM = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

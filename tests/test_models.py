@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from scales import SMALL
 from sourcetrust.functions import student_t
 from sourcetrust.operators import models, reports
 from sourcetrust.plans import fixtures as fx

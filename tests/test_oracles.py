@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import MEDIUM, SMALL
+from scales import MEDIUM, SMALL
 from tools.check_oracles import compare, database
 
 # three sources per tier, and so the quantile in the SQL, exist from this scale on

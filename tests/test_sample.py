@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from scales import SMALL
 from sourcetrust.operators import perturb, sample
 from sourcetrust.operators.clean import binary_labels, feature_columns, prepare_features
 from sourcetrust.plans import fixtures as fx

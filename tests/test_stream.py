@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from scales import SMALL
 from sourcetrust.operators.trust import adaptive_trust, round_spine
 from sourcetrust.plans import fixtures as fx
 from sourcetrust.streaming import rounds
