@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcetrust.llm import bpe, chat, embedding_dedup, exact_dedup, packing, simhash_dedup, suffix_dedup, token_counts, token_files, toxicity
+from sourcetrust.llm import (
+    bpe, chat, collocations, embedding_dedup, exact_dedup, fill_middle, fingerprints, packing, simhash_dedup, suffix_dedup,
+    token_counts, token_files, toxicity,
+)
 from sourcetrust.llm.tables import Workspace
 
 
@@ -83,4 +86,25 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_quotes(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_embedding_dedup, op4_toxicity, op5_suffix_dedup, op6_packing, op7_token_counts, op8_token_files, op9_bpe, op10_chat_formatting)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col("fim.output"), F.col("fim.form")
+    return made.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(output, form), 256).alias("restored_sha256"),
+    )
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.fingerprint_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.withColumnRenamed("id", "doc_id").drop("gone", "added")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_simhash_dedup, op3_embedding_dedup, op4_toxicity, op5_suffix_dedup, op6_packing, op7_token_counts,
+    op8_token_files, op9_bpe, op10_chat_formatting, op11_collocations, op12_fill_middle, op13_fingerprints,
+)}
