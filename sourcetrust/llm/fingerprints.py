@@ -21,7 +21,7 @@ from sourcetrust.llm.tables import Workspace, numbered
 
 WIDTH = 16  # cells of a row of a sketch: a power of two
 ROWS = 3
-ROUNDS = 12  # times that each row is searched for single digests
+ROUNDS = 5  # times that each row is searched for single digests
 SPREAD = 8  # parts into which the digests of a stuck sketch are dealt
 
 
@@ -36,9 +36,10 @@ def paragraph_digests(text: Column) -> Column:
     return F.transform(F.array_distinct(F.filter(lines, lambda x: x != "")), _hash60)
 
 
-def _slot(digest: Column, row: Column) -> Column:
-    """Cell of a digest in a row: four bits of it for each."""
-    return F.call_function("shiftright", digest, row * 4).bitwiseAND(F.lit(WIDTH - 1)).cast("int")
+def _entry(digest: Column, n: Column) -> Column:
+    """A digest with its sign, its check and its place in each row (four bits of it for each)."""
+    places = [F.shiftright(digest, 4 * r).bitwiseAND(F.lit(WIDTH - 1)).cast("int").alias(f"s{r}") for r in range(ROWS)]
+    return F.struct(n.alias("n"), digest.alias("x"), _hash60(digest).alias("c"), *places)
 
 
 def _named(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -46,21 +47,24 @@ def _named(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _moved(cell: Column, entries: Column, way: int) -> Column:
+    """A cell with entries put in (way 1) or taken out (-1)."""
+    sign = lambda e: e["n"] if way > 0 else -e["n"]
+    return F.aggregate(entries, cell, lambda a, e: F.struct(
+        (a["n"] + sign(e)).alias("n"), a["x"].bitwiseXOR(e["x"]).alias("x"), a["c"].bitwiseXOR(e["c"]).alias("c")
+    ))
+
+
 def sketch(digests: Column) -> Column:
     """Cells (n, x, c) of the digests, row after row."""
-    entries = F.transform(digests, lambda d: F.struct(d.alias("d"), _hash60(d).alias("c")))
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
 
-    def cells(entries: Column) -> Column:
-        def cell(i: Column) -> Column:
-            row, place = F.floor(i / WIDTH).cast("int"), i % WIDTH
-            return F.aggregate(F.filter(entries, lambda e: _slot(e["d"], row) == place), empty, lambda a, e: F.struct(
-                (a["n"] + 1).alias("n"), a["x"].bitwiseXOR(e["d"]).alias("x"), a["c"].bitwiseXOR(e["c"]).alias("c")
-            ))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(ROWS * WIDTH - 1)), cell)
+    def row(entries: Column, r: int) -> Column:
+        own = lambda i: F.filter(entries, lambda e: e[f"s{r}"] == i)
+        return F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: _moved(empty, own(i), 1))
 
-    return _named(entries, cells)
+    entries = F.transform(digests, lambda d: _entry(d, F.lit(1)))
+    return _named(entries, lambda es: F.concat(*[row(es, r) for r in range(ROWS)]))
 
 
 def shown(cells: Column) -> Column:
@@ -79,34 +83,40 @@ def subtracted(left: Column, right: Column) -> Column:
 
 
 def peeled(cells: Column) -> Column:
-    """Struct of `cells` (all empty if peeling came to its end) and `found`: digests with n 1 (left) or -1 (right).
+    """Struct of `rows` (all empty if peeling came to its end) and `found`: digests with n 1 (left) or -1 (right).
 
     The rows of the sketch take turns: a digest lies in one cell of a row, so none is removed twice.
     """
-    nothing = F.array().cast("array<struct<n:int,x:bigint,c:bigint>>")
-    start = F.struct(cells.alias("cells"), nothing.alias("found"))
+    names = [f"r{r}" for r in range(ROWS)]
+    start = F.struct(
+        *[F.slice(cells, r * WIDTH + 1, WIDTH).alias(names[r]) for r in range(ROWS)],
+        F.array().cast("array<struct<n:int,x:bigint>>").alias("found"),
+    )
+
+    def turn(r: int) -> Callable[[Column], Column]:
+        return lambda state: searched(state, r)
 
-    def turn(state: Column, t: Column) -> Column:
-        row = t % ROWS
-        single = F.filter(F.slice(state["cells"], row * WIDTH + 1, F.lit(WIDTH)), lambda e, i: (
-            (F.abs(e["n"]) == 1) & (_slot(e["x"], row) == i) & (_hash60(e["x"]) == e["c"])
-        ))
+    def searched(state: Column, r: int) -> Column:
+        def taken(single: Column) -> Column:
+            def left(k: int) -> Column:
+                hits = lambda i: F.filter(single, lambda s: s[f"s{k}"] == i)
+                return F.transform(state[names[k]], lambda e, i: _moved(e, hits(i), -1)).alias(names[k])
 
-        def removed(single: Column) -> Column:
-            def left(e: Column, i: Column) -> Column:
-                other, place = F.floor(i / WIDTH).cast("int"), i % WIDTH
-                hits = F.filter(single, lambda s: _slot(s["x"], other) == place)
-                return F.aggregate(hits, e, lambda a, s: F.struct(
-                    (a["n"] - s["n"]).alias("n"), a["x"].bitwiseXOR(s["x"]).alias("x"), a["c"].bitwiseXOR(s["c"]).alias("c")
-                ))
+            kept = [left(k) for k in range(ROWS)]
+            found = F.concat(state["found"], F.transform(single, lambda s: F.struct(s["n"].alias("n"), s["x"].alias("x"))))
+            return F.when(F.size(single) == 0, state).otherwise(F.struct(*kept, found.alias("found")))
 
-            return F.when(F.size(single) == 0, state).otherwise(F.struct(
-                F.transform(state["cells"], left).alias("cells"), F.concat(state["found"], single).alias("found")
-            ))
+        alone = F.filter(state[names[r]], lambda e: F.abs(e["n"]) == 1)
+        entries = F.transform(alone, lambda e: F.struct(_entry(e["x"], e["n"]).alias("e"), e["c"].alias("c")))
+        true = F.filter(entries, lambda t: t["e"]["c"] == t["c"])
+        return _named(F.transform(true, lambda t: t["e"]), taken)
 
-        return _named(single, removed)
+    def turns(state: Column, _: Column) -> Column:
+        for r in range(ROWS):
+            state = _named(state, turn(r))
+        return state
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS * ROWS - 1)), start, turn)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turns)
 
 
 def difference(left: Column, right: Column) -> Column:
@@ -114,28 +124,46 @@ def difference(left: Column, right: Column) -> Column:
     def sides(state: Column) -> Column:
         digests = lambda sign: F.transform(F.filter(state["found"], lambda e: e["n"] == sign), lambda e: e["x"])
         return F.struct(
-            F.forall(state["cells"], lambda e: (e["n"] == 0) & (e["x"] == 0)).alias("done"),
+            F.forall(F.concat(*[state[f"r{r}"] for r in range(ROWS)]), lambda e: (e["n"] == 0) & (e["x"] == 0)).alias("done"),
             digests(1).alias("gone"), digests(-1).alias("added"),
         )
 
     return _named(peeled(subtracted(left, right)), sides)
 
 
-def larger(stuck: DataFrame, space: Workspace, key: list[str], name: str = "larger") -> DataFrame:
-    """key, gone, added of pairs of digest arrays (_l, _r), by sketches that grow until none is stuck."""
-    done, depth = None, 0
-    while depth == 0 or not stuck.isEmpty():
-        depth += 1
-        of = lambda c: F.filter(c, lambda d: F.pmod(F.xxhash64(d, F.lit(depth)), F.lit(SPREAD)) == F.col("_part"))
-        dealt = stuck.select(*key, "_l", "_r", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"))
-        dealt = dealt.select(*key, of("_l").alias("_l"), of("_r").alias("_r"))
-        met = dealt.withColumn("_d", difference(sketch(F.col("_l")), sketch(F.col("_r"))))
-        met = space.keep(met, f"{name}-{depth}")
-        part = met.filter("_d.done").select(*key, "_d.gone", "_d.added")
-        done = part if done is None else done.unionByName(part)
-        stuck = met.filter("NOT _d.done").select(*key, "_l", "_r")
-    whole = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731 - never more than a pair's paragraphs
-    return done.groupBy(*key).agg(whole("gone"), whole("added"))
+class Comparison:
+    """The expressions of one call: they are long, and building them takes seconds."""
+
+    def __init__(self, space: Workspace, key: list[str]):
+        self.space, self.key = space, key
+        self.sketch, self.difference = sketch(F.col("_set")), difference(F.col("_left"), F.col("_right"))
+
+    def sketched(self, rows: DataFrame, names: dict[str, str]) -> DataFrame:
+        """Adds the cells of arrays."""
+        for array, cells in names.items():
+            rows = rows.withColumn("_set", F.col(array)).withColumn(cells, self.sketch).drop("_set")
+        return rows
+
+    def compared(self, rows: DataFrame, left: str, right: str, out: str) -> DataFrame:
+        """Adds the difference of two columns of cells."""
+        named = rows.withColumns({"_left": F.col(left), "_right": F.col(right)})
+        return named.withColumn(out, self.difference).drop("_left", "_right")
+
+    def larger(self, stuck: DataFrame) -> DataFrame:
+        """key, gone, added of pairs of digest arrays (_l, _r), by sketches that grow until none is stuck."""
+        key, done, depth = self.key, None, 0
+        while depth == 0 or not stuck.isEmpty():
+            depth += 1
+            of = lambda c: F.filter(c, lambda d: F.pmod(F.xxhash64(d, F.lit(depth)), F.lit(SPREAD)) == F.col("_part"))
+            dealt = stuck.select(*key, "_l", "_r", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"))
+            dealt = dealt.select(*key, of("_l").alias("_l"), of("_r").alias("_r"))
+            met = self.compared(self.sketched(dealt, {"_l": "_a", "_r": "_b"}), "_a", "_b", "_d").drop("_a", "_b")
+            met = self.space.keep(met, f"larger-{depth}")
+            part = met.filter("_d.done").select(*key, "_d.gone", "_d.added")
+            done = part if done is None else done.unionByName(part)
+            stuck = met.filter("NOT _d.done").select(*key, "_l", "_r")
+        whole = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731 - never more than a pair's paragraphs
+        return done.groupBy(*key).agg(whole("gone"), whole("added"))
 
 
 def compare_sets(rows: DataFrame, space: Workspace, key: list[str], base: str, others: list[str]) -> DataFrame:
@@ -145,19 +173,24 @@ def compare_sets(rows: DataFrame, space: Workspace, key: list[str], base: str, o
     alone) and `added`. `key` is unique; arrays hold no digest twice, a null one counts as empty.
     """
     names, none = [base, *others], F.array().cast("array<bigint>")
-    filled = rows.withColumns({c: F.coalesce(F.col(c), none) for c in names})
-    sketched = filled.withColumns({f"{c}_cells": sketch(F.col(c)) for c in names})
-    met = sketched.withColumns({f"{c}_sketch": shown(F.col(f"{c}_cells")) for c in names} | {
-        f"{c}_diff": difference(F.col(f"{base}_cells"), F.col(f"{c}_cells")) for c in others
-    })
+    steps = Comparison(space, [*key, "_other"])
+    met = steps.sketched(rows.withColumns({c: F.coalesce(F.col(c), none) for c in names}), {c: f"{c}_cells" for c in names})
+    for c in others:
+        met = steps.compared(met, f"{base}_cells", f"{c}_cells", f"{c}_diff")
+    met = met.withColumns({f"{c}_sketch": shown(F.col(f"{c}_cells")) for c in names})
     met = space.keep(met.drop(*[f"{c}_cells" for c in names]), "compared")
+    pairs = F.filter(F.array(*[
+        F.struct(F.lit(c).alias("_other"), F.col(base).alias("_l"), F.col(c).alias("_r"), F.col(f"{c}_diff.done").alias("done"))
+        for c in others
+    ]), lambda p: ~p["done"])
+    stuck = met.select(*key, F.inline(pairs)).select(*key, "_other", "_l", "_r")
+    found = steps.larger(stuck).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_other", F.struct("gone", "added")))).alias("_larger"))
+    met = met.join(found, key, "left")
     for c in others:
-        stuck = met.filter(f"NOT {c}_diff.done").select(*key, F.col(base).alias("_l"), F.col(c).alias("_r"))
-        found = larger(stuck, space, key, f"larger-{c}").select(*key, F.struct("gone", "added").alias("_larger"))
         diff = F.col(f"{c}_diff")
-        settled = F.when(diff["done"], F.struct(diff["gone"].alias("gone"), diff["added"].alias("added"))).otherwise(F.col("_larger"))
-        met = met.join(found, key, "left").withColumn(f"{c}_diff", settled).drop("_larger")
-    return met
+        small = F.struct(diff["gone"].alias("gone"), diff["added"].alias("added"))
+        met = met.withColumn(f"{c}_diff", F.when(diff["done"], small).otherwise(F.col("_larger")[c]))
+    return met.drop("_larger")
 
 
 def likeness(left: Column, right: Column, diff: Column) -> Column:
