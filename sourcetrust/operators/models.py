@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sourcetrust.functions.keys import hash_hex
 from sourcetrust.functions.vectors import dot, linear_probability, sigmoid
 from sourcetrust.operators.joins import MAX_BROADCAST_CELLS, Sized, lookup_join, sized
-from sourcetrust.operators.picking import mark_first
+from sourcetrust.operators.picking import mark_first, medians
 from sourcetrust.operators.metrics import evaluate
 from sourcetrust.operators.sample import CAP, bootstrap_capped
 
@@ -191,8 +191,8 @@ def median_models(models: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Coordinate-wise median of coefficients and intercept over sources."""
     by = by or []
     parts = models.select(*by, F.posexplode(F.concat("coef", F.array("intercept"))).alias("_pos", "_v"))
-    medians = parts.groupBy(*by, "_pos").agg(F.median("_v").alias("_v"))
-    return medians.groupBy(*by).agg(in_order("_pos", "_v").alias("theta")).select(*by, *_split_theta())
+    middle = medians(parts, [*by, "_pos"], "_v", "_v")
+    return middle.groupBy(*by).agg(in_order("_pos", "_v").alias("theta")).select(*by, *_split_theta())
 
 
 def ensemble_score(
@@ -288,12 +288,11 @@ def median_rounds(
 ) -> DataFrame:
     """As `proximal_rounds` without the pull; sources are combined by coordinate median."""
 
-    def medians(local: DataFrame) -> DataFrame:
-        parts = local.select(F.posexplode("theta").alias("_pos", "_v"))
-        per = parts.groupBy("_pos").agg(F.median("_v").alias("_v"))
-        return per.agg(in_order("_pos", "_v").alias("theta"))
+    def middle(local: DataFrame) -> DataFrame:
+        parts = sized(local.select(F.posexplode("theta").alias("_pos", "_v"))).table
+        return medians(parts, ["_pos"], "_v", "_v").agg(in_order("_pos", "_v").alias("theta"))
 
-    return _as_model(df, _rounds(df, rounds, source, label, key, cap, seed, lr, epochs, batch, 0.0, medians, fit_rows))
+    return _as_model(df, _rounds(df, rounds, source, label, key, cap, seed, lr, epochs, batch, 0.0, middle, fit_rows))
 
 
 # fixed values: settings of the global fits

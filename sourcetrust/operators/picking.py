@@ -1,13 +1,17 @@
 """Exact "first k of a group" and "k-th row of a group" without sorting whole groups.
 
-A group may hold a third of all rows, so no window ever spans a whole large group.
-Keys are uniform hex hashes, which makes the first `p` hex digits an order-preserving
-bucket; `p` grows with the largest group so that a bucket stays near `BUCKET_ROWS` rows.
-
-* `hash_cuts` finds, per group, the hash of the quota-th row. Only the one bucket holding
-  it is sorted. "rank <= quota" then becomes "hash <= cut": a filter, not a shuffle.
-* `score_cuts` does the same for rows ordered by an integer score, ties broken by hash.
+A group may hold a third of all rows, so no window ever spans a whole large group. Rows are ordered
+by text keys, mostly uniform hex hashes. `key_cuts` finds the key of the quota-th row by descent:
+for groups whose open bucket is above `BUCKET_ROWS` rows it counts the rows by the next `DIGITS`
+characters after the bucket's common prefix, keeps the one bucket that holds the row, and goes on
+there. So each group has a prefix of its own length, a group has at most 16 ** DIGITS counts at a
+time, and only the last bucket is sorted.
+
+* `hash_cuts`: the cut of each group in hash order. "rank <= quota" then becomes "hash <= cut": a
+  filter, not a shuffle.
+* `score_cuts`: the same for rows ordered by an integer score, ties broken by hash.
 * `take_slots` fetches the rows at given ranks. Only buckets that are asked for are sorted.
+* `medians`: of numbers per group, by the order-preserving digits of doubles.
 
 Groups no larger than a bucket are ranked directly, on the key columns alone. Hashes must
 be unique within a group (hash a unique row key). Cuts are stored once found, so that a
@@ -23,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from sourcetrust.operators.joins import Sized, lookup_join, sized
 
 BUCKET_ROWS = 100_000
-SCORE_STEP = 4096
+DIGITS = 3  # characters of a key that one step of a descent looks at
+HIGHEST = (1 << 63) - 1
 
 
 def prefix_length(largest: int, bucket_rows: int) -> int:
@@ -42,50 +47,66 @@ def _is_open() -> Column:
     return (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
 
 
-def _holding(counts: DataFrame, groups: list[str], order: Column, wanted: DataFrame) -> DataFrame:
-    """The bucket of each group that holds its `_left`-th row.
+def common_prefix(a: Column, b: Column) -> Column:
+    """Number of characters that two texts share from the start."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1)))
+    same = lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)
+    return F.size(F.filter(places, same))
 
-    `counts` holds `groups`, a bucket column and `_c`; `_left` becomes the rank inside the
-    bucket.
-    """
-    before = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-        .join(wanted, groups)
-        .filter((F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_before") + F.col("_c")))
-        .withColumn("_left", F.col("_left") - F.col("_before"))
-        .drop("_before")
-    )
 
+def _narrowed(keys: DataFrame, groups: list[str], key: str, wide: Sized, digits: int) -> DataFrame:
+    """Of each group the bucket that holds its row: groups, _p (prefix), _left (rank inside), _c (rows), _lo, _hi."""
+    inside = lookup_join(keys, wide.derive(wide.table.select(*groups, "_p")), groups, "inner").filter(F.col(key).startswith(F.col("_p")))
+    digit = F.substring(F.col(key), F.length("_p") + 1, F.lit(digits))
+    counts = inside.groupBy(*groups, "_p", digit.alias("_d")).agg(F.count("*").alias("_c"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    before = W.partitionBy(*groups).orderBy("_d").rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).join(wide.table.select(*groups, "_left"), groups)
+    held = placed.filter((F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_before") + F.col("_c")))
+    # a bucket that shares more than the digits looked at is entered as deep as it shares
+    deep = F.substring(F.col("_lo"), F.lit(1), common_prefix(F.col("_lo"), F.col("_hi")))
+    return held.select(*groups, deep.alias("_p"), (F.col("_left") - F.col("_before")).alias("_left"), "_c", "_lo", "_hi")
 
-def hash_cuts(
-    df: DataFrame, groups: list[str], key: str, quotas: DataFrame | Sized, bucket_rows: int = BUCKET_ROWS
+
+def key_cuts(
+    df: DataFrame, groups: list[str], key: str, quotas: DataFrame | Sized, bucket_rows: int = BUCKET_ROWS, digits: int = DIGITS
 ) -> Sized:
-    """Per group, the hash of the quota-th row in hash order.
+    """Per group, the key of the quota-th row in the order of text keys: `groups, n, quota, cut`.
 
-    `quotas` holds one row per group: `groups`, `n` (rows of the group) and `quota`.
-    Returns `groups, n, quota, cut`; `cut` has no meaning when the quota takes all or none.
+    `quotas` holds one row per group: `groups`, `n` (rows of the group) and `quota`. Keys may repeat.
+    `cut` has no meaning when the quota takes all or none.
     """
     quotas = sized(quotas, F.when(_is_open(), F.col("n")))
     table = quotas.table.select(*groups, "n", "quota")
     if quotas.largest == 0:  # every quota takes all rows or none
         return quotas.derive(table.withColumn("cut", F.lit(None).cast("string")))
     keys = df.select(*groups, key)
-    p = prefix_length(quotas.largest, bucket_rows)
-    wanted = table.filter(_is_open()).select(*groups, F.col("quota").alias("_left"))
-    if p == 0:
-        edge = lookup_join(keys, quotas.derive(wanted), groups, "inner")
-    else:
-        keys = keys.withColumn("_b", F.substring(key, 1, p))
-        counts = keys.groupBy(*groups, "_b").agg(F.count("*").alias("_c"))
-        edges = _holding(counts, groups, F.col("_b"), wanted).drop("_c")
-        edge = lookup_join(keys, quotas.derive(edges), [*groups, "_b"], "inner")
+    open_ = table.filter(_is_open()).select(*groups, F.lit("").alias("_p"), F.col("quota").alias("_left"), F.col("n").alias("_c"))
+    ready, found, largest = [open_.filter(F.col("_c") <= bucket_rows).select(*groups, "_p", "_left")], [], quotas.largest
+    wide = quotas.derive(open_.filter(F.col("_c") > bucket_rows))
+    while largest > bucket_rows:
+        low = sized(_narrowed(keys, groups, key, wide, digits), F.when(F.col("_lo") != F.col("_hi"), F.col("_c")))
+        alike, small = F.col("_lo") == F.col("_hi"), F.col("_c") <= bucket_rows
+        found.append(low.table.filter(alike).select(*groups, F.col("_lo").alias("cut")))
+        ready.append(low.table.filter(~alike & small).select(*groups, "_p", "_left"))
+        wide, largest = low.derive(low.table.filter(~alike & ~small)), low.largest
+    buckets = ready[0]
+    for more in ready[1:]:
+        buckets = buckets.unionByName(more)
+    edge = lookup_join(keys, quotas.derive(buckets), groups, "inner").filter(F.col(key).startswith(F.col("_p")))
     rank = F.row_number().over(W.partitionBy(*groups).orderBy(key))
-    cuts = edge.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_left"))
-    cuts = cuts.select(*groups, F.col(key).alias("cut"))
+    cuts = edge.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_left")).select(*groups, F.col(key).alias("cut"))
+    for one in found:
+        cuts = cuts.unionByName(one)
     return sized(lookup_join(table, quotas.derive(cuts), groups))
 
 
+def hash_cuts(
+    df: DataFrame, groups: list[str], key: str, quotas: DataFrame | Sized, bucket_rows: int = BUCKET_ROWS
+) -> Sized:
+    """Per group, the hash of the quota-th row in hash order: `groups, n, quota, cut`, as `key_cuts`."""
+    return key_cuts(df, groups, key, quotas, bucket_rows)
+
+
 def picked_by_hash(key: str, n: str = "n", quota: str = "quota", cut: str = "cut") -> Column:
     """True for the first `quota` rows of the group, given the columns of `hash_cuts`."""
     some = F.when(F.col(quota) >= F.col(n), True).when(F.col(quota) <= 0, False).otherwise(F.col(key) <= F.col(cut))
@@ -115,39 +136,64 @@ def score_cuts(
     quotas: DataFrame | Sized,
     bucket_rows: int = BUCKET_ROWS,
 ) -> Sized:
-    """Per group, the (score, hash) of the quota-th row by descending integer score.
+    """Per group, the (score, hash) of the quota-th row by descending integer score, ties by hash.
 
-    In large groups the score is located digit by digit from aggregated counts, so equal
-    scores cost one row each; only rows that tie with the cut score are ordered by hash.
-    Returns `groups, n, quota, score_cut, cut`.
+    The key of a row is the distance of its score from the highest possible one, in hexadecimal
+    digits, and then its hash. Scores are not negative. Returns `groups, n, quota, score_cut, cut`.
     """
-    quotas = sized(quotas, F.when(_is_open(), F.col("n")))
-    table = quotas.table.select(*groups, "n", "quota")
-    if quotas.largest == 0:
-        none = {"score_cut": F.lit(None).cast("bigint"), "cut": F.lit(None).cast("string")}
-        return quotas.derive(table.withColumns(none))
-    wanted = table.filter(_is_open()).select(*groups, F.col("quota").alias("_left"))
-    narrow = df.select(*groups, key, F.col(score).alias("_s"))
-    if prefix_length(quotas.largest, bucket_rows) == 0:
-        edge = lookup_join(narrow, quotas.derive(wanted), groups, "inner")
-        rank = F.row_number().over(W.partitionBy(*groups).orderBy(F.desc("_s"), F.col(key)))
-        cuts = edge.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_left"))
-        cuts = cuts.select(*groups, F.col("_s").alias("score_cut"), F.col(key).alias("cut"))
-        return sized(lookup_join(table, quotas.derive(cuts), groups))
-
-    narrow = narrow.withColumn("_h", F.floor(F.col("_s") / SCORE_STEP))
-    count = lambda rows, digit: rows.groupBy(*groups, digit).agg(F.count("*").alias("_c"))
-    high = sized(_holding(count(narrow, "_h"), groups, F.desc("_h"), wanted).drop("_c"))
-    inside = lookup_join(narrow, high.derive(high.table.drop("_left")), [*groups, "_h"], "inner")
-    left = high.table.select(*groups, "_left")
-    exact = sized(_holding(count(inside, "_s"), groups, F.desc("_s"), left))
-    ties = lookup_join(narrow, exact.derive(exact.table.select(*groups, "_s")), [*groups, "_s"], "inner")
-    tie_quotas = exact.table.select(*groups, F.col("_c").alias("n"), F.col("_left").alias("quota"))
-    tied = hash_cuts(ties, groups, key, exact.derive(tie_quotas), bucket_rows).table
-    # a tie that is taken whole has no cut: every hash is below 'g'
-    cut = F.when(F.col("quota") >= F.col("n"), F.lit("g")).otherwise(F.col("cut"))
-    cuts = exact.table.select(*groups, F.col("_s").alias("score_cut")).join(tied.select(*groups, cut.alias("cut")), groups)
-    return sized(lookup_join(table, quotas.derive(cuts), groups))
+    reach = F.lpad(F.hex(F.lit(HIGHEST) - F.col(score)), 16, "0")
+    keyed = df.select(*groups, F.concat(reach, F.col(key)).alias("_key"))
+    cuts = key_cuts(keyed, groups, "_key", quotas, bucket_rows)
+    back = F.lit(HIGHEST) - F.conv(F.substring("cut", 1, 16), 16, 10).cast("bigint")
+    return cuts.derive(cuts.table.withColumn("score_cut", back).withColumn("cut", F.substring("cut", 17, 64)).select(*groups, "n", "quota", "score_cut", "cut"))
+
+
+# fixed values: how hexadecimal digits are turned round, and the bias of a double's exponent
+UP, DOWN, BIAS = "0123456789abcdef", "fedcba9876543210", 1100
+
+
+def double_key(x: Column) -> Column:
+    """19 hexadecimal digits in the order of doubles; NaN is the largest."""
+    # Java prints a double's bits as 0x1.<mantissa>p<exponent>
+    shown = F.format_string("%a", F.abs(x))
+    exponent = F.regexp_extract(shown, r"p(-?\d+)$", 1).cast("int") + BIAS
+    digits = F.concat(
+        F.lpad(F.lower(F.hex(exponent.cast("bigint"))), 4, "0"), F.regexp_extract(shown, r"^0x(\d)", 1),
+        F.rpad(F.regexp_replace(F.regexp_extract(shown, r"\.([0-9a-f]+)p", 1), "^0$", ""), 13, "0"),
+    )
+    digits = F.when(x == 0, "0" * 18).when(F.abs(x) == F.lit(float("inf")), "f" * 18).otherwise(digits)
+    signed = F.when(x < 0, F.concat(F.lit("0"), F.translate(digits, UP, DOWN))).otherwise(F.concat(F.lit("1"), digits))
+    return F.when(F.isnan(x), "2" + "0" * 18).otherwise(signed)
+
+
+def medians(df: DataFrame, groups: list[str], value: str, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """groups and `out`, the exact median of the doubles of each group; nulls do not count.
+
+    A group no larger than a bucket is taken directly; in a larger one the lower middle value is found
+    by descent and the upper one is it too or the next value. NaN is the largest number.
+    """
+    rows = df.select(*groups, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    half = F.floor((F.col("n") + 1) / 2)
+    sizes = sized(group_sizes(rows, groups).withColumn("quota", half), F.col("n"))
+    direct = rows
+    if sizes.largest > bucket_rows:
+        few = sizes.derive(sizes.table.filter(F.col("n") <= bucket_rows).select(*groups))
+        direct = lookup_join(rows, few, groups, "left_semi") if groups else rows.limit(0)
+    found = direct.groupBy(*groups).agg(F.median("_v").alias(out))
+    if sizes.largest <= bucket_rows:
+        return found
+    many = sizes.derive(sizes.table.filter(F.col("n") > bucket_rows))
+    keyed = rows.withColumn("_key", double_key(F.col("_v")))
+    cuts = key_cuts(keyed, groups, "_key", many, bucket_rows)
+    near = lookup_join(keyed, cuts.derive(cuts.table.select(*groups, "n", "cut")), groups, "inner")
+    below = F.col("_key") <= F.col("cut")
+    middle = near.groupBy(*groups).agg(
+        F.max("n").alias("n"), F.count_if(below).alias("_k"), F.max(F.when(below, F.col("_v"))).alias("_lower"),
+        F.min(F.when(~below, F.col("_v"))).alias("_next"),
+    )
+    upper = F.when(F.col("_k") >= F.floor(F.col("n") / 2) + 1, F.col("_lower")).otherwise(F.col("_next"))
+    large = middle.select(*groups, ((F.col("_lower") + upper) / 2).alias(out))
+    return large.unionByName(found) if groups else large
 
 
 def picked_by_score(score: str, key: str, n: str = "n", quota: str = "quota", cut: str = "cut") -> Column:
@@ -181,14 +227,16 @@ def take_slots(
     `sizes` holds `groups, n`. A slot may be asked for many times (draws with replacement).
     """
     sizes = sized(sizes, F.col("n"))
-    p = prefix_length(sizes.largest, bucket_rows)
-    if p == 0:
+    if prefix_length(sizes.largest, bucket_rows) == 0:
         asked = slots.withColumnRenamed("slot", "_at")
         bucketed = lookup_join(df, sizes.derive(sizes.table.select(*groups)), groups, "left_semi")
         rank = F.row_number().over(W.partitionBy(*groups).orderBy(key)).cast("bigint")
         return asked.join(bucketed.withColumn("_at", rank), [*groups, "_at"]).drop("_at")
 
-    bucketed = df.withColumn("_b", F.substring(key, 1, p))
+    # a group's buckets are as deep as its own size asks for
+    depth = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("n") / bucket_rows))).cast("int")
+    depths = sizes.derive(sizes.table.select(*groups, depth.alias("_depth")))
+    bucketed = lookup_join(df, depths, groups, "inner").withColumn("_b", F.substring(F.col(key), F.lit(1), F.col("_depth"))).drop("_depth")
     counts = bucketed.groupBy(*groups, "_b").agg(F.count("*").alias("_c"))
     before = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     block = lambda c: F.floor(c / bucket_rows).cast("bigint")

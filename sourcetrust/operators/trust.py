@@ -11,8 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sourcetrust.functions.vectors import LN2, squared_distance
-from sourcetrust.operators.joins import lookup_join
+from sourcetrust.operators.histories import affine, folded, numbered_rounds, recent_frames
+from sourcetrust.operators.joins import lookup_join, sized
 from sourcetrust.operators.ordering import global_prefix_sum
+from sourcetrust.operators.picking import medians
 
 # fixed values: constants of the trust rules
 NO_MODEL_TRUST = 0.1
@@ -49,12 +51,6 @@ def unit(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
-def bounded(x: Column, initial: float) -> Column:
-    """Null, NaN and infinities become the initial trust; the rest is clamped to [0, 1]."""
-    bad = x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    return F.when(bad, F.lit(initial)).otherwise(unit(x))
-
-
 def static_trust(accuracy: Column, majority_share: Column) -> Column:
     """Validation accuracy, cut by a quarter where near-perfect accuracy meets a near-single
     class; 0.1 without a model."""
@@ -107,15 +103,20 @@ def fused(
     return F.when(total > 0, unit(score / total)).otherwise(F.lit(0.5))
 
 
-def next_trust(old: Column, computed: Column, first: Column, params: TrustParams) -> Column:
-    """One adaptive step. A first update, or a computed trust below 0.1, is taken as is;
-    below 0.2 history counts 0.3 times as much."""
+def trust_step(computed: Column, first: Column, params: TrustParams) -> Column:
+    """One adaptive step as a clamped affine map of the trust before it.
+
+    A first update, or a computed trust below 0.1, is taken as is; below 0.2 history counts 0.3 times
+    as much. What is not a finite number gives the initial trust.
+    """
+    bad = computed.isNull() | F.isnan(computed) | (F.abs(computed) == F.lit(float("inf")))
     alpha = F.when(computed < QUICK_BELOW, F.lit(params.alpha * QUICK_FACTOR)).otherwise(F.lit(params.alpha))
-    mixed = alpha * old + (1 - alpha) * computed
     direct = computed < DIRECT_BELOW
     if params.first_update == "direct":
         direct = direct | first
-    return bounded(F.when(direct, computed).otherwise(mixed), params.initial)
+    a = F.when(bad | direct, F.lit(0.0)).otherwise(alpha)
+    b = F.when(bad, F.lit(params.initial)).when(direct, computed).otherwise((1 - alpha) * computed)
+    return affine(a, b)
 
 
 def initial_history(sources: DataFrame, known: DataFrame | None = None, params: TrustParams = TrustParams()) -> DataFrame:
@@ -139,57 +140,54 @@ def adaptive_trust(
 ) -> DataFrame:
     """Trust history from `client_id, round, computed`, one row per source and round.
 
-    The smoothing weight depends on the data, so this is an ordered fold per source over
-    its rounds. With `decay`, a round whose `computed` is null multiplies trust by the
-    decay rate; use `round_spine` to make such rounds. Returns `client_id, round, trust,
-    computed, event, previous, consistency, trend`, where the last two describe the history
-    before the update.
+    The smoothing weight depends on the data, but each round is a clamped affine map of the trust
+    before it, so a history of any length is folded in blocks (`histories`). A round has one row per
+    source. With `decay`, a round whose `computed` is null multiplies trust by the decay rate; use
+    `round_spine` to make such rounds. Returns `client_id, round, trust, computed, event, previous,
+    consistency, trend`, where the last two describe the history before the update.
 
     With `stored`, an earlier history, each source goes on from its last stored row; rounds up to
     it are not applied again. Stored and new rows come back together.
     """
     past = ["client_id", "round", "trust", "computed", "event"]
-    steps = F.array_sort(F.collect_list(F.struct(F.col("round").cast("int").alias("round"), F.col("computed").cast("double").alias("computed"))))
-    per_source = observed.groupBy("client_id").agg(steps.alias("_s"))
+    steps = observed.select("client_id", F.col("round").cast("int").alias("round"), F.col("computed").cast("double").alias("computed"))
     if stored is None:
-        per_source = per_source.withColumns({"_round": F.lit(None).cast("int"), "_trust": F.lit(None).cast("double")})
+        begun = steps.select("client_id").distinct().withColumns({"_last": F.lit(None).cast("int"), "_trust": F.lit(None).cast("double")})
     else:
-        last = F.max_by(F.struct(F.col("round").cast("int").alias("r"), "trust"), "round").alias("_last")
-        last = stored.groupBy("client_id").agg(last).select("client_id", F.col("_last.r").alias("_round"), F.col("_last.trust").alias("_trust"))
-        per_source = per_source.join(last, "client_id", "left")
-    known, begun = F.col("_round").isNotNull(), F.coalesce("_round", F.lit(0))
-    start = F.array(F.struct(
-        begun.alias("round"), F.coalesce("_trust", F.lit(params.initial)).alias("trust"),
-        F.lit(None).cast("double").alias("computed"), F.when(known, "resumed").otherwise("initial").alias("event"),
-    ))
-
-    def step(acc: Column, s: Column) -> Column:
-        old = F.element_at(acc, -1)["trust"]
-        first = (~known & (F.size(acc) == 1)) | (s["round"] == 1)
-        updated = next_trust(old, s["computed"], first, params)
-        idle = s["computed"].isNull()
-        trust = F.when(idle, bounded(old * params.decay, params.initial)).otherwise(updated) if decay else updated
-        event = F.when(idle, "decay").otherwise("update") if decay else F.lit("update")
-        return F.concat(acc, F.array(F.struct(
-            s["round"].alias("round"), trust.alias("trust"), s["computed"].alias("computed"), event.alias("event")
-        )))
-
-    due = F.filter("_s", lambda s: ~known | (s["round"] > begun))
-    folded = per_source.select("client_id", F.inline(F.aggregate(due, start, step))).filter("event <> 'resumed'")
+        last = stored.groupBy("client_id").agg(F.max("round").cast("int").alias("_last"), F.max_by("trust", "round").alias("_trust"))
+        begun = steps.select("client_id").distinct().join(last, "client_id", "left")
+    begun = sized(begun.withColumn("_x", F.coalesce("_trust", F.lit(params.initial)))).table
+    due = lookup_join(steps, begun.select("client_id", "_last"), ["client_id"]).filter(F.col("_last").isNull() | (F.col("round") > F.col("_last")))
+    due = sized(numbered_rounds(due)).table
+    first = (F.col("_last").isNull() & (F.col("_i") == 0)) | (F.col("round") == 1)
+    step, event = trust_step(F.col("computed"), first, params), F.lit("update")
+    if decay:
+        idle = F.col("computed").isNull()
+        step = F.when(idle, affine(F.lit(params.decay), F.lit(0.0))).otherwise(step)
+        event = F.when(idle, "decay").otherwise(event)
+    run = folded(due.withColumns({"_f": step, "event": event}), begun.select("client_id", "_x"), ["round", "computed", "event"])
+    rows = run.select("client_id", "round", F.col("_y").alias("trust"), "computed", "event")
+    new = begun.filter("_last IS NULL").select(
+        "client_id", F.lit(0).alias("round"), F.col("_x").alias("trust"), F.lit(None).cast("double").alias("computed"), F.lit("initial").alias("event")
+    )
+    rows = new.unionByName(rows)
     if stored is not None:
-        folded = stored.select(*past).unionByName(folded)
-    return describe_history(folded, params.window)
+        rows = stored.select(*past).unionByName(rows)
+    return describe_history(rows, params.window)
 
 
 def describe_history(history: DataFrame, window: int = 5) -> DataFrame:
     """Add `previous` trust, and `consistency` and `trend` as they were before each row."""
-    order = W.partitionBy("client_id").orderBy("round")
-    past = order.rowsBetween(-window, -1)
-    at = history.withColumns({"previous": F.lag("trust").over(order), "_i": F.row_number().over(order)})
-    return at.withColumns({
-        "consistency": steadiness(F.var_pop("trust").over(past), F.count("trust").over(past)),
-        "trend": trend_name(F.expr("regr_slope(trust, _i)").over(past)),
-    }).drop("_i")
+
+    def described(order) -> dict[str, Column]:
+        past = order.rowsBetween(-window, -1)
+        return {
+            "previous": F.lag("trust").over(order),
+            "consistency": steadiness(F.var_pop("trust").over(past), F.count("trust").over(past)),
+            "trend": trend_name(F.expr("regr_slope(trust, _i)").over(past)),
+        }
+
+    return recent_frames(numbered_rounds(history), window, described).drop("_i")
 
 
 def trend_name(slope: Column) -> Column:
@@ -334,14 +332,17 @@ def trust_summary(latest: DataFrame, by: list[str] | None = None) -> DataFrame:
     Without sources all numbers are 0.
     """
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    stats = latest.groupBy(*(by or [])).agg(
+    by = by or []
+    stats = latest.groupBy(*by).agg(
         zero(F.avg("trust")).alias("mean"),
         zero(F.stddev_pop("trust")).alias("std"),
         zero(F.min("trust")).alias("min"),
         zero(F.max("trust")).alias("max"),
-        zero(F.median("trust")).alias("median"),
         F.count("trust").alias("count"),
     )
+    middle = medians(latest, by, "trust", "median")
+    stats = stats.join(middle, by, "left") if by else stats.withColumn("median", middle.scalar())
+    stats = stats.withColumn("median", zero(F.col("median"))).select(*by, "mean", "std", "min", "max", "median", "count")
     return stats.withColumn("range", F.col("max") - F.col("min")).withColumn("heterogeneous", F.col("range") > 0.3)
 
 

@@ -613,3 +613,32 @@ ORACLES: dict[str, str] = {
 
 # continuing a stored history gives the history
 ORACLES["trust_resumed"] = ORACLES["trust_adaptive"]
+ORACLES["stream_resumed"] = ORACLES["stream_trust"]
+ORACLES["history_repeated"] = with_(*HISTORY_CHAIN, final=f"SELECT client_id, round, {rnd('trust')}, event FROM history", recursive=True)
+ORACLES["multi_round_weights"] = with_(
+    VECTORS, CELLS, centroids("client_id, round"), scoring("client_id, round"), evaluation("scored_v", "client_id, round", "vm"),
+    majority("vm", "client_id, round", "observed"), history(), LATEST, weights("latest", "", "weighted", "0.6"), QUOTAS,
+    final=f"SELECT client_id, {rates_out(['trust', 'weight'])}, fallback, quota FROM demand", recursive=True)
+
+EDGES = {"quantity": [10, 20, 30, 40], "extendedprice": [10000, 20000, 30000, 40000, 50000], "discount": [0.015, 0.035, 0.055, 0.075], "tax": [0.015, 0.035, 0.055]}
+STUMP_BINS = "bins AS (" + " UNION ALL ".join(
+    f"SELECT client_id, label, {i} AS feature, len(list_filter([{', '.join(f'{e}::DOUBLE' for e in edges)}], lambda e: e < {name})) AS bin, [{', '.join(f'{e}::DOUBLE' for e in edges)}] AS edges FROM flows"
+    for i, (name, edges) in enumerate(EDGES.items())) + ")"
+
+
+def gini(u: str, n: str) -> str:
+    return f"(-2.0::DOUBLE * {u} * ({n} - {u}) / {n})"
+
+
+ORACLES["source_stumps"] = with_(
+    FLOWS, STUMP_BINS,
+    "hist AS (SELECT client_id, feature, bin, any_value(edges) AS edges, CAST(sum(label) AS DOUBLE) AS u, CAST(count(*) AS DOUBLE) AS n FROM bins GROUP BY client_id, feature, bin)",
+    """summed AS (SELECT client_id, feature, bin, edges, sum(u) OVER w AS lu, sum(n) OVER w AS ln, sum(u) OVER (PARTITION BY client_id, feature) AS au,
+  sum(n) OVER (PARTITION BY client_id, feature) AS an FROM hist WINDOW w AS (PARTITION BY client_id, feature ORDER BY bin))""",
+    f"""gains AS (SELECT *, CASE WHEN ln >= 4 AND an - ln >= 4 THEN {gini('lu', 'ln')} + {gini('(au - lu)', '(an - ln)')} - {gini('au', 'an')} END AS gain FROM summed)""",
+    "best AS (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY CASE WHEN gain > 1e-9 THEN gain END DESC NULLS LAST, feature, bin) = 1)",
+    "split AS (SELECT * FROM best WHERE gain > 1e-9)",
+    """nodes AS (SELECT client_id, 0 AS level, 0 AS node, CASE WHEN gain > 1e-9 THEN feature END AS feature, CASE WHEN gain > 1e-9 THEN bin END AS bin,
+    CASE WHEN gain > 1e-9 THEN edges[bin + 1] END AS threshold, CASE WHEN gain > 1e-9 THEN gain END AS gain, au AS u, an AS n FROM best
+  UNION ALL SELECT client_id, 1, 0, NULL, NULL, NULL, NULL, lu, ln FROM split UNION ALL SELECT client_id, 1, 1, NULL, NULL, NULL, NULL, au - lu, an - ln FROM split)""",
+    final=f"""SELECT client_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('level', 'node', 'feature', 'bin', 'n'))}, {rnd('threshold')}, {rnd('u / n', name='value')}, {rnd('gain')} FROM nodes""")

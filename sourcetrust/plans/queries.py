@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sourcetrust.functions.session import new_folder
 from sourcetrust.functions.vectors import binary_entropy
-from sourcetrust.operators import clean, metrics, models, perturb, reports, sample, trust
+from sourcetrust.operators import clean, forests, metrics, models, perturb, reports, retraining, sample, trust
 from sourcetrust.operators.joins import sized
 from sourcetrust.plans import fixtures as fx
 from sourcetrust.plans.rounding import nudge
@@ -672,6 +673,17 @@ def resume_point(spark, sf_dir):
     return hist.resume_point(stored).select("client_id", *longs(["round"]), rounded("trust").alias("trust"), "ts", "event")
 
 
+@query
+def history_repeated(spark, sf_dir):
+    """A history table written in parts that overlap, the last one twice."""
+    ts = F.concat((F.col("round") + 1994).cast("string"), F.lit("-12-31T00:00:00"))
+    rows = sized(hist.with_metrics(agreement_history(spark, sf_dir), ts)).table
+    path = f"{new_folder(spark, 'history')}/rounds"
+    for part in ("round <= 4", "round >= 3", "round >= 3"):
+        hist.write_history(rows.filter(part), path)
+    return hist.read_history(spark, path).select("client_id", *longs(["round"]), rounded("trust").alias("trust"), "event")
+
+
 @query
 def initialise(spark, sf_dir):
     """Round-0 rows for sources without a history."""
@@ -847,6 +859,84 @@ def median_rounds(spark, sf_dir):
     return unrolled(models.median_rounds(fx.vectors(spark, sf_dir), rounds=3, seed=fx.SEED), [])
 
 
+def round_history(spark, sf_dir) -> DataFrame:
+    """Trust history of one centroid model per source and round."""
+    df = fx.vectors(spark, sf_dir)
+    measured = retraining.measured_rounds(df, centroid_models(df, ["client_id", "round"]))
+    return trust.adaptive_trust(measured.select("client_id", "round", "computed"))
+
+
+@query
+def multi_round_weights(spark, sf_dir):
+    """Weights and row quotas after all rounds; sources below a trust of 0.6 are left out."""
+    quotas = retraining.retrain_quotas(round_history(spark, sf_dir), cap=CAP, base=CAP)
+    return quotas.select("client_id", *rounded_as(["trust", "weight"]), "fallback", *longs(["quota"]))
+
+
+@query
+def multi_round_retrain(spark, sf_dir):
+    """Local fits of all sources and rounds, their trust, and the retrain on the rows it allows."""
+    split = sample.split_stratified(fx.vectors(spark, sf_dir), 0.2, fx.SEED)
+    train, val = split.filter("split = 'train'"), split.filter("split = 'val'")
+    measured = retraining.measured_rounds(val, sized(retraining.fit_rounds(train)).table)
+    history = sized(trust.adaptive_trust(measured.select("client_id", "round", "computed"))).table
+    model = models.fit_global(retraining.retrain_rows(train, history, seed=fx.SEED), seed=fx.SEED)
+    scored = models.score_global(model, val.withColumn("y_true", F.col("label")))
+    quotas = retraining.retrain_quotas(history).select("client_id", "weight", *longs(["quota"]))
+    table = metrics.evaluate(scored, ["client_id"]).join(quotas, "client_id")
+    return table.select("client_id", *rounded_as(["accuracy", "f1_score", "weight"]), "quota")
+
+
+# ---- trees per source ------------------------------------------------------------------
+
+EDGES = [[10.0, 20.0, 30.0, 40.0], [10000.0, 20000.0, 30000.0, 40000.0, 50000.0], [0.015, 0.035, 0.055, 0.075], [0.015, 0.035, 0.055]]
+
+
+def flow_vectors(spark, sf_dir) -> DataFrame:
+    """Flows with their four features as an array."""
+    return fx.flows(spark, sf_dir).select("client_id", "row_id", "label", F.array(*[F.col(c).cast("double") for c in fx.FEATURES]).alias("x"))
+
+
+@query
+def source_stumps(spark, sf_dir):
+    """The best single split of every source on given borders."""
+    whole = forests.Growth(trees=1, depth=1, bagging=False, seed=fx.SEED)
+    trees = forests.fit_forests(flow_vectors(spark, sf_dir), whole, EDGES)
+    return trees.select(
+        "client_id", *longs(["level", "node", "feature", "bin", "n"]), rounded("threshold").alias("threshold"),
+        rounded("value").alias("value"), rounded("gain").alias("gain"),
+    )
+
+
+@query
+def source_forests(spark, sf_dir):
+    """A forest per source, measured on its held-out rows."""
+    split = sample.split_stratified(flow_vectors(spark, sf_dir), 0.2, fx.SEED)
+    trees = forests.fit_forests(split.filter("split = 'train'"), forests.Growth(trees=5, depth=4, features=2, seed=fx.SEED), bins=16)
+    scored = forests.score_forests(split.filter("split = 'val'").withColumn("y_true", F.col("label")), sized(trees).table)
+    return metrics.evaluate(scored, ["client_id"]).select("client_id", *rounded_as(["accuracy", "f1_score"]))
+
+
+@query
+def source_boosted(spark, sf_dir):
+    """Boosted trees per source, measured on its held-out rows."""
+    split = sample.split_stratified(flow_vectors(spark, sf_dir), 0.2, fx.SEED)
+    trees = forests.fit_boosted(split.filter("split = 'train'"), 3, 0.3, bins=16)
+    scored = forests.score_forests(split.filter("split = 'val'").withColumn("y_true", F.col("label")), sized(trees).table, boosted=True)
+    return metrics.evaluate(scored, ["client_id"]).select("client_id", *rounded_as(["accuracy", "f1_score"]))
+
+
+@query
+def forest_importances(spark, sf_dir):
+    """Feature importances of the sources' forests, averaged by trust."""
+    trees = forests.fit_forests(flow_vectors(spark, sf_dir), forests.Growth(trees=3, depth=3, bagging=False, seed=fx.SEED), EDGES)
+    weights = trust.trust_weights(trust.latest_trust(agreement_history(spark, sf_dir))).select("client_id", "weight")
+    mean = models.average_importances(forests.importances(trees, len(fx.FEATURES)).join(weights, "client_id"), "weight")
+    return mean.select(F.posexplode("feature_importances").alias("feature", "importance")).select(
+        *longs(["feature"]), rounded("importance").alias("importance")
+    )
+
+
 def fitted_metrics(spark, sf_dir, kind: str, **settings) -> DataFrame:
     """A global fit on trust-weighted quota rows, evaluated on all validation rows."""
     split = sample.split_stratified(fx.vectors(spark, sf_dir), 0.2, fx.SEED)
@@ -987,3 +1077,18 @@ def stream_trust(spark, sf_dir):
         "client_id", F.col("window_end").cast("timestamp_ntz").alias("window_end"), *longs(["round"]), "event",
         *rounded_as(["trust"]), "alert",
     )
+
+
+@query
+def stream_resumed(spark, sf_dir):
+    """Daily trust by a stream that is given up half-way and run again from its stored history."""
+    events = streamed(spark, sf_dir, "user")
+    half = fx.table(spark, sf_dir, "events").select(F.timestamp_millis(((F.unix_millis(F.min("ts").cast("timestamp")) + F.unix_millis(F.max("ts").cast("timestamp"))) / 2).cast("long"))).first()[0]
+    path = f"{new_folder(spark, 'trust-history')}/rounds"
+    settings = {"window": "1 day", "window_ms": rounds.DAY_MS}
+    first = rounds.run_history(rounds.trust_stream(events.filter(F.col("ts") < F.lit(half)), **settings), path)
+    table = rounds.run_history(rounds.trust_stream(events, stored=first, **settings), path)
+    return table.select(
+        "client_id", F.col("window_end").cast("timestamp_ntz").alias("window_end"), *longs(["round"]), "event",
+        *rounded_as(["trust"]), "alert",
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sourcetrust.operators.joins import sized
 from sourcetrust.operators.models import in_order
 
 METRICS = "validation_accuracy double, consistency_score double, trend string, decay_applied boolean, decay_rate double"
@@ -30,9 +31,29 @@ def with_metrics(history: DataFrame, ts: Column, decay_rate: float = 0.95) -> Da
     )
 
 
-def write_history(history: DataFrame, path: str, mode: str = "append") -> None:
-    """Append rounds to the history table, one partition per round."""
-    history.write.mode(mode).partitionBy("round").parquet(path)
+def write_history(history: DataFrame, path: str) -> None:
+    """Put rounds into the history table, one partition per round.
+
+    A stored row with the source and round of a given one is replaced, all others stay, so writing
+    the same rows again changes nothing. Only partitions of the given rounds are rewritten; a write
+    that is cut short is mended by repeating it. `history` has one row per source and round.
+    """
+    spark, rows = history.sparkSession, sized(history).table
+    if _exists(spark, path):
+        stored = read_history(spark, path)
+        touched = stored.join(rows.select("round").distinct(), "round", "left_semi")
+        kept = touched.join(rows.select("client_id", "round"), ["client_id", "round"], "left_anti")
+        # stored first, as the partitions read are those written
+        rows = sized(rows.unionByName(kept, allowMissingColumns=True)).table
+    writer = rows.repartition("round").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("round").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    return files.exists(place) and any(f.isDirectory() and "=" in f.getPath().getName() for f in files.listStatus(place))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

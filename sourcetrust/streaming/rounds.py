@@ -8,14 +8,17 @@ windows; rows later than the watermark are dropped by the stream.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sourcetrust.functions.session import new_folder
+from sourcetrust.operators.joins import sized
 from sourcetrust.operators.metrics import evaluate
 from sourcetrust.operators.trust import DIRECT_BELOW, QUICK_BELOW, QUICK_FACTOR, TrustParams
+from sourcetrust.sources.history import write_history
 
 WINDOW = "7 days"
 DELAY = "1 day"
@@ -60,12 +63,20 @@ class TrustProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("trust", "trust double, last_end bigint, round int, idle int")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Go on from the last stored round of a source; windows up to it are not applied again."""
+        row = initialState.sort_values("round").iloc[-1]
+        end_ms = int(pd.Timestamp(row["window_end"]).value // 1_000_000)
+        self._write(float(row["trust"]), end_ms, int(row["round"]), int(row["idle"]))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         table = pd.concat(list(rows)).sort_values("window_end")
         trust, last, number, idle = self._read()
         out = []
         for end, computed in zip(table["window_end"], table["computed"]):
             end_ms = int(pd.Timestamp(end).value // 1_000_000)
+            if last is not None and end_ms <= last:
+                continue
             if last is not None:
                 trust, last, number, idle = self._idle(key, trust, last, number, idle, end_ms - self.window_ms, out)
             number += 1
@@ -131,13 +142,16 @@ class TrustProcessor(StatefulProcessor):
 
 def trust_stream(
     events: DataFrame, params: TrustParams = TrustParams(), window: str = WINDOW, window_ms: int = 7 * DAY_MS, delay: str = DELAY,
-    idle_windows: int | None = None,
+    idle_windows: int | None = None, stored: DataFrame | None = None,
 ) -> DataFrame:
     """Trust per source and window with decay and alerts, from a stream of predictions.
 
-    With `idle_windows`, a source without events for that many windows is forgotten.
+    With `idle_windows`, a source without events for that many windows is forgotten. With `stored`, rows
+    of an earlier run (as this stream makes them), each source goes on from its last stored round,
+    and windows that are stored already make no rows; so a stream without its checkpoint can be run
+    again over all events.
 
-    Needs the RocksDB state store (`run_stream` sets it).
+    Needs the RocksDB state store (`run_stream` and `run_history` set it).
     """
     measured = round_metrics(events, window, delay).select("client_id", "window_end", F.col("accuracy").alias("computed"))
     return measured.groupBy("client_id").transformWithStateInPandas(
@@ -145,30 +159,63 @@ def trust_stream(
         outputStructType=OUTPUT,
         outputMode="append",
         timeMode="EventTime",
+        initialState=None if stored is None else sized(last_states(stored)).table.groupBy("client_id"),
     )
 
 
+def last_states(stored: DataFrame) -> DataFrame:
+    """client_id, window_end, round, trust of each source's last stored round, and for how many rounds it was idle."""
+    last = F.max_by(F.struct("window_end", "trust"), "round").alias("l")
+    busy = F.coalesce(F.max(F.when(F.col("event") == "update", F.col("round"))), F.lit(0))
+    found = stored.groupBy("client_id").agg(F.max("round").cast("int").alias("round"), last, busy.alias("busy"))
+    return found.select("client_id", "l.window_end", "round", "l.trust", (F.col("round") - F.col("busy")).cast("int").alias("idle"))
+
+
 def drop_alerts(trust: DataFrame) -> DataFrame:
     return trust.filter("alert").select("client_id", "window_end", "round", "previous", "trust", "magnitude")
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
+
 def run_stream(stream: DataFrame, name: str) -> DataFrame:
     """Process all available input into a Parquet table in the shared folder and read it."""
     spark = stream.sparkSession
     folder = new_folder(spark, name)
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
+    with rocksdb(spark):
         run = (
             stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
             .option("checkpointLocation", f"{folder}/state").start(f"{folder}/rows")
         )
         run.awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def run_history(stream: DataFrame, path: str, state: str | None = None) -> DataFrame:
+    """Process all available input into the history table at `path` and read it.
+
+    Every micro-batch replaces its rows by source and round, so a batch that is repeated after a
+    failure changes nothing. `state` is the stream's checkpoint; without one a new stream begins,
+    which goes on from the history if it was given to `trust_stream`.
+    """
+    spark = stream.sparkSession
+    with rocksdb(spark):
+        run = (
+            stream.writeStream.foreachBatch(lambda rows, _: write_history(rows, path)).outputMode("append")
+            .trigger(availableNow=True).option("checkpointLocation", state or new_folder(spark, "history-state")).start()
+        )
+        run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def read_events(spark: SparkSession, folder: str, names: str = "*.parquet") -> DataFrame:
     """Stream the Parquet files of a folder whose names match the glob `names`."""
     schema = spark.read.option("pathGlobFilter", names).parquet(folder).schema
