@@ -5,12 +5,10 @@ A shard is a bounded piece of one language's texts, kept as word numbers. For ev
 1. Each shard is mined completely: all its phrases of that length whose two shorter ends are
    frequent, counted in numpy. It reports those that reach its local support, which is the global one
    in proportion to its words. A phrase that is frequent at all reaches it in some shard.
-2. The reported phrases of all shards are united.
-3. Shards whose local support is above one have held phrases back; what they hold back of the united
-   phrases is counted too, so that all counts are exact. Shards that report all they have are not
-   asked again.
-4. Phrases below the support go. The others are numbered, and every shard learns the numbers of its
-   own ones for the next length.
+2. The reported phrases of all shards are united. A shard whose local support is one reports all it
+   has; others hand on the rest of their counts unreported, so that the union's counts are exact.
+3. Phrases that no shard reports, or below the global support, go. The others are numbered, and every
+   shard learns the numbers of its own ones for the next length.
 
 Phrases travel as pairs (number of the frequent phrase without the last word, number of the last
 word), so no two can be taken for each other. No phrase has more rows than there are shards.
@@ -143,45 +141,39 @@ def shard_phrases(
     return keys, known[-1][1][keys // words], numbers[np.searchsorted(single, keys % words)], counts
 
 
-def _mined(shards: DataFrame, level: int, support: int, reported: bool | None, placed: bool) -> DataFrame:
-    """p, w, n of the phrases of `level` words that shards report (or hold back); all, with their place, if `placed`."""
-    names = ["shard", "at", "p", "w"] if placed else ["p", "w", "n"]
+def _mined(shards: DataFrame, level: int, support: int, placed: bool) -> DataFrame:
+    """p, w, n, reported of each shard's phrases of `level` words, or shard, at, p, w if `placed`."""
+    kinds = {"shard": pa.int64(), "at": pa.int64(), "p": pa.int64(), "w": pa.int64(), "n": pa.int64(), "reported": pa.bool_()}
+    names = ["shard", "at", "p", "w"] if placed else ["p", "w", "n", "reported"]
 
     def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                own, whole = row["n"].as_py(), row["total"].as_py()
-                if reported is False and own * support <= whole:
-                    continue  # a local support of one: nothing is held back
                 known = []
                 for k in range(1, level):
                     list_ = row[f"known{k}"].values
-                    keys, numbers = (np.asarray(list_.field(j), np.int64) for j in (0, 1)) if list_ is not None else (np.empty(0, np.int64),) * 2
+                    keys, numbers = (np.asarray(list_.field(j), np.int64) for j in (0, 1))
                     order = np.argsort(keys)
                     known.append((keys[order], numbers[order]))
                 ids = np.frombuffer(unpack(row["ids"].as_py()), np.int32)
                 joined = np.unpackbits(np.frombuffer(unpack(row["joined"].as_py()), np.uint8), count=len(ids)).astype(bool)
-                keys, p, w, n = shard_phrases(ids, joined, int(ids.max()) + 1 if len(ids) else 1, known)
-                shard = np.full(len(keys), row["shard"].as_py())
-                if reported is not None:
-                    local = (n * whole >= support * own) == reported
-                    keys, p, w, n, shard = keys[local], p[local], w[local], n[local], shard[local]
-                columns = {"shard": shard, "at": keys, "p": p, "w": w, "n": n}
+                keys, p, w, n = shard_phrases(ids, joined, int(ids.max()) + 1, known)
+                columns = {"p": p, "w": w, "n": n, "at": keys, "shard": np.full(len(keys), row["shard"].as_py())}
+                columns["reported"] = n * row["total"].as_py() >= support * row["n"].as_py()
                 for at in range(0, len(keys), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[c][at:at + (1 << 17)], pa.int64()) for c in names], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[c][at:at + (1 << 17)], kinds[c]) for c in names], names)
 
     wanted = ["shard", "n", "total", "ids", "joined", *[f"known{k}" for k in range(1, level)]]
-    return shards.select(*wanted).mapInArrow(mined, ", ".join(f"{c} bigint" for c in names))
+    spelt = {"reported": "boolean"}
+    return shards.select(*wanted).mapInArrow(mined, ", ".join(f"{c} {spelt.get(c, 'bigint')}" for c in names))
 
 
-def exact_counts(reported: DataFrame, held: DataFrame, key: list[str], support: int) -> DataFrame:
-    """key, f of the phrases that reach the support: the union of the reported ones with all their counts."""
-    union = reported.groupBy(*key).agg(F.sum("n").alias("f"))
-    late = held.join(union.select(*key), key, "left_semi").groupBy(*key).agg(F.sum("n").alias("late"))
-    counted = union.join(late, key, "left").withColumn("f", F.col("f") + F.coalesce("late", F.lit(0)))
-    return counted.drop("late").filter(F.col("f") >= support)
+def exact_counts(mined: DataFrame, key: list[str], support: int) -> DataFrame:
+    """key, f of the phrases that a shard reports and that reach the support, from all shards' counts."""
+    counted = mined.groupBy(*key).agg(F.sum("n").alias("f"), F.max("reported").alias("reported"))
+    return counted.filter(F.col("reported") & (F.col("f") >= support)).drop("reported")
 
 
 def _learned(found: DataFrame, level: int) -> DataFrame:
@@ -204,7 +196,7 @@ def frequent_phrases(
         "shard", "lang", "own", F.col("at").cast("long").alias("at"), F.col("w.word").alias("word"), F.col("w.n").alias("n")
     )
     local = single.join(totals, "lang").withColumn("reported", F.col("n") * F.col("total") >= F.col("own") * support)
-    counts = exact_counts(local.filter("reported"), local.filter("NOT reported"), ["lang", "word"], support)
+    counts = exact_counts(local, ["lang", "word"], support)
     words = numbered(counts, [F.col("lang"), F.col("word")], space, "words").withColumnRenamed("_pos", "id")
     words = space.keep(words, "level-1")
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), "f")]
@@ -213,8 +205,8 @@ def frequent_phrases(
         known = space.keep(known.join(learned, "shard"), f"known-{level}")
         if level > 2:
             space.drop(f"known-{level - 1}")
-        mined = [_mined(known, level, support, reported, placed=False) for reported in (True, False)]
-        counts = numbered(exact_counts(*mined, ["p", "w"], support), [F.col("p"), F.col("w")], space, f"pairs-{level}")
+        counts = exact_counts(_mined(known, level, support, placed=False), ["p", "w"], support)
+        counts = numbered(counts, [F.col("p"), F.col("w")], space, f"pairs-{level}")
         before = levels[-1].select(F.col("id").alias("p"), "lang", F.col("phrase").alias("prefix"))
         last = words.select(F.col("id").alias("w"), "word")
         named = counts.join(before, "p").join(last, "w").select(
@@ -223,7 +215,7 @@ def frequent_phrases(
         named = space.keep(named, f"level-{level}")
         levels.append(named.select("id", "lang", "phrase", "f"))
         if level < max_words:
-            learned = _learned(_mined(known, level, support, None, placed=True).join(named.select("p", "w", "id"), ["p", "w"]), level)
+            learned = _learned(_mined(known, level, support, placed=True).join(named.select("p", "w", "id"), ["p", "w"]), level)
     found = [t.select("lang", F.lit(k).alias("words"), "phrase", "f") for k, t in enumerate(levels, 1)]
     return reduce(DataFrame.unionByName, found), totals.select("lang", F.col("total").alias("n"))
 

@@ -13,7 +13,7 @@ import numpy as np
 
 from sourcetrust.llm.tables import Memory, worker_value
 
-KNOWN = 1_000_000  # chunks remembered by one Python worker, at most
+KNOWN = 600_000  # chunks remembered by one Python worker, at most
 SIGNS = frozenset(".,;:!?)|#$%&*")  # fixed value: signs that no token joins to a letter before them
 
 

@@ -149,6 +149,8 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", shin
 
 
 def drop_near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `df` whose id is the smallest of its component; rows without an id stay."""
-    gone = near_duplicates(df, id_, text, **options).filter("id <> component").select(F.col("id").alias("_gone"))
-    return df.join(gone.distinct(), F.col(id_) == F.col("_gone"), "left_anti")
+    """The rows of `df` whose id is the smallest of its component, with all columns; rows without an id stay."""
+    found = near_duplicates(df, id_, text, **options).filter("id <> component")
+    gone = found.select(F.col("id").alias("id")).distinct()
+    rows = df.select(F.col(id_).cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return rows.join(gone, "id", "left_anti").select("row.*")

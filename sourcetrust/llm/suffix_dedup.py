@@ -5,19 +5,20 @@ hash, the leftmost on ties. Equal windows have equal anchors, so only windows wi
 gram need to meet. The windows of one anchor in a document are a run of starts; the run and the
 bytes its windows cover are a segment.
 
-1. Segments are counted by (gram hash, segment hash). A gram seen once repeats nothing. Of a
-   segment seen twice all windows are repeated.
-2. Grams with several distinct segments go, one copy of each segment, to shards of whole grams. A
-   shard builds its suffix array by Larsson-Sadakane refinement and the common prefixes of
-   neighbours by Kasai's rule, walked over all segments in step; a window is repeated where a
-   neighbour shares `length` bytes.
-3. A gram with more than `shard_segments` distinct segments is dealt to several shards by segment
-   hash. Each hands on its distinct windows, which are merged in slices of the window hash by
-   binary search of every shard's sorted list.
+1. Segments are stored and counted by (gram hash, segment hash), 128 bits together. A gram seen once
+   repeats nothing. Of a segment seen twice all windows are repeated.
+2. Grams with several distinct segments go, one copy of each segment, to shards of at most about
+   `shard_segments` segments: a gram's segments are dealt over as many shards as they need. A shard
+   builds its suffix array by Larsson-Sadakane refinement and the common prefixes of neighbours by
+   Kasai's rule, walked over all segments in step; a window is repeated where a neighbour shares
+   `length` bytes.
+3. Shards of one gram hand on their distinct windows: for each slice of the windows' hashes one row
+   of sorted 128-bit hashes, seeded with the gram. Slices are merged by binary search of every
+   shard's list. A gram that lies in one shard has nothing to merge.
 4. Documents get the repeated windows of their segments, and lose the bytes these cover.
 
 No step gathers a hot gram: counts are partial aggregates, the joins are split by adaptive
-execution, and a shard's size is bounded.
+execution, and a shard's and a slice's size are bounded.
 """
 
 from __future__ import annotations
@@ -277,8 +278,9 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [unpack(p.as_py()) for p in column]
 
 
-SHIPPED = "shard bigint, gram bigint, segment bigint, id bigint, n bigint, hot boolean, bytes binary"
-REPEATS = "id bigint, segment bigint, offsets binary, window bigint, shard bigint"
+SHIPPED = "shard bigint, gram bigint, segment bigint, id bigint, n bigint, parts bigint, bytes binary"
+REPEATS = "id bigint, segment bigint, offsets binary, slice bigint, shard bigint, hashes binary, open binary, ids binary, segments binary"
+SHARD_BYTES = 1 << 20  # of segments, in a suffix array together
 
 
 def _shipped(squeezed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -301,43 +303,37 @@ def _shipped(squeezed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=SHIPPED_ARROW)
 
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("shard", "gram", "segment", "n", "hot")).alias("wants"))
+    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("shard", "gram", "segment", "n", "parts")).alias("wants"))
     return squeezed.join(lists, "id").select("id", "packed", "wants").mapInArrow(shipped, SHIPPED)
 
 
 SHIPPED_ARROW = pa.schema([
     ("shard", pa.int64()), ("gram", pa.int64()), ("segment", pa.int64()), ("id", pa.int64()), ("n", pa.int64()),
-    ("hot", pa.bool_()), ("bytes", pa.binary()),
+    ("parts", pa.int64()), ("bytes", pa.binary()),
 ])
 
 
 def _sharded(shipped: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of segments seen once (offsets), and distinct windows of divided grams (window)."""
+    """Repeated windows of segments seen once (offsets), and the windows of divided grams, packed by slice."""
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "shard", 8192):
+        for table in whole_groups(batches, "shard", SHARD_BYTES, "bytes"):
             # an id that is not unique can ship a segment twice
             keep = np.unique(table.column("segment").to_numpy(), return_index=True)[1]
             rows = table.take(pa.array(np.sort(keep)))
             parts = rows.column("bytes").to_pylist()
-            shard, segment, id_, n = (rows.column(c).to_numpy() for c in ("shard", "segment", "id", "n"))
-            hot = rows.column("hot").to_numpy()
+            shard, gram, segment, id_, n, pieces = (rows.column(c).to_numpy() for c in ("shard", "gram", "segment", "id", "n", "parts"))
             of, offset, repeated, class_of = repeated_windows(parts, length)
             out = []
             marked = np.flatnonzero(repeated & (n[of] == 1))
             for at in np.split(marked, np.flatnonzero(np.diff(of[marked])) + 1) if len(marked) else []:
                 k = of[at[0]]
                 out.append({"id": id_[k], "segment": segment[k], "offsets": _packed(offset[at])})
-            divided = np.flatnonzero(hot[of])
-            heads = divided[np.unique(class_of[divided], return_index=True)[1]]
-            digest = xxhash.xxh3_64_intdigest
-            for at in heads.tolist():
-                k, o = of[at], int(offset[at])
-                open_ = not repeated[at] and n[k] == 1  # a window repeated here already only answers others
-                out.append({
-                    "id": id_[k], "segment": segment[k], "offsets": _packed([o]) if open_ else None,
-                    "window": int(np.uint64(digest(parts[k][o:o + length])).view(np.int64)), "shard": shard[k],
-                })
+            divided = np.flatnonzero(pieces[of] > 1)
+            if len(divided):
+                # a window whose suffix order has it several times is handed on once, and only answers others
+                heads = divided[np.unique(class_of[divided] * len(rows) + _rank(shard)[of[divided]], return_index=True)[1]]
+                out += _handed_on(parts, of[heads], offset[heads], repeated[heads], length, shard, gram, segment, id_, n, pieces)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=REPEATS_ARROW)
 
@@ -345,29 +341,81 @@ def _sharded(shipped: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(sharded, REPEATS)
 
 
+def _rank(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1]
+
+
+def _handed_on(parts, of, offset, repeated, length, shard, gram, segment, id_, n, pieces) -> Iterator[dict]:
+    """One row per shard and slice: sorted hashes of windows, and whose windows they are.
+
+    `open` holds, per window, the place of its segment in `segments` and its offset, both -1 where
+    the window needs no answer.
+    """
+    digest = xxhash.xxh3_128_digest
+    hashes = np.frombuffer(b"".join(
+        digest(parts[k][o:o + length], g) for k, o, g in zip(of.tolist(), offset.tolist(), gram.view(np.uint64)[of].tolist(), strict=True)
+    ), ">u8").reshape(-1, 2).astype(np.uint64)
+    slices = (hashes[:, 0] % pieces[of].astype(np.uint64)).astype(np.int64)
+    order = np.lexsort((hashes[:, 1], hashes[:, 0], slices, shard[of]))
+    new = np.flatnonzero((np.diff(shard[of][order]) != 0) | (np.diff(slices[order]) != 0)) + 1
+    for at in np.split(order, new):
+        k = of[at[0]]
+        asks = ~repeated[at] & (n[of[at]] == 1)
+        used, place = np.unique(of[at][asks], return_inverse=True)
+        open_ = np.full((len(at), 2), -1, np.int32)
+        open_[asks] = np.stack([place, offset[at][asks]], axis=1)
+        name = xxhash.xxh3_64_intdigest(int(slices[at[0]]).to_bytes(8, "little"), int(np.uint64(gram.view(np.uint64)[k])))
+        yield {
+            "slice": int(np.uint64(name).view(np.int64)), "shard": shard[k], "hashes": hashes[at].tobytes(),
+            "open": open_.tobytes(), "ids": id_[used].tobytes(), "segments": segment[used].tobytes(),
+        }
+
+
 REPEATS_ARROW = pa.schema([
-    ("id", pa.int64()), ("segment", pa.int64()), ("offsets", pa.binary()), ("window", pa.int64()), ("shard", pa.int64()),
+    ("id", pa.int64()), ("segment", pa.int64()), ("offsets", pa.binary()), ("slice", pa.int64()), ("shard", pa.int64()),
+    ("hashes", pa.binary()), ("open", pa.binary()), ("ids", pa.binary()), ("segments", pa.binary()),
 ])
 
 
+def elsewhere(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """Of sorted lists of 128-bit hashes (rows of two words): whether another list has the hash too."""
+    every = np.concatenate(lists)
+    order = np.lexsort((every[:, 1], every[:, 0]))
+    ordered = every[order]
+    merged = np.cumsum(np.r_[False, (ordered[1:] != ordered[:-1]).any(axis=1)])
+    number = np.empty(len(every), np.int64)
+    number[order] = merged
+    found, at = [], 0
+    for one in lists:
+        mine = number[at:at + len(one)]  # sorted, as the list is
+        total = np.searchsorted(merged, mine, "right") - np.searchsorted(merged, mine, "left")
+        found.append(total > np.searchsorted(mine, mine, "right") - np.searchsorted(mine, mine, "left"))
+        at += len(one)
+    return found
+
+
 def _merged(windows: DataFrame) -> DataFrame:
     """id, segment, offsets of windows that another shard has too."""
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "window", 1 << 16):
-            every, shard = table.column("window").to_numpy(), table.column("shard").to_numpy()
-            elsewhere = np.zeros(len(every), bool)
-            for one in np.unique(shard):
-                own = np.flatnonzero(shard == one)
-                mine = every[own]  # sorted, as the slice is
-                total = np.searchsorted(every, mine, "right") - np.searchsorted(every, mine, "left")
-                elsewhere[own] = total > np.searchsorted(mine, mine, "right") - np.searchsorted(mine, mine, "left")
-            hit = elsewhere & table.column("offsets").is_valid().to_numpy()
-            if hit.any():
-                rows = table.filter(pa.array(hit)).select(["id", "segment", "offsets"]).combine_chunks()
-                yield from rows.to_batches()
-
-    dealt = windows.repartition("window").sortWithinPartitions("window")
+        for table in whole_groups(batches, "slice", SHARD_BYTES, "hashes"):
+            names = table.column("slice").to_numpy()
+            for cut in np.split(np.arange(len(names)), np.flatnonzero(np.diff(names)) + 1):
+                rows = table.slice(int(cut[0]), len(cut))
+                lists = [np.frombuffer(h.as_py(), np.uint64).reshape(-1, 2) for h in rows.column("hashes")]
+                out = []
+                for hit, row in zip(elsewhere(lists), rows.select(["open", "ids", "segments"]).to_pylist(), strict=True):
+                    open_ = np.frombuffer(row["open"], np.int32).reshape(-1, 2)
+                    open_ = open_[hit & (open_[:, 0] >= 0)]
+                    open_ = open_[np.argsort(open_[:, 0], kind="stable")]
+                    ids, segments_ = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["segments"], np.int64)
+                    for some in np.split(open_, np.flatnonzero(np.diff(open_[:, 0])) + 1) if len(open_) else []:
+                        k = some[0, 0]
+                        out.append({"id": ids[k], "segment": segments_[k], "offsets": _packed(some[:, 1])})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(REPEATS_ARROW)[:3]))
+
+    dealt = windows.repartition("slice").sortWithinPartitions("slice", "shard")
     return dealt.mapInArrow(merged, "id bigint, segment bigint, offsets binary")
 
 
@@ -439,24 +487,18 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def _marks(texts: DataFrame, length: int, shard_segments: int) -> DataFrame:
     """Per id, the segments with repeated windows and the windows' offsets (null: all)."""
     space = Workspace(texts.sparkSession, "suffixes")
-    counted = _found(texts, length).groupBy("gram", "segment").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
-    counted = space.keep(counted, "counted")
+    listed = space.keep(_found(texts, length), "segments")
+    counted = space.keep(listed.groupBy("gram", "segment").agg(F.sum("n").alias("n"), F.min("id").alias("id")), "counted")
     grams = counted.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
     known = space.keep(counted.join(grams.filter("total > 1"), "gram"), "known")
     space.drop("counted")
-    shards = F.ceil(F.col("distinct") / shard_segments)
-    hot = F.col("distinct") > shard_segments
-    wanted = known.filter("distinct > 1").withColumns({
-        "hot": hot,
-        "shard": F.when(hot, F.xxhash64("gram", F.pmod(F.col("segment"), shards))).otherwise(F.col("gram")),
-    })
+    wanted = known.filter("distinct > 1").withColumn("parts", F.ceil(F.col("distinct") / shard_segments).cast("long"))
+    wanted = wanted.withColumn("shard", F.xxhash64("gram", F.pmod(F.col("segment"), F.col("parts"))))
     found = space.keep(_sharded(_shipped(_squeezed(texts), wanted, length), length), "repeats")
-    elsewhere = _merged(found.filter("window IS NOT NULL").select("window", "shard", "id", "segment", "offsets"))
-    once = found.filter("window IS NULL").select("id", "segment", "offsets").unionByName(elsewhere)
+    across = _merged(found.filter("slice IS NOT NULL").select("slice", "shard", "hashes", "open", "ids", "segments"))
+    once = found.filter("slice IS NULL").select("id", "segment", "offsets").unionByName(across)
     twice = known.filter("n > 1").select("gram", "segment")
-    every = _found(texts, length).join(twice, ["gram", "segment"]).select(
-        "id", "segment", F.lit(None).cast("binary").alias("offsets")
-    )
+    every = listed.join(twice, ["gram", "segment"]).select("id", "segment", F.lit(None).cast("binary").alias("offsets"))
     return every.unionByName(once).groupBy("id").agg(F.collect_list(F.struct("segment", "offsets")).alias("marks"))
 
 
@@ -484,9 +526,12 @@ def drop_repeats(
 
     Cases are those of `repeated_spans`; a text that goes wholly becomes empty, a null one too.
     """
-    rest = F.struct(*[F.col(c) for c in df.columns if c != text], F.lit(0).alias("_")).alias("rest")
+    kept = [c for c in df.columns if c != text]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("one")).alias("rest")
     texts = _texts(df, id_, text)
     packed = _squeezed(df.select(*texts_columns(id_, text), rest))
     joined = packed.join(_marks(texts, length, shard_segments), "id", "left")
     result = _removed(joined, length, packed.schema["rest"].dataType)
-    return result.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in df.columns])
+    return result.select(*[
+        F.col("text").alias(c) if c == text else F.col("rest")[f"c{kept.index(c)}"].alias(c) for c in df.columns
+    ])

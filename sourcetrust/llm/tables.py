@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sourcetrust.functions.session import new_folder
@@ -67,34 +68,61 @@ def running(parts: DataFrame, order: str, value: str, name: str, by: tuple[str,
 
 
 def worker_value(name: str, make: Callable):
-    """A value built once per Python worker process and kept between its tasks."""
+    """A value built once per Python worker process and kept between its tasks.
+
+    A worker keeps one value: another name drops it, so what an operator remembers does not lie
+    beside what the next one does.
+    """
     home = sys.modules.setdefault("_sourcetrust_worker", types.ModuleType("_sourcetrust_worker"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
-    """Batches sorted by an integer column, joined to tables of about `least` rows that divide no group."""
-    held, rows, goal = [], 0, least
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < goal:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        keys = table.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], side="left"))
-        if cut:
-            yield table.slice(0, cut)
-        held, rows = table.slice(cut).to_batches(), len(table) - cut
-        goal = max(least, 2 * rows)  # a group longer than `least` is searched seldom
-    if rows:
+    if getattr(home, "name", None) != name:
+        home.name, home.value = None, None
+        home.value = make()
+        home.name = name
+    return home.value
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int, weigh: str | None = None) -> Iterator[pa.Table]:
+    """Batches sorted by an integer column, joined to tables that divide no group.
+
+    A table has about `least` rows, or bytes of the column `weigh`, and is larger only where a
+    single group is. Long batches are taken in parts.
+    """
+    held, size, goal = [], 0, least
+    for whole in batches:
+        for batch in _parts(whole, least, weigh):
+            held.append(batch)
+            size += _weight(batch, weigh)
+            if size < goal:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column(key).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1], side="left"))
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            size = sum(_weight(b, weigh) for b in held)
+            goal = max(least, 2 * size)  # a group longer than `least` is searched seldom
+    if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _weight(batch: pa.RecordBatch, weigh: str | None) -> int:
+    return batch.num_rows if weigh is None else pc.sum(pc.binary_length(batch.column(weigh))).as_py() or 0
+
+
+def _parts(batch: pa.RecordBatch, least: int, weigh: str | None) -> Iterator[pa.RecordBatch]:
+    if weigh is None:
+        for at in range(0, batch.num_rows, least):
+            yield batch.slice(at, least)
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(weigh)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + least, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def linked(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 the smallest node reachable by the given links."""
     label = np.arange(n)

@@ -19,13 +19,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from sourcetrust.llm.tables import Memory, worker_value
 
 BUCKETS = 1 << 18
 DIM = 8
 SIZES = (3, 4, 5, 6)
-KNOWN = 800_000  # chunks, and words, remembered by one Python worker, at most
+KNOWN = 400_000  # chunks, and words, remembered by one Python worker, at most
 PLAIN, NO_WORD = 0, None  # a word without a trained n-gram, a chunk without a word
 HELD_OUT = 1  # remainder of crc32(id) modulo 3
 
@@ -207,6 +208,7 @@ def score_texts(df: DataFrame, model: Model, id_: str = "doc_id", text: str = "t
     trained = dict(zip(at.tolist(), map(tuple, model.logits[at].astype(float).tolist()), strict=True))
     bias, version = model.bias, zlib.crc32(model.logits.tobytes())
     kept = [c for c in df.columns if c != out]
+    rows = df.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def weigh(word: str):
@@ -226,13 +228,13 @@ def score_texts(df: DataFrame, model: Model, id_: str = "doc_id", text: str = "t
         words.make, chunks.make = weigh, look_up
         for batch in batches:
             values = []
-            for text_ in batch.column(batch.num_columns - 1):
+            for text_ in batch.column(0):
                 found = list(map(chunks.__getitem__, (text_.as_py() or "").split()))
                 marked = [f for f in found if f]
                 n = max(1, len(found) - found.count(NO_WORD))
                 sums = np.array([sum(f[0] for f in marked), sum(f[1] for f in marked)])
                 values.append(scorer.score(sums / n))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=[*batch.schema.names[:-1], out])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values, pa.float64())], ["row", "score"])
 
-    fields = df.select(*kept).schema.add(out, "double")
-    return df.select(*kept, F.col(text).alias("_scored_text")).mapInArrow(scored, fields)
+    found = rows.mapInArrow(scored, StructType().add("row", rows.schema["row"].dataType).add("score", "double"))
+    return found.select(*[F.col("row")[c].alias(c) for c in kept], F.col("score").alias(out))
