@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcetrust.llm import exact_dedup, near_copies, packing, suffix_dedup, toxicity
+from sourcetrust.llm import exact_dedup, packing, simhash_dedup, suffix_dedup, toxicity
 from sourcetrust.llm.queries import read, vocabulary
 from sourcetrust.llm.tables import Workspace
 
@@ -23,8 +23,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by a five-word Jaccard similarity of 0.8 or more."""
-    return near_copies.drop_near_copies(docs)
+    """One document, that of the smallest id, of each group linked by fingerprints of four-word shingles within four bits."""
+    return simhash_dedup.drop_near_duplicates(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
