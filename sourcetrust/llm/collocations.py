@@ -10,8 +10,11 @@ A shard is a bounded piece of one language's texts, kept as word numbers. For ev
 3. Phrases that no shard reports, or below the global support, go. The others are numbered, and every
    shard learns the numbers of its own ones for the next length.
 
-Phrases travel as pairs (number of the frequent phrase without the last word, number of the last
-word), so no two can be taken for each other. No phrase has more rows than there are shards.
+Phrases are pairs (number of the frequent phrase without the last word, number of the last word), so
+no two can be taken for each other. They travel packed: per shard one sorted list for each slice of
+their hash. A slice's lists are merged by one task, which sends back to each shard the numbers of the
+phrases that stay, by their places in the list. No phrase has more entries than there are shards, and
+the number of slices follows the number of words.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sourcetrust.llm.tables import Workspace, numbered
+from sourcetrust.llm.tables import Workspace, numbered, whole_groups
 
 # fixed values: signs that end a piece, blanks between words, the name of no language
 BREAKS, BLANKS, NO_LANG = b".,;:!?\n\x0b\x0c\r", b" \t", "und"
@@ -35,6 +38,8 @@ _plain = bytes.maketrans(BREAKS + b"\t", b"\n" * len(BREAKS) + b" ")
 _kind = np.zeros(256, np.int8)  # of a byte of such a text: 0 word, 1 blank, 2 break
 _kind[ord(" ")], _kind[ord("\n")] = 1, 2
 
+SLICE_WORDS = 1 << 20  # words of the corpus for each slice that phrases are merged in
+
 SHARDS = "shard bigint, lang string, n bigint, words array<struct<word: string, n: bigint>>, ids binary, joined binary"
 
 
@@ -141,33 +146,121 @@ def shard_phrases(
     return keys, known[-1][1][keys // words], numbers[np.searchsorted(single, keys % words)], counts
 
 
-def _mined(shards: DataFrame, level: int, support: int, placed: bool) -> DataFrame:
-    """p, w, n, reported of each shard's phrases of `level` words, or shard, at, p, w if `placed`."""
-    kinds = {"shard": pa.int64(), "at": pa.int64(), "p": pa.int64(), "w": pa.int64(), "n": pa.int64(), "reported": pa.bool_()}
-    names = ["shard", "at", "p", "w"] if placed else ["p", "w", "n", "reported"]
+def in_slices(p: np.ndarray, w: np.ndarray, slices: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The slices that phrases fall into, and which fall there, in the order they travel in."""
+    mixed = (p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    of = ((mixed >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
+    order = np.lexsort((w, p, of))
+    for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
+        yield int(of[part[0]]), part
+
+
+def _packed(p: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted pairs and their counts; the first numbers as steps, as they repeat or grow."""
+    return zstandard.ZstdCompressor(level=1).compress(np.stack([np.diff(p, prepend=0), w, n]).astype(np.int64).tobytes())
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    p, w, n = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int64).reshape(3, -1)
+    return np.stack([np.cumsum(p), w, n])
+
+
+def _level(row: dict, level: int, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's phrases of `level` words: prefix and word number, count."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    ids = np.frombuffer(unpack(row["ids"].as_py()), np.int32)
+    joined = np.unpackbits(np.frombuffer(unpack(row["joined"].as_py()), np.uint8), count=len(ids)).astype(bool)
+    words, known = int(ids.max()) + 1, []
+    for k in range(1, level):
+        learned = row[f"known{k}"].values
+        if k == 1:
+            at, numbers = (np.asarray(learned.field(j), np.int64) for j in (0, 1))
+            order = np.argsort(at)
+            known.append((at[order], numbers[order]))
+            continue
+        keys, p, w, _ = shard_phrases(ids, joined, words, known)
+        sent = {s: np.frombuffer(f, np.int32).reshape(2, -1) for s, f in zip(learned.field(0).to_pylist(), learned.field(1).to_pylist(), strict=True)}
+        numbers = np.full(len(keys), -1, np.int64)
+        for part, members in in_slices(p, w, slices):
+            if part in sent:
+                place, rank = sent[part]
+                numbers[members[place]] = (part << 32) | rank.astype(np.int64)
+        stay = numbers >= 0
+        known.append((keys[stay], numbers[stay]))
+    return shard_phrases(ids, joined, words, known)[1:]
+
+
+MINED = "slice bigint, shard bigint, own bigint, total bigint, packed binary"
+
+
+def _mined(shards: DataFrame, level: int, slices: int) -> DataFrame:
+    """Each shard's phrases of `level` words, one packed list per slice."""
 
     def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                known = []
-                for k in range(1, level):
-                    list_ = row[f"known{k}"].values
-                    keys, numbers = (np.asarray(list_.field(j), np.int64) for j in (0, 1))
-                    order = np.argsort(keys)
-                    known.append((keys[order], numbers[order]))
-                ids = np.frombuffer(unpack(row["ids"].as_py()), np.int32)
-                joined = np.unpackbits(np.frombuffer(unpack(row["joined"].as_py()), np.uint8), count=len(ids)).astype(bool)
-                keys, p, w, n = shard_phrases(ids, joined, int(ids.max()) + 1, known)
-                columns = {"p": p, "w": w, "n": n, "at": keys, "shard": np.full(len(keys), row["shard"].as_py())}
-                columns["reported"] = n * row["total"].as_py() >= support * row["n"].as_py()
-                for at in range(0, len(keys), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[c][at:at + (1 << 17)], kinds[c]) for c in names], names)
+                p, w, n = _level(row, level, slices)
+                own = {"shard": row["shard"].as_py(), "own": row["n"].as_py(), "total": row["total"].as_py()}
+                out = [own | {"slice": part, "packed": _packed(p[at], w[at], n[at])} for part, at in in_slices(p, w, slices)]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, MINED_ARROW)
 
     wanted = ["shard", "n", "total", "ids", "joined", *[f"known{k}" for k in range(1, level)]]
-    spelt = {"reported": "boolean"}
-    return shards.select(*wanted).mapInArrow(mined, ", ".join(f"{c} {spelt.get(c, 'bigint')}" for c in names))
+    return shards.select(*wanted).mapInArrow(mined, MINED)
+
+
+MINED_ARROW = pa.schema([(c, pa.int64()) for c in ("slice", "shard", "own", "total")] + [("packed", pa.binary())])
+MERGED = "slice bigint, shard bigint, p array<bigint>, w array<bigint>, f array<bigint>, found binary"
+MERGED_ARROW = pa.schema([
+    ("slice", pa.int64()), ("shard", pa.int64()), *[(c, pa.list_(pa.int64())) for c in "pwf"], ("found", pa.binary())
+])
+
+
+def merged_slice(lists: list[np.ndarray], owns: list[int], totals: list[int], support: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The frequent phrases of a slice (p, w, f), and per list which of its entries they are and which phrase each is.
+
+    A phrase is a candidate if one of the lists reports it: its count there, in proportion to the
+    shard's words, reaches the support. Candidates have the counts of all lists.
+    """
+    p, w, n = np.concatenate(lists, axis=1)
+    sizes = [one.shape[1] for one in lists]
+    own, total = np.repeat(owns, sizes), np.repeat(totals, sizes)
+    order = np.lexsort((w, p))
+    new = np.r_[True, (np.diff(p[order]) != 0) | (np.diff(w[order]) != 0)]
+    starts = np.flatnonzero(new)
+    f = np.add.reduceat(n[order], starts)
+    reported = np.logical_or.reduceat((n * total >= support * own)[order], starts)
+    stays = reported & (f >= support)
+    rank = np.where(stays, np.cumsum(stays) - 1, -1)
+    entry = np.empty(len(p), np.int64)
+    entry[order] = rank[np.cumsum(new) - 1]
+    heads = order[starts[stays]]
+    found = []
+    for one in np.split(entry, np.cumsum(sizes)[:-1]):
+        place = np.flatnonzero(one >= 0)
+        found.append(np.stack([place, one[place]]).astype(np.int32))
+    return np.stack([p[heads], w[heads], f[stays]]), found
+
+
+def _merged(mined: DataFrame, support: int) -> DataFrame:
+    """Per slice one row of frequent phrases (no shard), and what each shard learns of them (found)."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "slice", 1 << 20, "packed"):
+            names = table.column("slice").to_numpy()
+            for cut in np.split(np.arange(len(names)), np.flatnonzero(np.diff(names)) + 1):
+                rows = table.slice(int(cut[0]), len(cut)).to_pydict()
+                phrases, found = merged_slice([_unpacked(x) for x in rows["packed"]], rows["own"], rows["total"], support)
+                if not phrases.shape[1]:
+                    continue
+                part = rows["slice"][0]
+                out = [{"slice": part} | dict(zip("pwf", phrases, strict=True))]
+                out += [{"slice": part, "shard": s, "found": f.tobytes()} for s, f in zip(rows["shard"], found, strict=True) if f.size]
+                yield pa.RecordBatch.from_pylist(out, MERGED_ARROW)
+
+    return mined.repartition("slice").sortWithinPartitions("slice").mapInArrow(merged, MERGED)
 
 
 def exact_counts(mined: DataFrame, key: list[str], support: int) -> DataFrame:
@@ -176,11 +269,6 @@ def exact_counts(mined: DataFrame, key: list[str], support: int) -> DataFrame:
     return counted.filter(F.col("reported") & (F.col("f") >= support)).drop("reported")
 
 
-def _learned(found: DataFrame, level: int) -> DataFrame:
-    """One row per shard with the places and numbers of its frequent phrases: never more than its words."""
-    return found.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias(f"known{level}"))
-
-
 def frequent_phrases(
     df: DataFrame, space: Workspace, lang: str, text: str, support: int, max_words: int, shard_bytes: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +278,8 @@ def frequent_phrases(
     )
     shards = space.keep(rows.mapInArrow(_sharded(shard_bytes), SHARDS), "shards")
     totals = space.keep(shards.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    known = shards.select("shard", "lang", "n", "ids", "joined").join(totals, "lang")
+    slices = max(1, -(-(totals.agg(F.sum("total")).first()[0] or 0) // SLICE_WORDS))
+    known = shards.filter("n > 0").select("shard", "lang", "n", "ids", "joined").join(totals, "lang")
 
     single = shards.select("shard", "lang", F.col("n").alias("own"), F.posexplode("words").alias("at", "w")).select(
         "shard", "lang", "own", F.col("at").cast("long").alias("at"), F.col("w.word").alias("word"), F.col("w.n").alias("n")
@@ -200,22 +289,18 @@ def frequent_phrases(
     words = numbered(counts, [F.col("lang"), F.col("word")], space, "words").withColumnRenamed("_pos", "id")
     words = space.keep(words, "level-1")
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), "f")]
-    learned = _learned(single.join(words, ["lang", "word"]), 1)
+    # a shard learns at most as many numbers as it has words
+    learned = single.join(words, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known1"))
     for level in range(2, max_words + 1):
-        known = space.keep(known.join(learned, "shard"), f"known-{level}")
-        if level > 2:
-            space.drop(f"known-{level - 1}")
-        counts = exact_counts(_mined(known, level, support, placed=False), ["p", "w"], support)
-        counts = numbered(counts, [F.col("p"), F.col("w")], space, f"pairs-{level}")
+        known = known.join(learned, "shard")
+        met = space.keep(_merged(_mined(known, level, slices), support), f"merged-{level}")
+        one = met.filter("shard IS NULL").select("slice", F.posexplode(F.arrays_zip("p", "w", "f")).alias("rank", "e"))
+        counts = one.select((F.shiftleft("slice", 32) + F.col("rank")).alias("id"), "e.p", "e.w", "e.f")
         before = levels[-1].select(F.col("id").alias("p"), "lang", F.col("phrase").alias("prefix"))
         last = words.select(F.col("id").alias("w"), "word")
-        named = counts.join(before, "p").join(last, "w").select(
-            F.col("_pos").alias("id"), "p", "w", "lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), "f"
-        )
-        named = space.keep(named, f"level-{level}")
-        levels.append(named.select("id", "lang", "phrase", "f"))
-        if level < max_words:
-            learned = _learned(_mined(known, level, support, placed=True).join(named.select("p", "w", "id"), ["p", "w"]), level)
+        named = counts.join(before, "p").join(last, "w").select("id", "lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), "f")
+        levels.append(space.keep(named, f"level-{level}"))
+        learned = met.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("slice", "found")).alias(f"known{level}"))
     found = [t.select("lang", F.lit(k).alias("words"), "phrase", "f") for k, t in enumerate(levels, 1)]
     return reduce(DataFrame.unionByName, found), totals.select("lang", F.col("total").alias("n"))
 

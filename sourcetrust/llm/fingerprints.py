@@ -166,26 +166,33 @@ class Comparison:
         return done.groupBy(*key).agg(whole("gone"), whole("added"))
 
 
-def compare_sets(rows: DataFrame, space: Workspace, key: list[str], base: str, others: list[str]) -> DataFrame:
-    """`rows` with the sketches of the digest arrays `base` and `others`, and each other's difference from `base`.
-
-    New columns: `<name>_sketch` (as text) and `<other>_diff`, a struct of `gone` (digests of the base
-    alone) and `added`. `key` is unique; arrays hold no digest twice, a null one counts as empty.
+def compare_sets(
+    rows: DataFrame, space: Workspace, key: list[str], base: str, others: list[str], sketches: list[str] | None = None
+) -> DataFrame:
+    """`rows` with the digest arrays `base` and `others` replaced by what their sketches tell.
+
+    New columns: `<name>_size`, `<name>_sketch` (as text; for `sketches`, by default all) and
+    `<other>_diff`, a struct of `gone` (digests of the base alone) and `added`. `key` is unique;
+    arrays hold no digest twice, a null one counts as empty.
     """
     names, none = [base, *others], F.array().cast("array<bigint>")
     steps = Comparison(space, [*key, "_other"])
     met = steps.sketched(rows.withColumns({c: F.coalesce(F.col(c), none) for c in names}), {c: f"{c}_cells" for c in names})
     for c in others:
         met = steps.compared(met, f"{base}_cells", f"{c}_cells", f"{c}_diff")
-    met = met.withColumns({f"{c}_sketch": shown(F.col(f"{c}_cells")) for c in names})
-    met = space.keep(met.drop(*[f"{c}_cells" for c in names]), "compared")
+    # arrays are stored with the pairs that are stuck alone
     pairs = F.filter(F.array(*[
         F.struct(F.lit(c).alias("_other"), F.col(base).alias("_l"), F.col(c).alias("_r"), F.col(f"{c}_diff.done").alias("done"))
         for c in others
     ]), lambda p: ~p["done"])
-    stuck = met.select(*key, F.inline(pairs)).select(*key, "_other", "_l", "_r")
+    met = met.withColumns(
+        {f"{c}_sketch": shown(F.col(f"{c}_cells")) for c in (names if sketches is None else sketches)}
+        | {f"{c}_size": F.size(c) for c in names} | {"_stuck": pairs}
+    )
+    met = space.keep(met.drop(*[f"{c}_cells" for c in names], *names), "compared")
+    stuck = met.select(*key, F.inline("_stuck")).select(*key, "_other", "_l", "_r")
     found = steps.larger(stuck).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_other", F.struct("gone", "added")))).alias("_larger"))
-    met = met.join(found, key, "left")
+    met = met.drop("_stuck").join(found, key, "left")
     for c in others:
         diff = F.col(f"{c}_diff")
         small = F.struct(diff["gone"].alias("gone"), diff["added"].alias("added"))
@@ -194,13 +201,13 @@ def compare_sets(rows: DataFrame, space: Workspace, key: list[str], base: str, o
 
 
 def likeness(left: Column, right: Column, diff: Column) -> Column:
-    """Jaccard index of two arrays of distinct digests from their sizes and their difference; 1 if both are empty."""
-    both, apart = F.size(left) + F.size(right), F.size(diff["gone"]) + F.size(diff["added"])
+    """Jaccard index of two sets from their sizes and their difference; 1 if both are empty."""
+    both, apart = left + right, F.size(diff["gone"]) + F.size(diff["added"])
     return F.when(both == 0, 1.0).otherwise((both - apart).cast("double") / (both + apart).cast("double"))
 
 
 def fingerprint_edits(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and what changed.
+    """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id, gone, added.
 
     The edited text is the text with the last half of its code points, rounded down, replaced by as
     many from the start of the next text (or all it has); next is the row with the next smaller id,
@@ -225,20 +232,25 @@ def fingerprint_edits(df: DataFrame, id_: str = "doc_id", text: str = "text") ->
     before = placed.select(follows.alias("_pos"), F.col("key").alias("before"), half.alias("wanted"))
     ordered = placed.join(before, "_pos").select("key", "n", "copies", "before", "wanted")
 
-    # one shuffle of whole texts; of a next text only what is wanted goes on
-    texts = rows.select("key", "id", "text").join(ordered, "key")
-    number = F.row_number().over(W.partitionBy("key").orderBy("n"))
-    single = texts.withColumn("_copy", number).filter("_copy = 1").withColumn("own", paragraph_digests(F.col("text")))
-    nexts = single.select(F.col("before").alias("key"), F.left("text", F.col("wanted")).alias("start"), F.col("own").alias("following"))
+    # one shuffle of whole texts: both uses of a text read it, as its columns are one that pruning does
+    # not open; of a next text only what is wanted goes on
+    whole = F.array(F.struct("id", "text", "n", "copies", "before", "wanted")).alias("row")
+    texts = rows.select("key", "id", "text").join(ordered, "key").select("key", whole)
+    number = F.row_number().over(W.partitionBy("key").orderBy("key"))
+    single = texts.withColumn("_copy", number).filter("_copy = 1").select("key", F.col("row")[0].alias("row"))
+    single = single.select("key", "row.*").withColumn("own", paragraph_digests(F.col("text")))
+    nexts = single.select(
+        F.col("before").alias("key"), F.col("id").alias("next_id"), F.left("text", F.col("wanted")).alias("start"), F.col("own").alias("following")
+    )
     edited = single.join(nexts, "key").select(
-        "key", "id", "n", "copies", "own", "following", F.concat(F.left("text", F.col("n") - half), "start").alias("edited")
+        "key", "id", "next_id", "n", "copies", "own", "following", F.concat(F.left("text", F.col("n") - half), "start").alias("edited")
     )
     sets = edited.withColumns({"changed": paragraph_digests(F.col("edited")), "edited_sha256": F.sha2("edited", 256)}).drop("edited")
-    met = compare_sets(sets, space, ["key"], "own", ["changed", "following"])
-    near = lambda c: likeness(F.col("own"), F.col(c), F.col(f"{c}_diff"))
+    met = compare_sets(sets, space, ["key"], "own", ["changed", "following"], ["own", "changed"])
+    near = lambda c: likeness(F.col("own_size"), F.col(f"{c}_size"), F.col(f"{c}_diff"))
     result = met.select(
         "id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.col("own_sketch").alias("fingerprint"),
         F.col("changed_sketch").alias("edited_fingerprint"), near("changed").alias("near_edited"), near("following").alias("near_next"),
-        F.col("changed_diff.gone").alias("gone"), F.col("changed_diff.added").alias("added"), "copies",
+        "next_id", F.col("changed_diff.gone").alias("gone"), F.col("changed_diff.added").alias("added"), "copies",
     )
     return result.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_", "copies")

@@ -101,7 +101,7 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprints.fingerprint_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return made.withColumnRenamed("id", "doc_id").drop("gone", "added")
+    return made.withColumnRenamed("id", "doc_id").drop("next_id", "gone", "added")
 
 
 QUERIES = {f.__name__: f for f in (

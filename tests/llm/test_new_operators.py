@@ -217,6 +217,7 @@ def test_sketch_subtracts_and_peels(spark):
     assert set(got[1].b_diff.gone) == set(a[:6]) and set(got[1].b_diff.added) == set(b[-5:])
     assert got[2].a_sketch == got[2].b_sketch and not got[2].b_diff.gone and not got[4].b_diff.added
     assert sorted(got[3].b_diff.gone) == sorted(a) and got[3].b_sketch == " " * 47
+    assert (got[1].a_size, got[1].b_size) == (500, 499)
     # the two sketches differ by what the differing digests alone would make
     cells = pairs.filter("k = 1").select(fingerprints.subtracted(
         fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("c")).first().c
