@@ -33,7 +33,7 @@ def numbered_rounds(rows: DataFrame, source: str = "client_id", order: str = "ro
     ).drop("_span", "_place", "_begun")
 
 
-# x -> least(hi, greatest(lo, a x + b)), with a >= 0
+# x -> least(hi, greatest(lo, a x + b)), with a >= 0, for values from 0 to 1
 
 
 def affine(a: Column, b: Column, lo: Column | None = None, hi: Column | None = None) -> Column:
@@ -61,7 +61,7 @@ def entering(steps: DataFrame, starts: DataFrame, last: int, source: str, block:
     own = steps.groupBy(source, F.floor(F.col("_i") / block).cast("long").alias("_b")).agg(
         F.array_sort(F.collect_list(F.struct("_i", "_f"))).alias("_s")
     )
-    nothing = affine(F.lit(1.0), F.lit(0.0), F.lit(float("-inf")), F.lit(float("inf")))
+    nothing = affine(F.lit(1.0), F.lit(0.0))
     summary = F.aggregate("_s", nothing, lambda f, s: composed(f, s["_f"]))
     blocks = sized(own.select(source, F.col("_b").alias("_i"), summary.alias("_f"))).table
     above = entering(blocks, starts, last // block, source, block)

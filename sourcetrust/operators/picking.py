@@ -183,11 +183,13 @@ def medians(df: DataFrame, groups: list[str], value: str, out: str, bucket_rows:
     if sizes.largest <= bucket_rows:
         return found
     many = sizes.derive(sizes.table.filter(F.col("n") > bucket_rows))
-    keyed = rows.withColumn("_key", double_key(F.col("_v")))
-    cuts = key_cuts(keyed, groups, "_key", many, bucket_rows)
-    near = lookup_join(keyed, cuts.derive(cuts.table.select(*groups, "n", "cut")), groups, "inner")
+    whole = F.lit(0).alias("_whole")  # names the one group there is without groups
+    keyed = rows.select("*", whole, double_key(F.col("_v")).alias("_key"))
+    by = [*groups, "_whole"]
+    cuts = key_cuts(keyed, by, "_key", many.derive(many.table.select("*", whole)), bucket_rows)
+    near = lookup_join(keyed, cuts.derive(cuts.table.select(*by, "n", "cut")), by, "inner")
     below = F.col("_key") <= F.col("cut")
-    middle = near.groupBy(*groups).agg(
+    middle = near.groupBy(*by).agg(
         F.max("n").alias("n"), F.count_if(below).alias("_k"), F.max(F.when(below, F.col("_v"))).alias("_lower"),
         F.min(F.when(~below, F.col("_v"))).alias("_next"),
     )
