@@ -1,12 +1,12 @@
-"""Near-duplicate vectors: all pairs in labels of bounded size, sorted projection passes in larger ones.
+"""Near-duplicate vectors by sorted projection passes.
 
-Equal vectors are one row with a count from the start. A label of up to `EXACT` distinct vectors is
-compared as a whole, in blocks of bounded size. In a larger one a vector's key in each pass is the
-concatenated signs of the products of random directions with what the vector has besides the
-label's mean, and the vectors are ordered by key. Vectors at a small angle share a long prefix of
-the key with good probability, so each is compared with its next `window` neighbours. Rounds of
-passes go on for a label until one adds at most `NEW` of the links that join its components, so
-that recall holds whatever the label's size and density.
+Equal vectors are one row with a count from the start. In each pass a vector's key is the
+concatenated signs of the products of random directions with what the vector has besides its label's
+mean, and the vectors of all labels are range-partitioned and sorted by (pass, label, key). Vectors
+at a small angle share a long prefix of the key with good probability, so each is compared with its
+next `window` neighbours, as they stream through a task; pairs at the threshold are links. Rounds of
+passes go on for a label until one adds at most `NEW` of the links that join its components, so that
+recall holds whatever the label's size and density; a label within one window is done in one round.
 
 Within a component all pairs are then compared, in blocks that return counts instead of pairs, so
 that a group denser than the window still gets every one of its links.
@@ -20,25 +20,32 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
 from sourcetrust.llm.components import components
-from sourcetrust.llm.tables import Workspace, linked, numbered, whole_groups
+from sourcetrust.llm.tables import Workspace, linked, whole_groups
 
 BITS = 48  # of each of a key's two words
-BLOCK = 2048
-EXACT = 16384  # distinct vectors of a label up to which all its pairs are compared
+BLOCK = 512  # vectors of a slice; two slices are one piece of work
 NEW = 0.005  # share of a label's joining links that the last round of passes may add
+USUAL = 16384  # vectors of a label; each doubling above takes two more passes a round
 
 
-def unit_rows(vectors: list[bytes]) -> np.ndarray:
+def unit_rows(vectors: list[bytes], kind: str = "<f8") -> np.ndarray:
     """Vectors of one dimension scaled to length one, in double precision and without overflow."""
-    table = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+    table = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
     table = table / np.abs(table).max(axis=1, keepdims=True)
     return table / np.sqrt((table * table).sum(axis=1, keepdims=True))
 
 
+def number_kind(df: DataFrame, vector: str) -> str:
+    """Single precision where the column has it: it holds the same numbers in half the bytes."""
+    return "<f4" if isinstance(getattr(df.schema[vector].dataType, "elementType", None), FloatType) else "<f8"
+
+
 def usable(df: DataFrame, id_: str, vector: str, label: str) -> DataFrame:
-    """id, label, dim, vec (doubles as bytes) of the rows that can link, one per id."""
+    """id, label, dim, vec (numbers as bytes) of the rows that can link, one per id."""
+    kind = number_kind(df, vector)
     values = F.col("vector")
     sound = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = df.select(
@@ -50,28 +57,31 @@ def usable(df: DataFrame, id_: str, vector: str, label: str) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [np.asarray(v, np.float64) for v in batch.column(2).to_pylist()]
+            # -0.0 and 0.0 are the same number
+            vectors = [np.asarray(v, kind) + 0.0 for v in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([len(v) for v in vectors], pa.int32()),
-                pa.array([v.tobytes() for v in vectors], pa.binary()),
+                pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary()),
             ], ["id", "label", "dim", "vec"])
 
     return rows.mapInArrow(packed, "id bigint, label string, dim int, vec binary")
 
 
-def label_means(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Mean of the unit vectors of each part."""
+def label_means(vectors: DataFrame, kind: str) -> DataFrame:
+    """part, mean (doubles as bytes): mean of the unit vectors of each part."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
         for batch in batches:
+            sums: dict[int, np.ndarray] = {}
             parts = batch.column(0).to_numpy()
-            for part in np.unique(parts).tolist():
-                unit = unit_rows(batch.column(1).filter(pa.array(parts == part)).to_pylist())
-                sums[part] = sums.get(part, 0) + np.r_[unit.sum(axis=0), len(unit)]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary()),
-        ], ["part", "sum"])
+            order = np.argsort(parts, kind="stable")
+            vecs = batch.column(1).to_pylist()
+            for at in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1) if len(order) else []:
+                unit = unit_rows([vecs[i] for i in at], kind)
+                sums[int(parts[at[0]])] = np.r_[unit.sum(axis=0), len(unit)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary()),
+            ], ["part", "sum"])
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         whole = np.sum([np.frombuffer(v) for v in rows["sum"]], axis=0)
@@ -79,71 +89,77 @@ def label_means(vectors: DataFrame) -> dict[int, np.ndarray]:
         return pd.DataFrame({"part": rows["part"].iloc[:1], "mean": [mean.tobytes()]})
 
     sums = vectors.select("part", "vec").mapInArrow(summed, "part bigint, sum binary")
-    means = sums.groupBy("part").applyInPandas(total, "part bigint, mean binary").collect()
-    return {r["part"]: np.frombuffer(r["mean"]) for r in means}
+    return sums.groupBy("part").applyInPandas(total, "part bigint, mean binary")
 
 
-def projected(vectors: DataFrame, means: dict[int, np.ndarray], passes: int, seed: list[int]) -> DataFrame:
-    """Every vector once per pass, with the pass's sort key."""
-    shared = vectors.sparkSession.sparkContext.broadcast(means)
-    names = ["pass", "part", "id", "vec", "key", "more"]
+def projected(vectors: DataFrame, passes: int, seed: list[int], kind: str) -> DataFrame:
+    """Every vector (part, dim, id, vec, mean) once per pass, with the pass's sort key."""
+    names = ["pass", "part", "dim", "id", "vec", "key", "more"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            parts = batch.column(0).to_numpy()
-            for one in np.unique(parts).tolist():
-                mean = shared.value[one]
-                dim = len(mean)
+            dims = batch.column(1).to_numpy()
+            for dim in np.unique(dims).tolist():
                 if dim not in planes:
                     planes = {dim: np.random.default_rng([*seed, dim]).standard_normal((dim, passes * 2 * BITS))}
-                some = batch.filter(pa.array(parts == one))
+                some = batch.filter(pa.array(dims == dim))
                 for at in range(0, some.num_rows, 1024):
                     part = some.slice(at, 1024)
-                    signs = (unit_rows(part.column(2).to_pylist()) - mean) @ planes[dim] > 0
+                    mean = np.frombuffer(b"".join(part.column(4).to_pylist())).reshape(part.num_rows, dim)
+                    signs = (unit_rows(part.column(3).to_pylist(), kind) - mean) @ planes[dim] > 0
                     keys = signs.reshape(part.num_rows, passes, 2, BITS) @ weights
                     for p in range(passes):
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(part.num_rows, p, np.int32)), *part.columns,
+                            pa.array(np.full(part.num_rows, p, np.int32)), *part.columns[:4],
                             pa.array(keys[:, p, 0]), pa.array(keys[:, p, 1]),
                         ], names)
 
-    rows = vectors.select("part", "id", "vec")
-    return rows.mapInArrow(keyed, "pass int, part bigint, id bigint, vec binary, key bigint, more bigint")
+    rows = vectors.select("part", "dim", "id", "vec", "mean")
+    return rows.mapInArrow(keyed, "pass int, part bigint, dim int, id bigint, vec binary, key bigint, more bigint")
+
+
+def window_links(keyed: DataFrame, threshold: float, window: int, kind: str) -> DataFrame:
+    """Links a, b that connect whatever neighbour windows connect, at most one per row and batch.
+
+    Windows end at the borders of the range partitions, which lie elsewhere in every pass.
+    """
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # pass and part of the rows held, their ids and vectors
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pass_, part, ids = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            vecs = batch.column(4).to_pylist()
+            cuts = [0, *(np.flatnonzero((np.diff(pass_) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(ids)]
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                own, some, where = ids[a:b], vecs[a:b], (pass_[a], part[a])
+                if last is not None and last[0] == where:
+                    own, some = np.r_[last[1], own], last[2] + some
+                unit, left, right = unit_rows(some, kind), [], []
+                for k in range(0, len(own), 256):
+                    i, j = np.nonzero(unit[k:k + 256] @ unit[k:k + 256 + window].T >= threshold)
+                    inside = (j > i) & (j - i <= window)
+                    left.append(i[inside] + k)
+                    right.append(j[inside] + k)
+                low = linked(len(own), np.concatenate(left), np.concatenate(right))
+                hung = low != np.arange(len(own))
+                found.append((own[hung], own[low[hung]]))
+                last = where, own[-window:], some[-window:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
 
-def window_links(keyed: DataFrame, space: Workspace, threshold: float, window: int) -> DataFrame:
-    """Links a, b that connect whatever neighbour windows connect, at most one per row and block."""
     order = [F.col(c) for c in ("pass", "part", "key", "more", "id")]
-    placed = numbered(keyed, order, space, "sorted").drop("key", "more")
-    # a block also gets the first rows of the next one
-    own = F.floor(F.col("_pos") / BLOCK).cast("long")
-    blocks = F.when(F.col("_pos") % BLOCK < window, F.array(own, own - 1)).otherwise(F.array(own))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_pos")
-        left, right = [], []
-        for _, at in rows.groupby(["pass", "part"], sort=False).indices.items():
-            unit = unit_rows(rows["vec"].iloc[at].tolist())
-            for k in range(0, len(at), 256):
-                near = unit[k:k + 256] @ unit[k:k + 256 + window].T >= threshold
-                i, j = np.nonzero(near)
-                inside = (j > i) & (j - i <= window)
-                left.append(at[i[inside] + k])
-                right.append(at[j[inside] + k])
-        low = linked(len(rows), np.concatenate(left), np.concatenate(right))
-        ids, hung = rows["id"].to_numpy(), low != np.arange(len(rows))
-        return pd.DataFrame({"a": ids[hung], "b": ids[low[hung]]})
-
-    dealt = placed.withColumn("block", F.explode(blocks)).filter("block >= 0")
-    return dealt.groupBy("block").applyInPandas(compare, "a bigint, b bigint")
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select("pass", "part", "dim", "id", "vec").mapInArrow(compared, "a bigint, b bigint")
 
 
 def slice_pairs(rows: DataFrame, group: str) -> DataFrame:
     """Rows dealt to pieces of work (`work`, sorted) that hold every pair of a group at least once.
 
-    A group of n vectors is dealt by a hash of the id into n / 2048 slices; each pair of slices is
+    A group of n vectors is dealt by a hash of the id into n / BLOCK slices; each pair of slices is
     one piece of work.
     """
     sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
@@ -156,48 +172,34 @@ def slice_pairs(rows: DataFrame, group: str) -> DataFrame:
     return work.repartition("work").sortWithinPartitions("work")
 
 
-def all_links(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Links a, b that connect whatever any pair of a part connects, at most one per row and piece of work."""
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "work", 4 * BLOCK):
-            rows = table.to_pandas()
-            for _, some in rows.groupby(["work", "group", "low", "high"], sort=False):
-                ids, unit = some["id"].to_numpy(), unit_rows(some["vec"].tolist())
-                left, right = [], []
-                for k in range(0, len(ids), 512):
-                    i, j = np.nonzero(unit[k:k + 512] @ unit[k:].T >= threshold)
-                    left.append(i[i < j] + k)
-                    right.append(j[i < j] + k)
-                low = linked(len(ids), np.concatenate(left), np.concatenate(right))
-                hung = low != np.arange(len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hung]), pa.array(ids[low[hung]])], ["a", "b"])
-
-    return slice_pairs(vectors, "part").mapInArrow(compared, "a bigint, b bigint")
-
-
-def pass_links(vectors: DataFrame, rows: dict[int, int], space: Workspace, threshold: float, passes: int, window: int, seed: int) -> list[DataFrame]:
-    """Links of large parts (number of rows by part), by rounds of passes until hardly any are new."""
-    means, found, joined, turn = label_means(vectors), [], dict.fromkeys(rows, 0), 0
-    while rows:
-        some = vectors.filter(F.col("part").isin(list(rows)))
-        # larger parts start with more passes, as the longer prefix is shared less often
-        more = passes + 2 * int(np.ceil(np.log2(max(rows.values()) / EXACT)))
-        links = window_links(projected(some, means, more, [seed, turn]), space, threshold, window).distinct()
-        found.append(space.keep(links, f"links-{turn}"))
-        space.drop("sorted")
-        links = found[0]
-        for other in found[1:]:
-            links = links.unionByName(other)
+def pass_links(
+    vectors: DataFrame, parts: DataFrame, space: Workspace, threshold: float, passes: int, window: int, seed: int, kind: str
+) -> DataFrame:
+    """Links a, b of all parts (part, rows), by rounds of passes until hardly any are new."""
+    means = space.keep(label_means(vectors, kind), "means")
+    links, turn = None, 0
+    active = parts.filter("rows > 1").withColumn("joined", F.lit(0).cast("long"))
+    while True:
+        most = active.agg(F.max("rows")).first()[0]
+        if most is None:
+            break
+        some = vectors.join(active.select("part"), "part", "left_semi").join(means, "part")
+        # larger parts take more passes a round, as a long prefix is shared less often
+        more = passes + 2 * max(0, int(np.ceil(np.log2(most / USUAL))))
+        new = window_links(projected(some, more, [seed, turn], kind), threshold, window, kind).distinct()
+        new = space.keep(new, f"links-{turn}")
+        links = new if links is None else links.unionByName(new)
         hung = components(links, space, f"round-{turn}").filter("node <> component")
-        of_part = hung.join(some.select("part", "id"), F.col("node") == F.col("id")).groupBy("part").count()
-        now = {r["part"]: r["count"] for r in of_part.collect()}
-        rows = {p: n for p, n in rows.items() if now.get(p, 0) - joined[p] > NEW * now.get(p, 0)}
-        joined, turn = now, turn + 1
-    return found
+        now = hung.join(vectors.select("part", "id"), F.col("node") == F.col("id")).groupBy("part").agg(F.count("*").alias("now"))
+        counted = active.join(now, "part", "left").withColumn("now", F.coalesce("now", F.lit(0)))
+        # a part within a window has had all its pairs compared
+        going = (F.col("rows") > window + 1) & (F.col("now") - F.col("joined") > NEW * F.col("now"))
+        active = space.keep(counted.filter(going).select("part", "rows", F.col("now").alias("joined")), f"active-{turn}")
+        turn += 1
+    return vectors.sparkSession.createDataFrame([], "a bigint, b bigint") if links is None else links
 
 
-def link_counts(members: DataFrame, threshold: float) -> DataFrame:
+def link_counts(members: DataFrame, threshold: float, kind: str) -> DataFrame:
     """id, n_links: exact number of links of each distinct vector to the rows of its component."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +207,7 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
             rows = table.to_pandas()
             for key, group in rows.groupby(["work", "group", "low", "high"], sort=False):
                 ids, slices, low, high = group["id"].to_numpy(), group["s"].to_numpy(), key[2], key[3]
-                unit, copies = unit_rows(group["vec"].tolist()), group["copies"].to_numpy().astype(np.float64)
+                unit, copies = unit_rows(group["vec"].tolist(), kind), group["copies"].to_numpy().astype(np.float64)
                 links = np.zeros(len(ids), np.int64)
                 for k in range(0, len(ids), 512):
                     near = unit[k:k + 512] @ unit.T >= threshold
@@ -221,7 +223,7 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_vectors(
     df: DataFrame, id_: str = "vec_id", vector: str = "embedding", label: str = "label",
-    threshold: float = 0.98, passes: int = 12, window: int = 64, seed: int = 7,
+    threshold: float = 0.98, passes: int = 6, window: int = 64, seed: int = 7,
 ) -> DataFrame:
     """Per row: id, n_links, component (smallest id reachable), kept (id = component).
 
@@ -230,24 +232,18 @@ def near_vectors(
     component (a null id has none, and stays). Rows that repeat an id are one vector, the smallest of
     them by label and components. Equal vectors link. An empty table gives no rows.
     """
-    space = Workspace(df.sparkSession, "embeddings")
+    space, kind = Workspace(df.sparkSession, "embeddings"), number_kind(df, vector)
     vectors = space.keep(usable(df, id_, vector, label), "vectors")
     same = ["label", "dim", "vec"]
     distinct = space.keep(vectors.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "distinct")
     parts = distinct.groupBy("label", "dim").agg(F.count("*").alias("rows"))
     parts = space.keep(parts.withColumn("part", F.monotonically_increasing_id()), "parts")
-    rows = distinct.join(parts, ["label", "dim"]).select("part", "rows", F.col("rep").alias("id"), "copies", "vec")
+    rows = distinct.join(parts, ["label", "dim"]).select("part", "dim", F.col("rep").alias("id"), "copies", "vec")
     rows = space.keep(rows, "rows")
-    links = [all_links(rows.filter(F.col("rows") <= EXACT), threshold)]
-    large = {r["part"]: r["rows"] for r in parts.filter(F.col("rows") > EXACT).collect()}
-    if large:
-        links += pass_links(rows.filter(F.col("rows") > EXACT), large, space, threshold, passes, window, seed)
-    union = links[0]
-    for other in links[1:]:
-        union = union.unionByName(other)
-    found = space.keep(components(union, space), "members")
+    links = pass_links(rows, parts.select("part", "rows"), space, threshold, passes, window, seed, kind)
+    found = space.keep(components(links, space), "members")
     members = rows.join(found, rows["id"] == found["node"]).select("component", "id", "copies", "vec")
-    counts = link_counts(members, threshold)
+    counts = link_counts(members, threshold, kind)
     near = found.join(counts, found["node"] == counts["id"]).select("node", "component", "n_links")
     # a copy has the links of the first of its kind, and one to each other copy
     several = distinct.filter("copies > 1").join(near, F.col("rep") == F.col("node"), "left").select(

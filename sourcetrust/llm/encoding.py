@@ -2,18 +2,22 @@
 
 Most words of a corpus repeat, and the library costs many times a dictionary lookup. Both
 splitters cut a text only where no token can span the cut, so the ids are those of the whole text.
+Words that a batch of texts brings anew are encoded together, where words end at white space.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from sourcetrust.llm.tables import Memory, worker_value
+from sourcetrust.llm.tables import LONGEST_KEY, Memory, worker_value
 
-KNOWN = 600_000  # chunks remembered by one Python worker, at most
+TOGETHER = 4096  # new words that are encoded as one text
+BATCH_CHARS = 1 << 22  # texts whose new words are learned together
+KNOWN = 1_300_000  # chunks remembered by one Python worker, at most
 SIGNS = frozenset(".,;:!?)|#$%&*")  # fixed value: signs that no token joins to a letter before them
 
 
@@ -38,6 +42,25 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         return self.whole(text)
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        return [self(text) for text in texts]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words, none with white space, of a text in which each follows a space."""
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at:at + TOGETHER]
+            made = self.library.encode(" " + " ".join(some), add_special_tokens=False)
+            begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+            starts = np.fromiter((start for start, _ in made.offsets), np.int64, len(made.ids))
+            if (np.diff(starts) < 0).any():
+                out += [self.whole(" " + w) for w in some]
+                continue
+            ends = np.searchsorted(starts, begins[1:], "left") * self.dtype.itemsize
+            data = np.asarray(made.ids, self.dtype).tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        return out
+
 
 class SpacedEncoder(Encoder):
     """For byte-level vocabularies whose words carry the space before them.
@@ -102,6 +125,22 @@ class WordEncoder(Encoder):
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.encode().split()))
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        cut = [text.encode().split() for text in texts]
+        plain, signed = {}, {}
+        for word in set().union(*cut) if cut else ():
+            if self.words.has(word) or len(word) > LONGEST_KEY:
+                continue
+            shown = word.decode()
+            if shown[-1] in SIGNS and unicodedata.normalize("NFC", shown[:-1]).lower().isalpha():
+                signed[word] = (word[:-1], shown[:-1]), (word[-1:], shown[-1])
+            elif shown.split() == [shown]:
+                plain[word] = shown
+        bases = {k: t for pair in signed.values() for k, t in pair if k not in plain and not self.words.has(k)}
+        self.words.add(dict(zip([*plain, *bases], self._together([*plain.values(), *bases.values()]), strict=True)))
+        self.words.add({word: self.words[a] + self.words[b] for word, ((a, _), (b, _)) in signed.items()})
+        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+
 
 KINDS = {"whole": Encoder, "spaced": SpacedEncoder, "words": WordEncoder}
 
@@ -109,3 +148,15 @@ KINDS = {"whole": Encoder, "spaced": SpacedEncoder, "words": WordEncoder}
 def encoder(path: str, kind: str = "whole") -> Encoder:
     """The worker's encoder for a vocabulary file; `kind` says how texts may be cut."""
     return worker_value(f"encoder {kind} {path}", lambda: KINDS[kind](path))
+
+
+def encoded_texts(encode: Encoder, texts: Iterable[str | None]) -> Iterator[bytes]:
+    """Ids of texts (null: empty), taken some at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= BATCH_CHARS:
+            yield from encode.many(held)
+            held, size = [], 0
+    yield from encode.many(held)

@@ -158,6 +158,8 @@ class Comparison:
             dealt = stuck.select(*key, "_l", "_r", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"))
             dealt = dealt.select(*key, of("_l").alias("_l"), of("_r").alias("_r"))
             met = self.compared(self.sketched(dealt, {"_l": "_a", "_r": "_b"}), "_a", "_b", "_d").drop("_a", "_b")
+            # the arrays are stored with the pairs that are stuck alone
+            met = met.withColumns({c: F.when(~F.col("_d.done"), F.col(c)) for c in ("_l", "_r")})
             met = self.space.keep(met, f"larger-{depth}")
             part = met.filter("_d.done").select(*key, "_d.gone", "_d.added")
             done = part if done is None else done.unionByName(part)
@@ -192,7 +194,9 @@ def compare_sets(
     met = space.keep(met.drop(*[f"{c}_cells" for c in names], *names), "compared")
     stuck = met.select(*key, F.inline("_stuck")).select(*key, "_other", "_l", "_r")
     found = steps.larger(stuck).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_other", F.struct("gone", "added")))).alias("_larger"))
-    met = met.drop("_stuck").join(found, key, "left")
+    # rows without a stuck pair need no join
+    settled = met.filter(F.size("_stuck") == 0).drop("_stuck").withColumn("_larger", F.lit(None).cast(found.schema["_larger"].dataType))
+    met = settled.unionByName(met.filter(F.size("_stuck") > 0).drop("_stuck").join(found, key))
     for c in others:
         diff = F.col(f"{c}_diff")
         small = F.struct(diff["gone"].alias("gone"), diff["added"].alias("added"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sourcetrust.llm.encoding import encoder
+from sourcetrust.llm.encoding import encoded_texts, encoder
 from sourcetrust.llm.tables import Workspace
 
 NO_SOURCE = "\x00none"  # queue of rows without a source
@@ -30,7 +30,7 @@ BROADCAST_ROWS = 200_000  # rows of the shifts table (about 50 bytes each) up to
 
 
 class Lanes:
-    """How many tokens each queue has been served after any number of windows."""
+    """How many tokens each queue has been served after any number of windows, at any rates above zero."""
 
     def __init__(self, tokens: list[int], rates: list[float], window: int):
         self.tokens, self.rates = np.asarray(tokens, np.int64), np.asarray(rates, np.float64)
@@ -67,8 +67,8 @@ class Lanes:
 
 
 PIECES = (
-    "doc_id bigint, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-    "sequence_id bigint, `offset` bigint, ids binary"
+    "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
+    "sequence_id bigint, `offset` bigint, source string, ids binary"
 )
 
 
@@ -77,14 +77,15 @@ def pack_sequences(
     kind: str = "whole", sequence: int = 1024, window_sequences: int = 64, targets: dict[str, float] | None = None,
     with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
 
     Each document (null text: empty) is its ids and then `end_id`; `ids` are the piece's ids as
     little-endian unsigned 32-bit integers. `targets` weighs sources against each other; a source
     it does not name weighs as much as its share of the tokens, and without targets all do. A
     source that is emptied leaves its share to the others. Sources with a share below two tokens a
-    window share one queue, in which their documents are mixed by a hash, so there are at most
-    window / 2 queues. A null source is a source. Rows that repeat an id are packed each. An empty
+    window share one queue, so there are at most window / 2 queues; in it every document stands at its
+    virtual time, the tokens before it in its source by the source's rate, so each of these sources
+    advances in proportion too and what it is behind is carried along. A null source is a source. Rows that repeat an id are packed each. An empty
     table gives no rows. Without `with_ids` the column `ids` is left out.
     """
     schema = PIECES if with_ids else PIECES.removesuffix(", ids binary")
@@ -96,20 +97,21 @@ def pack_sequences(
     )
     stored = space.keep(rows.mapInArrow(_encoded(tokenizer, kind, end_id), ENCODED), "encoded")
     totals = stored.groupBy("queue").agg(F.sum("n").cast("long").alias("n"))
-    lanes, lane_of = _lanes(totals, targets, window)
+    rates = _rated(totals, targets)
+    lanes, lane_of = _lanes(rates, window)
     if lanes is None:
         return df.sparkSession.createDataFrame([], schema)
 
     # start of every part within its lane: running sums in lane order, over range partitions; a part is
-    # what a task has of a queue, or one document of a small source; the latter go in the order of a hash
+    # what a task has of a queue, or one document of a small source, which go by virtual time
     named = df.sparkSession.createDataFrame([(q, n) for q, n in lane_of.items()], "queue string, lane int")
     rest = lane_of.get(REST, -1)
     laned = stored.join(F.broadcast(named), "queue", "left").withColumns({
         "lane": F.coalesce("lane", F.lit(rest)), "sub": F.when(F.col("lane").isNull(), F.col("at")).otherwise(F.lit(-1)),
     })
     parts = laned.groupBy("lane", "queue", "pid", "sub").agg(F.sum("n").alias("n"))
-    parts = parts.withColumn("mixed", F.when(F.col("lane") == rest, F.xxhash64("queue", "pid", "sub")).otherwise(F.lit(0)))
-    order = [F.col(c) for c in ("lane", "mixed", "queue", "pid", "sub")]
+    parts = _timed(parts, stored, rates, rest) if rest >= 0 else parts.withColumn("time", F.lit(0.0))
+    order = [F.col(c) for c in ("lane", "time", "queue", "pid", "sub")]
     ranged = space.keep(parts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "parts")
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shifts = ranged.groupBy("_part").agg(F.sum("n").alias("_n")).select(
@@ -147,8 +149,9 @@ def _encoded(tokenizer: str, kind: str, end_id: int):
         end = np.asarray([end_id], encode.dtype).tobytes()
         for batch in batches:
             queues, starts, sizes, ids = batch.column(1).to_pylist(), [], [], []
-            for queue, value in zip(queues, batch.column(2), strict=True):
-                ids.append(encode(value.as_py()) + end)
+            made = encoded_texts(encode, (value.as_py() for value in batch.column(2)))
+            for queue, value in zip(queues, made, strict=True):
+                ids.append(value + end)
                 sizes.append(len(ids[-1]) // encode.dtype.itemsize)
                 starts.append(at.get(queue, 0))
                 at[queue] = starts[-1] + sizes[-1]
@@ -160,39 +163,47 @@ def _encoded(tokenizer: str, kind: str, end_id: int):
     return encoded
 
 
-def _lanes(totals: DataFrame, targets: dict[str, float] | None, window: int) -> tuple[Lanes | None, dict[str, int]]:
-    """Queues with at least two tokens a window (so at most window / 2 of them), the others as one."""
-    whole = totals.agg(F.sum("n")).first()[0] or 0
-    if not whole:
-        return None, {}
+def _rated(totals: DataFrame, targets: dict[str, float] | None) -> DataFrame:
+    """queue, n and rate: the target's share, or else the queue's share of the tokens."""
     weights = targets or {}
     scale = sum(weights.values())
-    rate = F.col("n").cast("double") / F.lit(float(whole))
+    rate = F.col("n").cast("double") / totals.agg(F.sum("n").cast("double")).scalar()
     if weights:
         given = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, w / scale)])
         rate = F.coalesce(F.try_element_at(given, F.col("queue")), rate)
-    rated = totals.withColumn("rate", rate)
-    sum_rate = rated.agg(F.sum("rate")).first()[0]
+    return totals.withColumn("rate", rate)
+
+
+def _lanes(rated: DataFrame, window: int) -> tuple[Lanes | None, dict[str, int]]:
+    """Queues with at least two tokens a window (so at most window / 2 of them), the others as one."""
+    whole, sum_rate = rated.agg(F.sum("n"), F.sum("rate")).first()
+    if not whole:
+        return None, {}
     large = rated.filter(F.col("rate") * window >= 2 * sum_rate).orderBy("queue").collect()
     names, tokens, rates = [r["queue"] for r in large], [r["n"] for r in large], [r["rate"] for r in large]
-    rest = whole - sum(tokens)
-    lane_of = {q: i for i, q in enumerate(names)}
+    lane_of, rest = {q: i for i, q in enumerate(names)}, whole - sum(tokens)
     if rest:
-        rest_rate = sum_rate - sum(rates)
-        if names and rest_rate * window < 2 * sum_rate:  # too small even together: they join the last queue
-            tokens[-1] += rest
-            rates[-1] += rest_rate
-            lane_of[REST] = len(names) - 1
-        else:
-            lane_of[REST] = len(names)
-            tokens.append(rest)
-            rates.append(max(rest_rate, 1e-9))
+        small = rated.filter(F.col("rate") * window < 2 * sum_rate).agg(F.sum("rate")).first()[0]
+        lane_of[REST] = len(names)
+        tokens.append(rest)
+        rates.append(max(small, 1e-12))
     return Lanes(tokens, rates, window), lane_of
 
 
+def _timed(parts: DataFrame, stored: DataFrame, rates: DataFrame, rest: int) -> DataFrame:
+    """Adds `time`: of a small source's documents the tokens before them in the source, by its rate."""
+    earlier = W.partitionBy("queue").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
+    begun = stored.groupBy("queue", "pid").agg(F.sum("n").alias("_n")).select(
+        "queue", "pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begun")
+    )
+    known = parts.join(begun, ["queue", "pid"]).join(rates.select("queue", "rate"), "queue")
+    time = F.when(F.col("lane") == rest, (F.col("_begun") + F.col("sub")) / F.col("rate")).otherwise(F.lit(0.0))
+    return known.withColumn("time", time).drop("_begun", "rate")
+
+
 def _pieces(lanes: Lanes, lane_starts: np.ndarray, sequence: int, dtype: str, with_ids: bool):
-    names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-    kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
+    kinds = [*[pa.int64()] * 7, pa.string(), pa.binary()]
     if not with_ids:
         names, kinds = names[:-1], kinds[:-1]
 
@@ -221,8 +232,8 @@ def _pieces(lanes: Lanes, lane_starts: np.ndarray, sequence: int, dtype: str, wi
                         position = k * lanes.window + int(before[lane]) + u - int(low[lane])
                         size = min(end - u, sequence - position % sequence)
                         part = wide[4 * (u - begin):4 * (u - begin + size)]
-                        row = (doc, source, u - begin, size, zlib.crc32(part), n,
-                               position // sequence, position % sequence, part)
+                        row = (doc, u - begin, size, zlib.crc32(part), n,
+                               position // sequence, position % sequence, source, part)
                         for column, value in zip(out, row, strict=with_ids):
                             column.append(value)
                         u += size

@@ -166,6 +166,14 @@ class Memory(dict):
         self._store(moved | dict(zip(new, make(new), strict=True)))
         return new
 
+    def has(self, key) -> bool:
+        return key in self or key in self.old
+
+    def add(self, items: dict) -> None:
+        """Remember `items`, none of them long, which stay at hand until as many more have come."""
+        if items:
+            self._store(items)
+
     def forget_long(self, keys: list) -> None:
         for key in keys:
             if len(key) > LONGEST_KEY:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcetrust.llm.encoding import encoder
+from sourcetrust.llm.encoding import encoded_texts, encoder
 from sourcetrust.llm.tables import running
 
 BLOCK, MAGIC = 128, b"PFR1"
@@ -117,8 +117,9 @@ def write_token_files(
             }], schema=ARROW)
 
         for batch in batches:
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(value.as_py() or "") + end
+            made = encoded_texts(encode, (value.as_py() for value in batch.column(1)))
+            for doc, value in zip(batch.column(0).to_pylist(), made, strict=True):
+                ids = value + end
                 n = len(ids) // encode.dtype.itemsize
                 doc_ids.append(doc)
                 lengths.append(n)

@@ -43,6 +43,19 @@ def test_cut_texts_have_the_ids_of_whole_texts(path, kind):
         assert np.frombuffer(ours(text), ours.dtype).tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("path", "kind"), [(WORDS, "words"), (BYTES, "spaced")])
+@pytest.mark.parametrize("together", [4096, 3])
+def test_new_words_encoded_together_have_their_own_ids(monkeypatch, path, kind, together):
+    monkeypatch.setattr(encoding, "TOGETHER", together)
+    monkeypatch.setattr(encoding, "BATCH_CHARS", 500)
+    rnd = random.Random(4)
+    plain = [" ".join(rnd.choices(["der", "Größe,", "naïve.", "x", "don't", "1,5", "É!", "s\u0327", "日本語", "<unk>", "-"], k=30)) for _ in range(50)]
+    theirs, ours, texts = library(path), encoding.KINDS[kind](path), [*odd_texts(), *plain]
+    for text, ids in zip(texts, encoding.encoded_texts(ours, [*texts[:-1], texts[-1]]), strict=True):
+        assert np.frombuffer(ids, ours.dtype).tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert list(encoding.encoded_texts(ours, [None, "", None])) == [b""] * 3
+
+
 def test_memory_is_bounded_and_keeps_what_is_in_use():
     memory, rnd = Memory(40), random.Random(0)
     for _ in range(2000):
