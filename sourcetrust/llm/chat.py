@@ -19,6 +19,11 @@ BLANK = r"[ \t\n]+"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+def escaped(text: Column) -> Column:
+    """The text with a backslash inside of what would read as a mark, so that no body opens a turn."""
+    return F.regexp_replace(text, r"<(\\*)\|(im_start|im_end)\|>", r"<$1\\|$2|>")
+
+
 def quote_lines(text: Column) -> Column:
     """Array of (level, content), one per line."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
@@ -64,7 +69,7 @@ def link_quotes(
     linked to the earlier message with most of its characters, the latest on ties. `reply_to` is the
     position of the message that the level-1 passages quote most, else of the message before, and
     null for the first; so a message always follows what it replies to. `body` is the text without
-    quotes, `chat` the body between role marks; chats in order of position are the conversation. They
+    quotes, `chat` the body between role marks, marks in the text escaped; chats in order of position are the conversation. They
     stay rows, as a conversation may be longer than a task can hold. Null text counts as empty, a
     null role shows as empty, rows with a null conversation form one, repeated rows are messages
     each. Other columns are not read. An empty table gives no rows.
@@ -98,7 +103,9 @@ def link_quotes(
     )
     position = F.col("_pos") - F.col("_start")
     parent = F.coalesce(F.col("best.original") - F.col("_start"), F.when(position > 0, position - 1))
-    chat = F.concat(F.lit(OPEN), F.coalesce(F.col("role").cast("string"), F.lit("")), F.lit("\n"), F.col("body"), F.lit(f"{CLOSE}\n"))
+    chat = F.concat(
+        F.lit(OPEN), escaped(F.coalesce(F.col("role").cast("string"), F.lit(""))), F.lit("\n"), escaped(F.col("body")), F.lit(f"{CLOSE}\n")
+    )
     return messages.join(replies, "_pos", "left").select(
         F.col("conv").alias(conversation), F.col("turn").alias(turn), F.col("role").alias(role),
         position.alias("position"), parent.alias("reply_to"), F.size("passages").cast("long").alias("n_quotes"),

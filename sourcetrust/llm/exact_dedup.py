@@ -32,43 +32,48 @@ def mark_duplicates(
     The row with the most code points stays, then the smallest id. Null text counts as empty;
     empty texts are one group. A null id loses every tie; if all ids of a group are null, keep_id
     is null and its rows are kept. Rows repeating an id are the same document: they count in
-    group_size and share the decision. A column named `out` is replaced. An empty table gives none.
+    group_size and share the decision. A column named `out` is replaced, others may have any name.
+    Long texts are compared as a whole. An empty table gives none.
     """
-    shown, key = F.coalesce(F.col(text), F.lit("")), F.sha2(F.col("_norm"), 256)
-    rows = df.drop(out).withColumn("_norm", normalised(F.col(text))).withColumn("_sha", key)
-    rows = rows.withColumns({
-        "_digest": F.substring("_sha", 1, digest_bits // 4),
-        "_check": F.xxhash64("_norm"),
-        "_size": F.length("_norm"),
-    })
+    kept = [c for c in df.columns if c != out]
+    # the caller's columns travel as one, so their names meet none of those used here
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).alias("row"),
+        F.col(f"`{id_}`").cast("long").alias("id"), F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("length"),
+        normalised(F.col(f"`{text}`")).alias("norm"),
+    ).withColumn("sha", F.sha2("norm", 256))
+    rows = rows.withColumns({"digest": F.substring("sha", 1, digest_bits // 4), "check": F.xxhash64("norm"), "size": F.length("norm")})
     # the bitwise complement turns the smallest id into the largest without overflow; null sorts first
-    rank = F.struct(F.length(shown).alias("n"), F.bitwise_not(F.col(id_).cast("long")).alias("r"))
+    rank = F.struct(F.col("length").alias("n"), F.bitwise_not(F.col("id")).alias("r"))
     salted = (
-        rows.select("_digest", F.pmod(F.xxhash64(F.col(id_)), F.lit(salts)).alias("_salt"), "_norm", rank.alias("_best"))
-        .groupBy("_digest", "_salt", "_norm")
-        .agg(F.count("*").alias("_n"), F.max("_best").alias("_best"))
+        rows.select("digest", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"), "norm", rank.alias("best"))
+        .groupBy("digest", "salt", "norm")
+        .agg(F.count("*").alias("n"), F.max("best").alias("best"))
     )
-    whole = F.col("_digest") if digest_bits >= 256 else F.sha2("_norm", 256)
+    whole = F.col("digest") if digest_bits >= 256 else F.sha2("norm", 256)
     winners = (
-        salted.groupBy("_digest", "_norm")
-        .agg(F.sum("_n").alias("_n"), F.max("_best").alias("_best"))
+        salted.groupBy("digest", "norm")
+        .agg(F.sum("n").alias("n"), F.max("best").alias("best"))
         .select(
-            whole.alias("_d"), F.xxhash64("_norm").alias("_c"), F.length("_norm").alias("_s"),
-            "_n", F.bitwise_not(F.col("_best.r")).alias("_keep"),
+            whole.alias("d"), F.xxhash64("norm").alias("c"), F.length("norm").alias("s"),
+            F.col("n").alias("copies"), F.bitwise_not(F.col("best.r")).alias("keep"),
         )
     )
-    same = (F.col("_sha") == F.col("_d")) & (F.col("_check") == F.col("_c")) & (F.col("_size") == F.col("_s"))
+    same = (F.col("sha") == F.col("d")) & (F.col("check") == F.col("c")) & (F.col("size") == F.col("s"))
     marks = F.struct(
-        F.col("_keep").alias("keep_id"),
-        F.col("_n").alias("group_size"),
-        F.col(id_).cast("long").eqNullSafe(F.col("_keep")).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
+        F.col("keep").alias("keep_id"),
+        F.col("copies").alias("group_size"),
+        F.col("id").eqNullSafe(F.col("keep")).alias("kept"),
+        F.col("sha").alias("text_sha256"),
     )
-    joined = rows.drop("_norm").join(winners, same)
-    return joined.select(*[c for c in df.columns if c != out], marks.alias(out))
+    joined = rows.drop("norm").join(winners, same)
+    return joined.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(kept)], marks.alias(out))
 
 
 def drop_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `df` that stay, with its columns."""
     name = "_dedup"
-    return mark_duplicates(df, id_, text, out=name, **options).filter(f"{name}.kept").drop(name)
+    while name in df.columns:
+        name += "_"
+    marked = mark_duplicates(df, id_, text, out=name, **options)
+    return marked.filter(F.col(name)["kept"]).drop(name)

@@ -54,7 +54,8 @@ ORACLES = {
         SELECT b.conv_id, turn, role, b.position,
                coalesce(best.original, CASE WHEN b.position > 0 THEN b.position - 1 END) AS reply_to,
                CAST(len(firsts) AS BIGINT) AS n_quotes, coalesce(n_linked, 0) AS n_linked, body,
-               '<|im_start|>' || coalesce(role, '') || chr(10) || body || '<|im_end|>' || chr(10) AS chat
+               '<|im_start|>' || regexp_replace(coalesce(role, ''), '<(\\*)\|(im_start|im_end)\|>', '<\1\\|\2|>', 'g') || chr(10) ||
+                   regexp_replace(body, '<(\\*)\|(im_start|im_end)\|>', '<\1\\|\2|>', 'g') || '<|im_end|>' || chr(10) AS chat
         FROM b LEFT JOIN replies r ON b.conv_id IS NOT DISTINCT FROM r.conv_id AND b.position = r.position""",
     "op11_collocations": r"""
         WITH d AS (
