@@ -11,11 +11,14 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names in `spark.checkpoint.dir`.
 
-    Where it is unset, a folder in the warehouse, which all executors share too.
+    Where it is unset, as in tests, a local session takes a folder in its warehouse; on a cluster that
+    could lie on the driver's own disk, so the setting is asked for.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -47,6 +47,12 @@ def binary_labels(
     return lookup_join(df, kinds, [source]).withColumn(out, label.cast("int")).drop("_binary")
 
 
+def is_benign(label: Column) -> Column:
+    """Whether a label of any kind is benign: 0, or the text BENIGN in any case; null is not."""
+    text = label.cast("string")
+    return F.coalesce((F.upper(text) == "BENIGN") | (text.try_cast("double") == 0.0), F.lit(False))
+
+
 def feature_columns(df: DataFrame, exclude: Iterable[str] = NON_FEATURES) -> list[str]:
     """Numeric columns that are neither identifiers nor labels (schema only, no job)."""
     skip = set(exclude)

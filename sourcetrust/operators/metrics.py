@@ -89,6 +89,21 @@ def class_distribution(
     })
 
 
+def source_report(
+    df: DataFrame, features: list[str], source: str = "client_id", label: str = "label", split: str = "split"
+) -> DataFrame:
+    """Per source: train and validation rows, the features it has a value of, and the benign share of both parts."""
+    part = lambda name: F.col(split) == name
+    present = F.lit(0)
+    for feature in features:
+        present = present + F.when(F.count(feature) > 0, 1).otherwise(0)
+    benign = lambda name: ratio(F.count_if(part(name) & (F.col(label) == 0)), F.count_if(part(name)))
+    return df.groupBy(source).agg(
+        F.count_if(part("train")).alias("train_samples"), F.count_if(part("val")).alias("val_samples"),
+        present.cast("long").alias("n_features"), benign("train").alias("train_benign_ratio"), benign("val").alias("val_benign_ratio"),
+    )
+
+
 def tier_counts(sources: DataFrame, quality: str = "quality") -> DataFrame:
     return sources.groupBy(quality).agg(F.count("*").alias("sources"))
 

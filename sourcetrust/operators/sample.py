@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sourcetrust.functions.keys import hash_hex, hash_slot, row_key
+from sourcetrust.operators.clean import is_benign
 from sourcetrust.operators.joins import Sized, lookup_join, sized
 from sourcetrust.operators.picking import BUCKET_ROWS, group_sizes, mark_first, number_line, take_slots
 
@@ -256,11 +257,11 @@ def rebalance(
 
     With h = floor(n / 2): the smaller class keeps all rows and gains min(h - size, size)
     draws with replacement; the larger is cut to h rows. Sources with one class, equal
-    classes or no gap pass whole. `draw` is 0 for original rows.
+    classes or no gap pass whole. `draw` is 0 for original rows. Labels may be numbers or texts: 0
+    and BENIGN are one class, everything else, null included, is the other.
     """
-    counts = df.groupBy(source).agg(
-        F.count_if(F.col(label) == 0).alias("_n0"), F.count_if(F.col(label) != 0).alias("_n1")
-    )
+    benign = is_benign(F.col(label))
+    counts = df.groupBy(source).agg(F.count_if(benign).alias("_n0"), F.count_if(~benign).alias("_n1"))
     half = F.floor((F.col("_n0") + F.col("_n1")) / 2)
     minor, gap = F.least("_n0", "_n1"), half - F.least("_n0", "_n1")
     plan = counts.filter((minor > 0) & (F.col("_n0") != F.col("_n1")) & (gap > 0)).select(
@@ -275,7 +276,7 @@ def rebalance(
     )
     plan = plan.select(source, F.col("p.cls").alias("_cls"), F.col("p.n").alias("n"), F.col("p.major").alias("_major"), "half")
     plan = sized(plan)
-    classed = df.withColumn("_cls", F.when(F.col(label) == 0, 0).otherwise(1))
+    classed = df.withColumn("_cls", F.when(benign, 0).otherwise(1))
     changed = plan.derive(plan.table.select(source).distinct())
     untouched = lookup_join(df, changed, [source], "left_anti").withColumn("draw", F.lit(0).cast("bigint"))
     keep = plan.derive(plan.table.withColumn("quota", F.when(F.col("_major"), F.col("half")).otherwise(F.col("n"))))

@@ -642,3 +642,24 @@ ORACLES["source_stumps"] = with_(
     CASE WHEN gain > 1e-9 THEN edges[bin + 1] END AS threshold, CASE WHEN gain > 1e-9 THEN gain END AS gain, au AS u, an AS n FROM best
   UNION ALL SELECT client_id, 1, 0, NULL, NULL, NULL, NULL, lu, ln FROM split UNION ALL SELECT client_id, 1, 1, NULL, NULL, NULL, NULL, au - lu, an - ln FROM split)""",
     final=f"""SELECT client_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('level', 'node', 'feature', 'bin', 'n'))}, {rnd('threshold')}, {rnd('u / n', name='value')}, {rnd('gain')} FROM nodes""")
+ORACLES["rebalance_texts"] = ORACLES["rebalance"]
+ORACLES["scan_written"] = with_(FLOWS, final=f"""SELECT client_id, row_id,
+  {rnd('CASE WHEN supplier % 2 = 0 THEN 0 ELSE discount END', name='discount')}, {rnd('CASE WHEN supplier % 2 = 0 THEN 0 ELSE extendedprice END', name='extendedprice')},
+  {rnd('CASE WHEN supplier % 2 = 0 THEN quantity ELSE 0 END', name='quantity')}, {rnd('CASE WHEN supplier % 2 = 0 THEN tax ELSE 0 END', name='tax')} FROM flows""")
+ORACLES["source_report"] = with_(FLOWS, split("flows"), final=f"""SELECT client_id, count(*) FILTER (split = 'train') AS train_samples,
+  count(*) FILTER (split = 'val') AS val_samples, CAST(CASE WHEN any_value(supplier % 12) % 3 = 0 THEN 3 ELSE 4 END AS BIGINT) AS n_features,
+  {rnd(ratio("count(*) FILTER (split = 'train' AND label = 0)", "count(*) FILTER (split = 'train')"), name='train_benign_ratio')},
+  {rnd(ratio("count(*) FILTER (split = 'val' AND label = 0)", "count(*) FILTER (split = 'val')"), name='val_benign_ratio')} FROM splits GROUP BY 1""")
+ORACLES["log_files"] = with_(*METRICS_CHAIN, LOGS, final=f"""SELECT client_id,
+  {rnd("CASE WHEN CAST(regexp_extract(client_id, '([0-9]+)$', 1) AS INTEGER) % 2 = 1 THEN hi_accuracy ELSE mid_accuracy END", 4, 'table_row')},
+  {rnd('mid_accuracy', 4, 'first_number')}, {rnd('mid_accuracy', 4, 'stored')} FROM logs""")
+ORACLES["prepare_tiers"] = with_(
+    *NOISY_CHAIN, """tc AS (SELECT client_id, quality, label, count(*) AS n,
+  CASE quality WHEN 'high' THEN 25000 WHEN 'medium' THEN 5000 WHEN 'low' THEN 3000 ELSE 25000 END AS target FROM noisy GROUP BY ALL)""",
+    shares("tc", "target"),
+    """rc AS (SELECT client_id, quality, CAST(coalesce(sum(quota) FILTER (label = 0), 0) AS BIGINT) AS n0, CAST(coalesce(sum(quota) FILTER (label = 1), 0) AS BIGINT) AS n1
+  FROM quotas GROUP BY ALL)""",
+    "rb AS (SELECT *, (n0 + n1) // 2 AS half, quality = 'compromised' AND least(n0, n1) > 0 AND n0 <> n1 AND (n0 + n1) // 2 > least(n0, n1) AS moved FROM rc)",
+    """bc AS (SELECT client_id, CASE WHEN NOT moved THEN n0 WHEN n0 > n1 THEN half ELSE n0 + least(half - n0, n0) END AS benign,
+  CASE WHEN NOT moved THEN n1 WHEN n1 > n0 THEN half ELSE n1 + least(half - n1, n1) END AS attack FROM rb)""",
+    final="SELECT client_id, benign + attack AS n, benign FROM bc")

@@ -69,6 +69,18 @@ def scan_union(spark, sf_dir):
     return merged.select("client_id", "row_id", *[rounded(c).alias(c) for c in merged.columns[2:]])
 
 
+@query
+def scan_written(spark, sf_dir):
+    """Sources written as CSV files with two kinds of headers, read back in one scan and united."""
+    df = fx.flows(spark, sf_dir)
+    even, folder = F.col("supplier") % 2 == 0, new_folder(spark, "sources")
+    res.write_sources(df.filter(even).select("client_id", "row_id", "quantity", "tax"), f"{folder}/even", "csv")
+    res.write_sources(df.filter(~even).select("client_id", "row_id", "discount", "extendedprice"), f"{folder}/odd", "csv")
+    rows = src.scan_headed(spark, [f"{folder}/even/*", f"{folder}/odd/*"]).filter("NOT bad_row")
+    values = [rounded(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in ("discount", "extendedprice", "quantity", "tax")]
+    return rows.select(F.regexp_extract("file_path", "client_id=([^/]+)", 1).alias("client_id"), "row_id", *values)
+
+
 @query
 def source_preference(spark, sf_dir):
     df = src.prefer_sources(fx.named_sources(spark, sf_dir))
@@ -236,6 +248,36 @@ def rebalance(spark, sf_dir):
     return df.select("client_id", "row_id", "label", "draw")
 
 
+@query
+def rebalance_texts(spark, sf_dir):
+    """Labels as texts in both cases of letters: BENIGN is one class, all else the other."""
+    text = F.when(F.col("quantity") > 25, F.lower("label_raw")).otherwise(F.col("label_raw"))
+    df = sample.rebalance(fx.flows(spark, sf_dir).withColumn("label", text), fx.SEED)
+    return df.select("client_id", "row_id", (~clean.is_benign(F.col("label"))).cast("int").alias("label"), "draw")
+
+
+@query
+def prepare_tiers(spark, sf_dir):
+    """Preparation end to end: tier noise, resize, equal classes for compromised sources, shuffled, written and read."""
+    df = fx.flows(spark, sf_dir)
+    tiers = sized(fx.tiers(df))
+    noisy = perturb.apply_tiers(df, tiers.table, fx.FEATURES, fx.SEED)
+    goal = F.coalesce(*[F.when(F.col("quality") == q, F.lit(n)) for q, n in perturb.TIER_ROWS.items()])
+    drawn = sample.resize(noisy, tiers.table.withColumn("target", goal.cast("bigint")), fx.SEED)
+    # drawn rows repeat; a row's key and draw together are its own
+    drawn = drawn.withColumn("row_id", F.concat_ws("|", "row_id", F.col("draw").cast("string"))).drop("draw")
+    drawn = sized(drawn.withColumn("label", F.when(F.col("label") == 0, "BENIGN").otherwise("ATTACK"))).table
+    poor = F.col("quality") == "compromised"
+    balanced = sample.rebalance(drawn.filter(poor), fx.SEED).drop("draw")
+    rows = sample.shuffle_rows(balanced.unionByName(drawn.filter(~poor)), fx.SEED)
+    path = f"{new_folder(spark, 'tiers')}/sources"
+    res.write_sources(rows.select("client_id", "row_id", "label", *fx.FEATURES), path)
+    table = spark.read.parquet(path)
+    return table.groupBy("client_id").agg(
+        F.count("*").alias("n"), F.count_if(clean.is_benign(F.col("label"))).alias("benign")
+    )
+
+
 @query
 def shuffle_key(spark, sf_dir):
     return sample.shuffle_rows(fx.flows(spark, sf_dir), fx.SEED).select("row_id", "shuffle_key")
@@ -352,6 +394,16 @@ def class_distribution(spark, sf_dir):
     )
 
 
+@query
+def source_report(spark, sf_dir):
+    """Rows, features and benign shares of every source; a third of the sources have no tax."""
+    df = fx.flows(spark, sf_dir)
+    number = F.regexp_extract("client_id", r"(\d+)$", 1).cast("int")
+    df = df.withColumn("tax", F.when(number % 3 > 0, F.col("tax")))
+    table = metrics.source_report(sample.split_stratified(df, 0.2, fx.SEED), fx.FEATURES)
+    return table.select("client_id", *longs(["train_samples", "val_samples", "n_features"]), *rounded_as(["train_benign_ratio", "val_benign_ratio"]))
+
+
 @query
 def tier_counts(spark, sf_dir):
     return metrics.tier_counts(fx.tiers(fx.flows(spark, sf_dir)))
@@ -1031,6 +1083,25 @@ def log_comparison(spark, sf_dir):
     return rows.unionByName(tests).select("client_id", "approach", "metric", rounded("value", 4).alias("value"))
 
 
+@query
+def log_files(spark, sf_dir):
+    """Logs and results written as files and read again: the row of the trust-weighted approach, and its accuracy."""
+    per = round_metrics(spark, sf_dir).groupBy("client_id").agg(
+        F.round(F.min("accuracy"), 4).alias("lo"), F.round(F.avg("accuracy"), 4).alias("mid"), F.round(F.max("accuracy"), 4).alias("hi")
+    )
+    odd = F.regexp_extract("client_id", r"(\d+)$", 1).cast("int") % 2 == 1
+    row = F.when(odd, F.format_string("Trust-Aware accuracy %.4f %.4f %.4f", "lo", "mid", "hi")).otherwise(F.format_string("Trust-Aware   %.4f", "mid"))
+    text = F.concat_ws("\n", F.lit("Trust-Aware accuracy 0.1 0.2"), F.lit("RESULTS COMPARISON"), F.lit("Metric  Centralized  Equal  Weighted"), F.lit("Trust-Aware share 1.5 2.5"), row, F.format_string("Trust-Aware  %.4f", "mid"))
+    folder = new_folder(spark, "logs")
+    per = sized(per).table
+    per.select("client_id", text.alias("value")).repartition("client_id").write.partitionBy("client_id").text(f"{folder}/logs")
+    res.write_results(per.select("client_id", F.lit("trust_weighted").alias("approach"), F.lit("accuracy").alias("metric"), F.col("mid").alias("value")), f"{folder}/results")
+    logs = res.read_logs(spark, f"{folder}/logs/*")
+    found = logs.select(F.regexp_extract("file", "client_id=([^/]+)", 1).alias("client_id"), res.trust_row(F.col("log")).alias("table_row"), res.trust_number(F.col("log")).alias("first_number"))
+    stored = spark.read.json(f"{folder}/results").select("client_id", F.col("value").alias("stored"))
+    return found.join(stored, "client_id").select("client_id", *rounded_as(["table_row", "first_number", "stored"], 4))
+
+
 @query
 def result_scan(spark, sf_dir):
     """JSON result documents of every source and round; those of low tiers are cut short."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from sourcetrust.operators.clean import union_sources
-from sourcetrust.operators.joins import Sized, lookup_join
+from sourcetrust.operators.joins import Sized, lookup_join, sized
 from sourcetrust.operators.ordering import global_prefix_sum
 
 # fixed values: words in source names and the tiers they stand for
@@ -38,13 +39,52 @@ def scan_sources(
 def scan_mixed_sources(spark: SparkSession, paths: list[str], fmt: str = "csv") -> DataFrame:
     """Read sources whose columns differ: union by name, absent features become 0.
 
-    Parquet files are one scan with a merged schema; text files are read one by one, as each has
-    its own header.
+    One scan whatever the number of files: Parquet with a merged schema, CSV by an index of headers.
     """
     if fmt == "parquet":
         merged = spark.read.option("mergeSchema", True).parquet(*paths)
         return union_sources([merged.withColumn("source_name", F.col("_metadata.file_name"))])
-    return union_sources([scan_sources(spark, p, fmt) for p in paths])
+    rows = scan_headed(spark, paths).filter("NOT bad_row").drop("file_path", "bad_row")
+    numeric = [c for c in rows.columns if c != "source_name" and _holds_numbers(rows, c)]
+    return rows.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in numeric})
+
+
+def scan_headed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows of CSV files, each with a header of its own, in one scan: all columns as text, `source_name`, `file_path`, `bad_row`.
+
+    The first line of every file is its header; the plan holds the names found, not the files. A
+    column a file lacks is null. `bad_row` marks rows with more or fewer fields than their header;
+    lines that repeat it are dropped. Fields may be quoted but not hold line ends.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("source_name"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    ).filter("trim(value) <> ''")
+    # the block that begins a file is read by one task, in order
+    heads = sized(lines.filter("_start = 0").groupBy("file_path").agg(F.first("value").alias("_head")))
+    kinds = [r["_head"] for r in heads.table.select("_head").distinct().collect()]
+    width = max((len(_fields(h)) for h in kinds), default=0)
+    shape = ", ".join(f"c{i} string" for i in range(width + 1))
+    names = sorted({n for h in kinds for n in _fields(h)})
+    joined = lookup_join(lines, heads, ["file_path"]).filter(F.col("value") != F.col("_head"))
+    cells = lambda c: F.array(*[F.col(f"{c}.c{i}") for i in range(width + 1)])
+    parsed = joined.withColumns({"_row": F.from_csv("value", shape), "_names": F.from_csv("_head", shape)})
+    parsed = parsed.withColumns({"_cells": cells("_row"), "_titles": F.filter(cells("_names"), lambda n: n.isNotNull())})
+    # fields are counted outside of quotes: an empty last field is null like an absent one
+    fields = lambda c: F.length(F.regexp_replace(F.regexp_replace(c, r'"[^"]*"', ""), "[^,]", "")) + 1
+    told = F.map_from_arrays(F.col("_titles"), F.slice("_cells", 1, F.size("_titles")))
+    marked = parsed.withColumns({"_map": told, "bad_row": fields(F.col("value")) != F.size("_titles")})
+    return marked.select(*[F.try_element_at("_map", F.lit(n)).alias(n) for n in names], "source_name", "file_path", "bad_row")
+
+
+def _fields(line: str) -> list[str]:
+    return [f.strip() for f in next(csv.reader([line]))]
+
+
+def _holds_numbers(rows: DataFrame, column: str) -> bool:
+    """Whether a text column has values and all of them are numbers."""
+    values = rows.filter(F.col(column).isNotNull() & (F.trim(column) != ""))
+    return not values.isEmpty() and values.filter(F.col(column).try_cast("double").isNull()).isEmpty()
 
 
 def scan_preferred(spark: SparkSession, folder: str, fmt: str = "csv", schema=None) -> DataFrame:

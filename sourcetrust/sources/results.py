@@ -87,3 +87,38 @@ def comparison_rows(logs: DataFrame, text: str, keys: list[str]) -> DataFrame:
 def test_accuracy(text: Column) -> Column:
     """The first `Test Accuracy:` number printed in the section of the trust-weighted approach."""
     return _number(text, r"(?s)(?:Approach 3|Trust-Aware).*?Test Accuracy:\s+(\d+\.\d+)", 1)
+
+
+# fixed values: what marks a comparison table, how far below it rows count, and the row that counts
+TABLE_TITLE, TABLE_HEAD, TABLE_LINES, TRUST_ROW = "RESULTS COMPARISON", ("Metric", "Centralized"), 15, "Trust-Aware"
+
+
+def trust_row(text: Column) -> Column:
+    """The number of the first `Trust-Aware` row of a comparison table: its third, or the only one it has.
+
+    A table begins at its title or its head and its rows lie in the fourteen lines below; rows with
+    another count of numbers are passed over.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(
+        i.alias("i"), (line.contains(TABLE_TITLE) | (line.contains(TABLE_HEAD[0]) & line.contains(TABLE_HEAD[1]))).alias("head"),
+        line.contains(TRUST_ROW).alias("row"), F.regexp_extract_all(line, F.lit(r"\d+\.\d+"), F.lit(0)).alias("n"),
+    ))
+
+    def found(lines: Column) -> Column:
+        heads = F.transform(F.filter(lines, lambda e: e["head"]), lambda e: e["i"])
+        below = lambda e: F.exists(heads, lambda h: (e["i"] > h) & (e["i"] < h + TABLE_LINES))
+        rows = F.filter(lines, lambda e: e["row"] & ((F.size(e["n"]) >= 3) | (F.size(e["n"]) == 1)) & below(e))
+        numbers = F.get(rows, F.lit(0))["n"]
+        return F.coalesce(F.get(numbers, F.lit(2)), F.get(numbers, F.lit(0))).try_cast("double")
+
+    return F.transform(F.array(lines), found)[0]
+
+
+def trust_number(text: Column) -> Column:
+    """The first number that follows `Trust-Aware` and blanks."""
+    return _number(text, r"Trust-Aware\s+(\d+\.\d+)", 1)
+
+
+def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Text logs under `paths`, one whole file each: file, log."""
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("log"))
