@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sourcetrust.functions.keys import hash_hex
 from sourcetrust.functions.vectors import dot, linear_probability, sigmoid
-from sourcetrust.operators.joins import MAX_BROADCAST_CELLS, Sized, lookup_join, sized
+from sourcetrust.operators.joins import MAX_BROADCAST_CELLS, lookup_join, sized
+from sourcetrust.operators.ordering import global_prefix_sum
 from sourcetrust.operators.picking import mark_first, medians
 from sourcetrust.operators.metrics import evaluate
 from sourcetrust.operators.sample import CAP, bootstrap_capped
@@ -196,32 +197,37 @@ def median_models(models: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def ensemble_score(
-    df: DataFrame, models: DataFrame, source: str = "client_id", threshold: float = 0.5, max_cells: int = MAX_BROADCAST_CELLS
+    df: DataFrame, models: DataFrame, source: str = "client_id", threshold: float = 0.5, max_cells: int = MAX_BROADCAST_CELLS,
+    row_blocks: int | None = None,
 ) -> DataFrame:
     """Add `y_proba` = sum of weight * probability over all models, and `y_pred`.
 
     Models travel as one broadcast array, so rows are not multiplied. Beyond the broadcast bound
-    they are split into blocks; rows are stored between blocks, so that one block is held at a time.
-    Terms are added in units of 1e-15, so the sum is the same in any order and number of blocks.
+    it is a block product: models are cut to blocks within the bound, rows to `row_blocks` (by
+    default the shuffle partitions), every pair of blocks meets in one shuffle and gives partial
+    sums. Terms are added in units of 1e-15, so the sum is the same in any order and number of blocks.
     """
     known = sized(models.select(source, "weight", "coef", "intercept"), F.size("coef"))
     per_block = max(1, max_cells // (known.largest + 3))
-    blocks = 1 if known.rows <= per_block else 2 * math.ceil(known.rows / per_block)
-    member = F.struct(source, "weight", "coef", "intercept")
-    packed = known.table.groupBy(F.pmod(F.xxhash64(source), F.lit(blocks)).alias("_block")).agg(
-        F.collect_list(member).alias("_models")
-    )
     zero = F.lit(0).cast("bigint")
-    scored = df.withColumn("_units", zero)
-    for b in range(blocks):
-        if b:
-            scored = sized(scored).table
-        block = Sized(packed.filter(F.col("_block") == b), 1)
-        part = F.aggregate(F.coalesce("_models", F.array()), zero, lambda acc, m: acc + F.round(
-            m["weight"] * sigmoid(dot(F.col("x"), m["coef"]) + m["intercept"]) * PROBABILITY_UNITS
-        ).cast("bigint"))
-        matched = lookup_join(scored.withColumn("_block", F.lit(b).cast("bigint")), block, ["_block"])
-        scored = matched.withColumn("_units", F.col("_units") + part).drop("_models", "_block")
+    units = F.aggregate(F.coalesce("_models", F.array()), zero, lambda acc, m: acc + F.round(
+        m["weight"] * sigmoid(dot(F.col("x"), m["coef"]) + m["intercept"]) * PROBABILITY_UNITS
+    ).cast("bigint"))
+    member = F.collect_list(F.struct(source, "weight", "coef", "intercept")).alias("_models")
+    if known.rows <= per_block:
+        packed = known.table.agg(member).select(F.lit(0).alias("_block"), "_models")
+        scored = df.withColumn("_block", F.lit(0)).join(F.broadcast(packed), "_block").withColumn("_units", units).drop("_models", "_block")
+    else:
+        placed = global_prefix_sum(known.table, [F.col(source)], {"_place": F.lit(1).cast("bigint")})
+        packed = placed.groupBy(F.floor((F.col("_place") - 1) / per_block).cast("int").alias("_block")).agg(member)
+        model_blocks = math.ceil(known.rows / per_block)
+        spread = row_blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # numbers that hold: the rows are stored with them
+        rows = sized(df.withColumn("_rid", F.monotonically_increasing_id())).table
+        pairs = rows.select("_rid", "x", F.pmod(F.xxhash64("_rid"), F.lit(spread)).alias("_part"), F.explode(F.sequence(F.lit(0), F.lit(model_blocks - 1))).alias("_block"))
+        dealt = packed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))))
+        sums = pairs.join(dealt.hint("shuffle_hash"), ["_part", "_block"]).select("_rid", units.alias("_units")).groupBy("_rid").agg(F.sum("_units").alias("_units"))
+        scored = rows.join(sums, "_rid").drop("_rid")
     scored = scored.withColumn("y_proba", F.col("_units") / float(PROBABILITY_UNITS)).drop("_units")
     return scored.withColumn("y_pred", F.when(F.col("y_proba") >= threshold, 1).otherwise(0))
 
