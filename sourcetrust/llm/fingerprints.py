@@ -219,13 +219,13 @@ def fingerprint_edits(df: DataFrame, id_: str = "doc_id", text: str = "text") ->
     digests of the paragraphs that the edit removed and brought. Null text counts as empty; texts
     without a paragraph are alike (1). Paragraphs count once and without their order. A null id comes
     last; rows that repeat an id and a text are one document with several rows, those that repeat an
-    id alone follow each other by the SHA-256 of the text. A single document is its own next. A line
+    id alone follow each other by a hash of the text. A single document is its own next. A line
     is a paragraph whatever its length; a sketch costs a text's paragraphs times the cells. Other
     columns are not read. An empty table gives no rows.
     """
     space = Workspace(df.sparkSession, "fingerprints")
     rows = df.select(F.col(id_).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
-        "key", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.sha2("text", 256))
+        "key", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.base64(F.unhex(F.sha2("text", 256))))
     )
     # the order needs no texts: every document learns whose next it is
     known = rows.select("id", "key", F.length("text").alias("n")).groupBy("id", "key", "n").agg(F.count("*").alias("copies"))
@@ -234,11 +234,11 @@ def fingerprint_edits(df: DataFrame, id_: str = "doc_id", text: str = "text") ->
     follows = F.when(F.col("_pos") == F.lit(last), F.lit(0)).otherwise(F.col("_pos") + 1)
     half = F.floor(F.col("n") / 2).cast("int")
     before = placed.select(follows.alias("_pos"), F.col("key").alias("before"), half.alias("wanted"))
-    ordered = placed.join(before, "_pos").select("key", "n", "copies", "before", "wanted")
+    ordered = placed.join(before, "_pos").select("key", F.col("_pos").alias("pos"), "n", "copies", "before", "wanted")
 
     # one shuffle of whole texts: both uses of a text read it, as its columns are one that pruning does
     # not open; of a next text only what is wanted goes on
-    whole = F.array(F.struct("id", "text", "n", "copies", "before", "wanted")).alias("row")
+    whole = F.array(F.struct("pos", "id", "text", "n", "copies", "before", "wanted")).alias("row")
     texts = rows.select("key", "id", "text").join(ordered, "key").select("key", whole)
     number = F.row_number().over(W.partitionBy("key").orderBy("key"))
     single = texts.withColumn("_copy", number).filter("_copy = 1").select("key", F.col("row")[0].alias("row"))
@@ -247,10 +247,10 @@ def fingerprint_edits(df: DataFrame, id_: str = "doc_id", text: str = "text") ->
         F.col("before").alias("key"), F.col("id").alias("next_id"), F.left("text", F.col("wanted")).alias("start"), F.col("own").alias("following")
     )
     edited = single.join(nexts, "key").select(
-        "key", "id", "next_id", "n", "copies", "own", "following", F.concat(F.left("text", F.col("n") - half), "start").alias("edited")
+        "pos", "id", "next_id", "n", "copies", "own", "following", F.concat(F.left("text", F.col("n") - half), "start").alias("edited")
     )
     sets = edited.withColumns({"changed": paragraph_digests(F.col("edited")), "edited_sha256": F.sha2("edited", 256)}).drop("edited")
-    met = compare_sets(sets, space, ["key"], "own", ["changed", "following"], ["own", "changed"])
+    met = compare_sets(sets, space, ["pos"], "own", ["changed", "following"], ["own", "changed"])
     near = lambda c: likeness(F.col("own_size"), F.col(f"{c}_size"), F.col(f"{c}_diff"))
     result = met.select(
         "id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.col("own_sketch").alias("fingerprint"),
