@@ -176,6 +176,22 @@ def adaptive_trust(
     return describe_history(rows, params.window)
 
 
+def replayed(history: DataFrame, corrected: DataFrame, params: TrustParams = TrustParams(), decay: bool = False) -> DataFrame:
+    """A trust history brought in line with corrected measurements, as after late rows.
+
+    `corrected` has all rounds (`client_id, round, computed`). A source is folded again from its first
+    round that differs or is new; what lies before, and sources without a difference, stay as they are.
+    """
+    own = history.select("client_id", "round", F.col("computed").alias("_old"), F.lit(True).alias("_known"))
+    both = corrected.select("client_id", "round", "computed").join(own, ["client_id", "round"], "left")
+    differs = F.col("_known").isNull() | ~F.col("computed").eqNullSafe(F.col("_old"))
+    begun = sized(both.filter(differs).groupBy("client_id").agg(F.min("round").alias("_from")))
+    marked = lookup_join(history, begun, ["client_id"])
+    kept = marked.filter(F.col("_from").isNull() | (F.col("round") < F.col("_from")) | (F.col("round") == 0)).drop("_from")
+    again = lookup_join(corrected, begun.derive(begun.table.select("client_id")), ["client_id"], "left_semi")
+    return adaptive_trust(again, params, decay, stored=sized(kept).table)
+
+
 def describe_history(history: DataFrame, window: int = 5) -> DataFrame:
     """Add `previous` trust, and `consistency` and `trend` as they were before each row."""
 

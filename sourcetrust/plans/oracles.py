@@ -663,3 +663,4 @@ ORACLES["prepare_tiers"] = with_(
     """bc AS (SELECT client_id, CASE WHEN NOT moved THEN n0 WHEN n0 > n1 THEN half ELSE n0 + least(half - n0, n0) END AS benign,
   CASE WHEN NOT moved THEN n1 WHEN n1 > n0 THEN half ELSE n1 + least(half - n1, n1) END AS attack FROM rb)""",
     final="SELECT client_id, benign + attack AS n, benign FROM bc")
+ORACLES["trust_replayed"] = ORACLES["trust_adaptive"]

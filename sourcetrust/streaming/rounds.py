@@ -216,6 +216,35 @@ def run_history(stream: DataFrame, path: str, state: str | None = None) -> DataF
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_late(events: DataFrame, name: str, window: str = WINDOW, delay: str = DELAY) -> DataFrame:
+    """Process all available events and read those that came too late: their window had been closed before.
+
+    What has been closed follows from the latest event time of the micro-batches before. Marks and
+    late rows are stored by batch, and a repeated batch replaces its own.
+    """
+    spark = events.sparkSession
+    folder = new_folder(spark, name)
+    spark.createDataFrame([], "mark timestamp").withColumn("batch", F.lit(-1)).write.parquet(f"{folder}/marks")
+    events.sparkSession.createDataFrame([], events.schema).write.parquet(f"{folder}/late/batch=-1")
+
+    def sorted_out(rows: DataFrame, batch: int) -> None:
+        before = spark.read.parquet(f"{folder}/marks").filter(F.col("batch") < batch)
+        closed = before.select(F.max("mark") - F.expr(f"interval {delay}")).scalar()
+        spanned = rows.withColumn("_w", F.window("ts", window))
+        late = spanned.filter(F.col("_w.end") <= closed).drop("_w")
+        late.write.mode("overwrite").parquet(f"{folder}/late/batch={batch}")
+        mark = rows.agg(F.max("ts").alias("mark")).withColumn("batch", F.lit(batch))
+        old = sized(before.unionByName(mark)).table
+        old.write.mode("overwrite").parquet(f"{folder}/marks")
+
+    run = (
+        events.writeStream.foreachBatch(sorted_out).trigger(availableNow=True)
+        .option("checkpointLocation", f"{folder}/state").start()
+    )
+    run.awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{folder}/late/*")
+
+
 def read_events(spark: SparkSession, folder: str, names: str = "*.parquet") -> DataFrame:
     """Stream the Parquet files of a folder whose names match the glob `names`."""
     schema = spark.read.option("pathGlobFilter", names).parquet(folder).schema

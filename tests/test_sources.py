@@ -135,3 +135,39 @@ def test_mixed_parquet_is_one_scan(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
     df = flows.scan_mixed_sources(spark, [str(tmp_path / "a"), str(tmp_path / "b")], "parquet")
     assert {(r["row_id"], r["x"], r["y"]) for r in df.collect()} == {(1, 2.0, 0.0), (2, 0.0, 3.0)}
+
+
+def test_csv_files_with_headers_of_their_own(spark, tmp_path):
+    """Quoted fields, repeated headers, rows too short or too long, an empty file; one plan for many files."""
+    texts = {
+        "a.csv": 'name,x,y\n"one, two",1,2\nshort,1\nname,x,y\n,3,\n', "b.csv": "y,z\n5,6\n7,8,9\n", "c.csv": "", "d.csv": "z\n4\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    rows = flows.scan_headed(spark, [str(tmp_path / "*.csv")])
+    got = sorted(((r.source_name, r["name"], r.x, r.y, r.z, r.bad_row) for r in rows.collect() if not r.bad_row), key=str)
+    assert got == sorted([("a.csv", "one, two", "1", "2", None, False), ("a.csv", None, "3", None, None, False),
+                          ("b.csv", None, None, "5", "6", False), ("d.csv", None, None, None, "4", False)], key=str)
+    assert rows.filter("bad_row").count() == 2
+    united = flows.scan_mixed_sources(spark, [str(tmp_path / "*.csv")])
+    assert {r.source_name: (r.y, r.z) for r in united.collect() if r.source_name != "a.csv"} == {"b.csv": (5.0, 6.0), "d.csv": (0.0, 4.0)}
+    size = len(rows._jdf.queryExecution().optimizedPlan().toString())
+    for i in range(30):
+        (tmp_path / f"more{i}.csv").write_text("y,z\n1,2\n")
+    more = flows.scan_headed(spark, [str(tmp_path / "*.csv")])
+    assert more.count() == rows.count() and more.filter("source_name like 'more%'").count() == 30
+    assert abs(len(more._jdf.queryExecution().optimizedPlan().toString()) - size) < 200
+
+
+def test_trust_rows_of_logs(spark):
+    from sourcetrust.sources import results
+
+    far = "\n" * 16
+    cases = [
+        ("RESULTS COMPARISON\nTrust-Aware 0.1 0.2 0.3 0.4", 0.3, 0.1), ("x Metric Centralized\nTrust-Aware 0.5 0.6\nTrust-Aware is 0.7", 0.7, 0.5),
+        ("Trust-Aware 0.9", None, 0.9), (f"RESULTS COMPARISON{far}Trust-Aware 0.9", None, 0.9),
+        (f"RESULTS COMPARISON{far}Metric Centralized\n\nTrust-Aware: 0.8", 0.8, None), ("", None, None), (None, None, None),
+    ]
+    table = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, log string")
+    got = table.select("i", results.trust_row(F.col("log")), results.trust_number(F.col("log"))).collect()
+    assert [tuple(r)[1:] for r in sorted(got)] == [c[1:] for c in cases]

@@ -67,3 +67,23 @@ def test_idle_source_is_retired(spark, batches):
     assert [r["event"] for r in rows if r["client_id"] == "y"] == ["update", "decay", "decay"]
     assert [(r["round"], r["event"]) for r in rows if r["client_id"] == "x"][:5] == [
         (1, "update"), (2, "update"), (3, "decay"), (4, "decay"), (5, "update")]
+
+
+def test_late_rows_are_kept_aside(spark, batches):
+    late = rounds.run_late(read(spark, batches), "late", "1 day", "1 day").collect()
+    assert [(str(r.ts), r.client_id, r.y_pred) for r in late] == [("2024-01-01 13:00:00", "x", 0)]
+
+
+def test_stream_goes_on_from_its_history(spark, batches, tmp_path_factory):
+    """Given up after two days, run again twice over all events: the table is that of one run."""
+    settings = {"window": "1 day", "window_ms": rounds.DAY_MS}
+    whole = rounds.run_stream(rounds.trust_stream(read(spark, batches), **settings), "whole")
+    path = str(tmp_path_factory.mktemp("history") / "rounds")
+    early = read(spark, batches).filter("ts < timestamp'2024-01-05 12:30:00'")
+    first = rounds.run_history(rounds.trust_stream(early, **settings), path)
+    before = first.count()
+    for _ in range(2):
+        again = rounds.run_history(rounds.trust_stream(read(spark, batches), stored=spark.read.parquet(path), **settings), path)
+    keys = ["client_id", "window_end", "round", "event", F.round("trust", 9).alias("trust"), "alert"]
+    assert 0 < before < whole.count()
+    assert sorted(map(tuple, again.select(*keys).collect())) == sorted(map(tuple, whole.select(*keys).collect()))
