@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sourcetrust.functions.session import new_folder
 from sourcetrust.functions.vectors import binary_entropy
-from sourcetrust.operators import clean, forests, metrics, models, perturb, reports, retraining, sample, trust
+from sourcetrust.operators import clean, forests, metrics, models, perceptron, perturb, reports, retraining, sample, trust
 from sourcetrust.operators.joins import sized
 from sourcetrust.plans import fixtures as fx
 from sourcetrust.plans.rounding import nudge
@@ -1036,6 +1036,17 @@ def global_fit_perceptron(spark, sf_dir):
     return fitted_metrics(spark, sf_dir, "mlp")
 
 
+@query
+def rectified_perceptron(spark, sf_dir):
+    """A perceptron with rectified units and early stopping, measured on every source's held-out rows."""
+    split = sample.split_stratified(flow_vectors(spark, sf_dir), 0.2, fx.SEED)
+    scale = F.transform("x", lambda v, i: v / F.element_at(F.array(*[F.lit(n) for n in (50.0, 1e5, 0.1, 0.08)]), i + 1))
+    train, val = (split.filter(F.col("split") == part).withColumn("x", scale) for part in ("train", "val"))
+    model = perceptron.fit_perceptron(train, perceptron.Settings(hidden=16, rate=0.02, epochs=15, patience=4, seed=fx.SEED))
+    scored = perceptron.score_perceptron(val.withColumn("y_true", F.col("label")), model)
+    return metrics.evaluate(scored, ["client_id"]).select("client_id", *rounded_as(["accuracy", "f1_score"], 3))
+
+
 @query
 def approach_comparison(spark, sf_dir):
     """Five ways of training compared on the same held-out rows: pooled, equal-weight, trust-weighted,
