@@ -150,13 +150,13 @@ def adaptive_trust(
     it are not applied again. Stored and new rows come back together.
     """
     past = ["client_id", "round", "trust", "computed", "event"]
-    steps = observed.select("client_id", F.col("round").cast("int").alias("round"), F.col("computed").cast("double").alias("computed"))
+    steps = sized(observed.select("client_id", F.col("round").cast("int").alias("round"), F.col("computed").cast("double").alias("computed"))).table
     if stored is None:
         begun = steps.select("client_id").distinct().withColumns({"_last": F.lit(None).cast("int"), "_trust": F.lit(None).cast("double")})
     else:
         last = stored.groupBy("client_id").agg(F.max("round").cast("int").alias("_last"), F.max_by("trust", "round").alias("_trust"))
         begun = steps.select("client_id").distinct().join(last, "client_id", "left")
-    begun = sized(begun.withColumn("_x", F.coalesce("_trust", F.lit(params.initial)))).table
+    begun = begun.withColumn("_x", F.coalesce("_trust", F.lit(params.initial)))
     due = lookup_join(steps, begun.select("client_id", "_last"), ["client_id"]).filter(F.col("_last").isNull() | (F.col("round") > F.col("_last")))
     due = sized(numbered_rounds(due)).table
     first = (F.col("_last").isNull() & (F.col("_i") == 0)) | (F.col("round") == 1)

@@ -989,7 +989,7 @@ def source_forests(spark, sf_dir):
 def source_boosted(spark, sf_dir):
     """Boosted trees per source, measured on its held-out rows."""
     split = sample.split_stratified(flow_vectors(spark, sf_dir), 0.2, fx.SEED)
-    trees = forests.fit_boosted(split.filter("split = 'train'"), 3, 0.3, bins=16)
+    trees = forests.fit_boosted(split.filter("split = 'train'"), 2, 0.3, forests.Growth("newton", 1, 3, 4, None, False), bins=16)
     scored = forests.score_forests(split.filter("split = 'val'").withColumn("y_true", F.col("label")), sized(trees).table, boosted=True)
     return metrics.evaluate(scored, ["client_id"]).select("client_id", *rounded_as(["accuracy", "f1_score"]))
 
