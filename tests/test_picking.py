@@ -96,3 +96,21 @@ def test_lookup_join_without_broadcast(skewed, how):
 def test_sized_counts_and_measures(skewed):
     known = sized(group_sizes(skewed, ["g"]), F.col("n"))
     assert known.rows == 8 and known.largest == ROWS * 2 // 3
+
+
+@pytest.mark.parametrize("bucket_rows", [500, 100_000])
+def test_slots_are_never_broadcast(skewed, bucket_rows):
+    """A few rows that give many slots look small to the optimiser; slots must be joined by a shuffle."""
+    sizes = group_sizes(skewed, ["g"])
+    slots = number_line(sizes, F.col("n") * 3, "draw").select("g", (F.col("draw") % F.col("n") + 1).alias("slot"))
+    taken = take_slots(skewed, ["g"], "key", sizes, slots, bucket_rows)
+    plan = taken._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert not [line for line in plan if "BroadcastHashJoin" in line and "_at#" in line]
+    assert [line for line in plan if "SortMergeJoin" in line and "_at#" in line]
+    assert taken.count() == 3 * ROWS
+
+
+def test_numbers_are_dealt_over_tasks(spark):
+    numbers = number_line(spark.createDataFrame([(45_000,)], "n int"), F.col("n"), "i", block=100)
+    used = numbers.groupBy(F.spark_partition_id()).count().count()
+    assert numbers.agg(F.count_distinct("i")).first()[0] == 45_000 and used > 1
