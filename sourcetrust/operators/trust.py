@@ -6,6 +6,7 @@ trust. Everything here works on one row per source and round, never on data rows
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -192,6 +193,49 @@ def replayed(history: DataFrame, corrected: DataFrame, params: TrustParams = Tru
     return adaptive_trust(again, params, decay, stored=sized(kept).table)
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is evaluated once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def product_sum(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles, rounded once."""
+    split = F.lit(134217729.0)  # 2^27 + 1 cuts a double into two halves whose products are exact
+    high = lambda v: v * split - (v * split - v)
+
+    def total(p: Column) -> Column:
+        low = ((p["ah"] * p["bh"] - p["p"]) + p["ah"] * (b - p["bh"]) + (a - p["ah"]) * p["bh"]) + (a - p["ah"]) * (b - p["bh"])
+        s = p["p"] + c
+        return s + ((p["p"] - (s - (s - p["p"])) + (c - (s - p["p"]))) + low)
+
+    return _bound(F.struct((a * b).alias("p"), high(a).alias("ah"), high(b).alias("bh")), total)
+
+
+def recent_points(value: str, frame) -> Column:
+    """Places `_i` and values of a window frame, in order."""
+    return F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col("_i").cast("double").alias("x"), F.col(value).cast("double").alias("y")))).over(frame)
+
+
+def slope_of(points: Column) -> Column:
+    """Slope of a line through `recent_points`; null with fewer than two.
+
+    Running means and moments, with the step of the co-moment rounded once, as the SQL twin's
+    `regr_slope` does it: where a slope is exactly a threshold the last bit decides on the trend.
+    """
+    names = ("n", "mx", "my", "c", "m")
+    made = lambda *v: F.struct(*[c.alias(k) for k, c in zip(names, v)])
+
+    def step(s: Column, p: Column) -> Column:
+        n = s["n"] + 1.0
+        moved = F.struct(n.alias("n"), (p["x"] - s["mx"]).alias("dx"), (s["mx"] + (p["x"] - s["mx"]) / n).alias("mx"), (s["my"] + (p["y"] - s["my"]) / n).alias("my"))
+        return _bound(moved, lambda v: made(
+            v["n"], v["mx"], v["my"], product_sum(v["dx"], p["y"] - v["my"], s["c"]), s["m"] + v["dx"] * (p["x"] - v["mx"])
+        ))
+
+    slope = lambda s: (s["c"] / s["n"]) / (s["m"] / s["n"])
+    return F.when(F.size(points) >= 2, F.aggregate(points, made(*[F.lit(0.0)] * 5), step, slope))
+
+
 def describe_history(history: DataFrame, window: int = 5) -> DataFrame:
     """Add `previous` trust, and `consistency` and `trend` as they were before each row."""
 
@@ -200,7 +244,7 @@ def describe_history(history: DataFrame, window: int = 5) -> DataFrame:
         return {
             "previous": F.lag("trust").over(order),
             "consistency": steadiness(F.var_pop("trust").over(past), F.count("trust").over(past)),
-            "trend": trend_name(F.expr("regr_slope(trust, _i)").over(past)),
+            "trend": trend_name(slope_of(recent_points("trust", past))),
         }
 
     return recent_frames(numbered_rounds(history), window, described).drop("_i")
@@ -214,7 +258,7 @@ def consistency_and_trend(history: DataFrame, value: str = "trust", window: int
     """Add `consistency`, `slope` and `trend` of the last `window` values up to each row."""
     order = W.partitionBy("client_id").orderBy("round")
     recent = order.rowsBetween(-(window - 1), 0)
-    slope = F.expr(f"regr_slope({value}, _i)").over(recent)
+    slope = slope_of(recent_points(value, recent))
     return (
         history.withColumn("_i", F.row_number().over(order))
         .withColumns({
@@ -301,7 +345,7 @@ def evolution(history: DataFrame, window: int = 5) -> DataFrame:
     stepped = (
         history.withColumn("_i", F.row_number().over(order))
         .withColumn("_step", F.col("trust") - F.lag("trust").over(order))
-        .withColumn("_slope", F.expr("regr_slope(trust, _i)").over(recent))
+        .withColumn("_recent", recent_points("trust", recent))
     )
     per = stepped.groupBy("client_id").agg(
         (F.count("*") - 1).alias("rounds"),
@@ -310,7 +354,7 @@ def evolution(history: DataFrame, window: int = 5) -> DataFrame:
         F.avg("_step").alias("avg_change"),
         F.max("_step").alias("max_increase"),
         F.min("_step").alias("max_decrease"),
-        F.max_by(F.coalesce("_slope", F.lit(0.0)), "round").alias("_slope"),
+        F.max_by("_recent", "round").alias("_recent"),
     )
     change = F.col("final_trust") - F.col("initial_trust")
     return (
@@ -318,9 +362,9 @@ def evolution(history: DataFrame, window: int = 5) -> DataFrame:
         .withColumns({
             "total_change": change,
             "percent_change": F.when(F.col("initial_trust") > 0, change / F.col("initial_trust") * 100).otherwise(F.lit(0.0)),
-            "trend": trend_name(F.col("_slope")),
+            "trend": trend_name(F.coalesce(slope_of(F.col("_recent")), F.lit(0.0))),
         })
-        .drop("_slope")
+        .drop("_recent")
     )
 
 

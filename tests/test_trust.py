@@ -142,3 +142,19 @@ def test_histogram_last_bin_closed(spark):
     df = spark.createDataFrame([(v / 10,) for v in range(11)], "t double")
     bins = {r["bin"]: r["n"] for r in histogram(df, "t", 5).collect()}
     assert sum(bins.values()) == 11 and max(bins) == 4
+
+
+def test_trend_at_the_threshold_is_that_of_the_sql(spark):
+    """Slopes that are exactly 0.01 but for rounding: the last bit must be the one the SQL twin has."""
+    import duckdb
+
+    histories = [[0.2, 0.33999999999999997, 0.0, 0.2, 0.32]]
+    histories += [[(7 * h * h + 13 * i * h + 5 * i) % 100 / 100 * (1.0, 0.7, 0.49, 0.3)[(h + i) % 4] for i in range(5)] for h in range(400)]
+    rows = [(f"s{h}", i, v) for h, values in enumerate(histories) for i, v in enumerate(values)]
+    last = t.consistency_and_trend(spark.createDataFrame(rows, "client_id string, round int, trust double")).filter("round = 4")
+    found = {r["client_id"]: r["slope"] for r in last.collect()}
+    values = ", ".join(f"({h}, {i}, {v!r}::DOUBLE)" for h, i, v in [(int(c[1:]), i, v) for c, i, v in rows])
+    wanted = duckdb.sql(f"SELECT h, regr_slope(y, x) FROM (VALUES {values}) t(h, x, y) GROUP BY h").fetchall()
+    assert found == {f"s{h}": v for h, v in wanted}
+    ends = t.evolution(spark.createDataFrame(rows[:5], "client_id string, round int, trust double")).first()
+    assert ends["trend"] == "improving"
