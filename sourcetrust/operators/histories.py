@@ -7,7 +7,9 @@
   its own steps from there.
 * `recent_frames` lets a window look back a few rows across the border of a block.
 
-No array holds more than a block, and no task needs a whole history.
+No array holds more than a block, and no task needs a whole history. Tables of a row per source or
+block grow with the sources and are packed tightly, so they are sort-merged by hint: by the size of
+their files the optimiser would send them through the driver.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def numbered_rounds(rows: DataFrame, source: str = "client_id", order: str = "ro
     earlier = W.partitionBy(source).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
     begun = counts.select(source, "_span", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begun"))
     place = F.row_number().over(W.partitionBy(source, "_span").orderBy(order)) - 1
-    return spans.withColumn("_place", place).join(begun, [source, "_span"]).withColumn(
+    return spans.withColumn("_place", place).join(begun.hint("merge"), [source, "_span"]).withColumn(
         "_i", (F.col("_begun") + F.col("_place")).cast("long")
     ).drop("_span", "_place", "_begun")
 
@@ -75,7 +77,7 @@ def _folded(steps: DataFrame, begun: DataFrame, source: str, block: int, step: C
     """source, _i, _x (before the step), _y (after it) and the `carried` columns."""
     member = F.struct("_i", "_f", *carried)
     own = steps.groupBy(source, F.floor(F.col("_i") / block).cast("long").alias("_b")).agg(F.array_sort(F.collect_list(member)).alias("_s"))
-    met = own.join(begun, [source, "_b"])
+    met = own.join(begun.hint("merge"), [source, "_b"])
     first = F.struct(F.col("_x").alias("x"), F.array().cast("array<double>").alias("seen"))
 
     def one(state: Column, s: Column) -> Column:

@@ -152,13 +152,15 @@ def adaptive_trust(
     """
     past = ["client_id", "round", "trust", "computed", "event"]
     steps = sized(observed.select("client_id", F.col("round").cast("int").alias("round"), F.col("computed").cast("double").alias("computed"))).table
+    unknown = {"_last": F.lit(None).cast("int"), "_trust": F.lit(None).cast("double")}
     if stored is None:
-        begun = steps.select("client_id").distinct().withColumns({"_last": F.lit(None).cast("int"), "_trust": F.lit(None).cast("double")})
+        begun, due = steps.select("client_id").distinct().withColumns(unknown), steps.withColumn("_last", unknown["_last"])
     else:
         last = stored.groupBy("client_id").agg(F.max("round").cast("int").alias("_last"), F.max_by("trust", "round").alias("_trust"))
-        begun = steps.select("client_id").distinct().join(last, "client_id", "left")
+        begun = steps.select("client_id").distinct().join(last.hint("merge"), "client_id", "left")
+        due = steps.join(begun.select("client_id", "_last").hint("merge"), "client_id", "left")
     begun = begun.withColumn("_x", F.coalesce("_trust", F.lit(params.initial)))
-    due = lookup_join(steps, begun.select("client_id", "_last"), ["client_id"]).filter(F.col("_last").isNull() | (F.col("round") > F.col("_last")))
+    due = due.filter(F.col("_last").isNull() | (F.col("round") > F.col("_last")))
     due = sized(numbered_rounds(due)).table
     first = (F.col("_last").isNull() & (F.col("_i") == 0)) | (F.col("round") == 1)
     step, event = trust_step(F.col("computed"), first, params), F.lit("update")

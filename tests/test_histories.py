@@ -150,3 +150,11 @@ def test_descent_counts_large_groups_alone(spark, monkeypatch):
     for g, own in pdf.groupby("g"):
         assert cuts[g] == own["key"].iloc[int(len(own) * 0.4) - 1]
     assert isinstance(pdf, pd.DataFrame)
+
+
+def test_tables_of_sources_do_not_go_through_the_driver(spark):
+    """A row per source, or per block of rounds, grows with the sources: such joins are shuffles."""
+    rows = spark.range(400).select((F.col("id") % 40).cast("string").alias("client_id"), F.floor(F.col("id") / 40).cast("int").alias("round"), F.lit(0.7).alias("computed"))
+    for history in (trust.adaptive_trust(rows), trust.adaptive_trust(rows, stored=trust.adaptive_trust(rows.filter("round < 5")))):
+        assert "BroadcastHashJoin" not in history._jdf.queryExecution().sparkPlan().toString()
+        assert history.count() == 440
