@@ -128,3 +128,18 @@ def test_t_test_and_interval(spark):
     assert got["f1"]["t"] is None and got["f1"]["stars"] is None
     stats = reports.confidence_interval(reports.trial_stats(df, ["variant", "metric"])).filter("variant = 'x' and metric = 'accuracy'").first()
     assert abs(stats["high"] - 2.0 - 4.302652729911275 / 3**0.5) < 1e-6
+
+
+def test_tasks_of_a_global_fit_follow_the_rows(spark, vectors, monkeypatch):
+    """However many partitions rows come in, a small table is fitted in one, with one result."""
+    seen, first = [], models._estimators
+
+    def watched(width, seed):
+        made = first(width, seed)["boosted_trees"](maxIter=2, maxDepth=2)
+        fit = made.fit
+        made.fit = lambda rows: (seen.append(rows.rdd.getNumPartitions()), fit(rows))[1]
+        return {"boosted_trees": lambda **_: made}
+
+    monkeypatch.setattr(models, "_estimators", watched)
+    found = {str(models.fit_global(vectors.repartition(n), "boosted_trees").toDebugString) .split("\n", 1)[1] for n in (2, 37)}
+    assert seen == [1, 1] and len(found) == 1
