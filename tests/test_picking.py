@@ -114,3 +114,12 @@ def test_numbers_are_dealt_over_tasks(spark):
     numbers = number_line(spark.createDataFrame([(45_000,)], "n int"), F.col("n"), "i", block=100)
     used = numbers.groupBy(F.spark_partition_id()).count().count()
     assert numbers.agg(F.count_distinct("i")).first()[0] == 45_000 and used > 1
+
+
+def test_digits_are_counted_by_hash_aggregation(skewed):
+    """Ends of text in the same aggregate would sort all rows; they are looked for in stuck buckets only."""
+    from sourcetrust.operators.picking import _narrowed
+
+    wide = sized(group_sizes(skewed, ["g"]).select("g", F.lit("").alias("_p"), F.lit(5).alias("_left")))
+    plan = _narrowed(skewed.select("g", "key"), ["g"], "key", wide, 3)._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
