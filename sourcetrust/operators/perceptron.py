@@ -74,18 +74,33 @@ def right_answers(model: Perceptron, x: np.ndarray, y: np.ndarray) -> int:
     return int(((np.maximum(x @ inner + bias, 0.0) @ outer + out >= 0) == (y == 1)).sum())
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one part as one row of bytes, so that a pass hands over blocks and not arrays by row."""
+    for some in batches:
+        if not some.num_rows:
+            continue
+        x = np.asarray(some.column(0).flatten(), np.float64).reshape(some.num_rows, -1)
+        y, weight = (np.asarray(some.column(i), np.float64) for i in (1, 2))
+        part = np.asarray(some.column(3))
+        for own in np.unique(part):
+            rows = part == own
+            blocks = [pa.array([v[rows].tobytes()], pa.binary()) for v in (x, y, weight)]
+            yield pa.RecordBatch.from_arrays([*blocks, pa.array([own], pa.int32()), pa.array([x.shape[1]], pa.int32())], ["x", "y", "w", "part", "width"])
+
+
 def _pass(rows: DataFrame, model: Perceptron, batch: int) -> tuple[np.ndarray, float, int, int]:
     """Gradient sums and weight of a batch's rows; right answers and number of the rows held back."""
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(model.theta) + 3)
         for some in batches:
-            if not some.num_rows:
-                continue
-            x = np.asarray(some.column(0).flatten(), np.float64).reshape(some.num_rows, -1)
-            y, weight, part = (np.asarray(some.column(i), np.float64) for i in (1, 2, 3))
-            held, own = part < 0, part == batch
-            total[:-3] += gradient_sums(model, x[own], y[own], weight[own])
-            total[-3:] += weight[own].sum(), right_answers(model, x[held], y[held]), held.sum()
+            for i in range(some.num_rows):
+                x, y, weight = (np.frombuffer(some.column(c)[i].as_py()) for c in range(3))
+                x = x.reshape(len(y), -1)
+                if some.column(3)[i].as_py() < 0:
+                    total[-2:] += right_answers(model, x, y), len(y)
+                else:
+                    total[:-3] += gradient_sums(model, x, y, weight)
+                    total[-3] += weight.sum()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +127,11 @@ def fit_perceptron(
     weight = F.coalesce(*[F.when(F.col(label) == k, F.lit(float(v))) for k, v in weights.items()], F.lit(1.0))
     held = hash_uniform(settings.seed, "held", F.col(key)) < settings.held_back
     part = F.floor(hash_uniform(settings.seed, "batch", F.col(key)) * settings.batches).cast("int")
-    rows = sized(df.select(
+    chosen = df.select(
         F.col("x").cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), weight.alias("w"), F.when(held, -1).otherwise(part).alias("part"),
-    )).table
-    width = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    )
+    stored = sized(chosen.mapInArrow(_packed, "x binary, y binary, w binary, part int, width int"), F.col("width"))
+    rows, width = stored.table, stored.largest
     theta = first_parameters(width, settings.hidden, settings.seed)
     best, best_share, idle, step = theta, -1.0, 0, 0
     first, second = np.zeros_like(theta), np.zeros_like(theta)

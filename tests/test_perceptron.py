@@ -89,3 +89,11 @@ def test_gradient_by_differences():
 def test_empty_table(spark):
     model = p.fit_perceptron(table(spark, np.zeros((1, 3)), [0]).filter(F.lit(False)), p.Settings(hidden=2, epochs=2))
     assert model.width == 0
+
+
+def test_rows_of_a_part_travel_as_blocks(spark):
+    rows = spark.range(1000, numPartitions=1).selectExpr("array(double(id), 2.0D) AS x", "1.0D AS y", "0.5D AS w", "int(id % 3) - 1 AS part")
+    blocks = rows.mapInArrow(p._packed, "x binary, y binary, w binary, part int, width int").collect()
+    assert sorted(b["part"] for b in blocks) == [-1, 0, 1]
+    x = np.concatenate([np.frombuffer(b["x"]).reshape(-1, b["width"]) for b in blocks])
+    assert sorted(x[:, 0]) == list(range(1000)) and set(x[:, 1]) == {2.0}
