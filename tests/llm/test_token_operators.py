@@ -174,3 +174,27 @@ def test_counting_and_encoding_odd_rows(spark):
     got = bpe.encode_texts(rows, WORDS).collect()
     assert sorted(r.decoded for r in got) == ["", "", *["a</w> b</w>"] * 3]
     assert bpe.encode_texts(rows.limit(0), WORDS).count() == token_counts.count_tokens(rows.limit(0), BYTES).count() == 0
+
+
+@pytest.mark.parametrize(("path", "kind"), [(WORDS, "words"), (BYTES, "spaced")])
+def test_new_words_need_few_calls_of_the_library(path, kind):
+    """A library call for every new word took most of the time."""
+    theirs, ours = library(path), encoding.KINDS[kind](path)
+    made = [f"{a}{b}rn{c}" for a in "abdeéß" for b in "aeiouü" for c in "klmnopr"]
+    text = " ".join(w + ("", ",", "***", "\n" + w)[i % 4] for i, w in enumerate(made))
+    calls, whole = [], ours.whole
+    ours.whole = lambda some: calls.append(some) or whole(some)
+    assert np.frombuffer(ours(text), ours.dtype).tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert len(calls) < 10
+
+
+@pytest.mark.parametrize(("path", "kind"), [(WORDS, "words"), (BYTES, "spaced")])
+def test_marks_and_rare_white_space_between_words(path, kind):
+    texts = [
+        "a | b |c| ||| d|e f|", "a\x1cb \x1c c\x1d", "a b   c\u0085 d", "x\t y\r\nz \x0b w", "one\ntwo \nthree\n four\n\nfive,,, six",
+        "<|endoftext|> a<|endoftext|>b <|startoftext|>", "it's 's don't** we'll!!", "é. é́,, ́x", " ", "\n", "\na\n", "a \x00 b",
+    ]
+    theirs, ours = library(path), encoding.KINDS[kind](path)
+    for _ in range(2):
+        for text, ids in zip(texts, ours.many(texts), strict=True):
+            assert np.frombuffer(ids, ours.dtype).tolist() == theirs.encode(text, add_special_tokens=False).ids, text
