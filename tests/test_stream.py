@@ -87,3 +87,15 @@ def test_stream_goes_on_from_its_history(spark, batches, tmp_path_factory):
     keys = ["client_id", "window_end", "round", "event", F.round("trust", 9).alias("trust"), "alert"]
     assert 0 < before < whole.count()
     assert sorted(map(tuple, again.select(*keys).collect())) == sorted(map(tuple, whole.select(*keys).collect()))
+
+
+@pytest.mark.parametrize("idle_windows", [None, 2])
+def test_sources_of_one_bucket_do_not_touch_each_other(spark, batches, idle_windows):
+    """Sources that share a state value and a timer have the rows they have apart."""
+    def rows(buckets):
+        stream = rounds.trust_stream(read(spark, batches), window="1 day", window_ms=rounds.DAY_MS, idle_windows=idle_windows, buckets=buckets)
+        return sorted(rounds.run_stream(stream, f"buckets-{buckets}").select("client_id", "round", "event", "trust", "alert").collect())
+
+    apart = rows(997)
+    assert {r["client_id"] for r in apart} == {"x", "y"}
+    assert rows(1) == apart
