@@ -46,7 +46,8 @@ def scan_mixed_sources(spark: SparkSession, paths: list[str], fmt: str = "csv")
         return union_sources([merged.withColumn("source_name", F.col("_metadata.file_name"))])
     rows = scan_headed(spark, paths).filter("NOT bad_row").drop("file_path", "bad_row")
     numeric = [c for c in rows.columns if c != "source_name" and _holds_numbers(rows, c)]
-    return rows.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in numeric})
+    united = rows.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in numeric})
+    return united.select(*[F.col(f"`{c}`") for c in sorted(united.columns)])
 
 
 def scan_headed(spark: SparkSession, paths: list[str]) -> DataFrame:
