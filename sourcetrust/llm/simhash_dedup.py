@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sourcetrust.llm.components import components
-from sourcetrust.llm.tables import Workspace, linked, whole_groups
+from sourcetrust.llm.tables import Workspace, fresh_worker, linked, whole_groups
 
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, bits
 MOST = 4  # differing bits
@@ -51,6 +51,7 @@ def fingerprints(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle
     """id, fp (bigint) per row; null text counts as empty and has fingerprint zero."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             values = [text_fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             column = pa.array(np.array(values, np.uint64).view(np.int64))

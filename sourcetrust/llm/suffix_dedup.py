@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from sourcetrust.llm.tables import Workspace, whole_groups
+from sourcetrust.llm.tables import Workspace, fresh_worker, whole_groups
 
 GRAM = 32
 PLACE_BITS = 20  # documents are scanned in pieces of at most 2**20 bytes
@@ -237,6 +237,7 @@ def _found(texts: DataFrame, length: int) -> DataFrame:
     """gram, segment, id, n: the segments of every document, those repeated inside it once."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at in range(0, batch.num_rows, 512):
@@ -317,6 +318,7 @@ def _sharded(shipped: DataFrame, length: int) -> DataFrame:
     """Repeated windows of segments seen once (offsets), and the windows of divided grams, packed by slice."""
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for table in whole_groups(batches, "shard", SHARD_BYTES, "bytes"):
             # an id that is not unique can ship a segment twice
             keep = np.unique(table.column("segment").to_numpy(), return_index=True)[1]

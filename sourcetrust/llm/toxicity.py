@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from sourcetrust.llm.tables import Memory, worker_value
+from sourcetrust.llm.tables import Memory, fresh_worker, worker_value
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -149,6 +149,16 @@ def held_out(id_):
     return F.crc32(id_.cast("string").cast("binary")) % 3 == HELD_OUT
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fresh_worker()
+    for batch in batches:
+        made = [bag(t.as_py()) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(1),
+            pa.array([r.tobytes() for r, _ in made], pa.binary()), pa.array([w.tobytes() for _, w in made], pa.binary()),
+        ], ["id", "y", "rows", "weights"])
+
+
 def train(
     df: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text", label: str = "toxic",
     fit_toxic: int = 2000, fit_clean: int = 4000,
@@ -167,15 +177,8 @@ def train(
     ]
     sample = parts[0].unionByName(parts[1])  # bounded: fit_toxic + fit_clean ids and labels
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [bag(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1),
-                pa.array([r.tobytes() for r, _ in made], pa.binary()), pa.array([w.tobytes() for _, w in made], pa.binary()),
-            ], ["id", "y", "rows", "weights"])
-
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         rows, weights, counts, y = [np.empty(0, np.int32)], [np.empty(0, np.float32)], [], []
         for batch in batches:
             y += batch.column(1).to_pylist()
@@ -191,7 +194,7 @@ def train(
 
     texts = df.select(F.col(id_).alias("_id"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     taken = texts.join(F.broadcast(sample), "_id").select(F.col("_id").cast("string"), "_y", "_text")
-    bagged = taken.mapInArrow(bags, "id string, y int, rows binary, weights binary")
+    bagged = taken.mapInArrow(_bags, "id string, y int, rows binary, weights binary")
     model = bagged.repartition(1).sortWithinPartitions("id", "y").mapInArrow(fitted, "logits binary, bias binary").first()
     if model is None:  # no labelled row: no task has run
         return fit(np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.int64))
@@ -208,7 +211,10 @@ def score_texts(df: DataFrame, model: Model, id_: str = "doc_id", text: str = "t
     trained = dict(zip(at.tolist(), map(tuple, model.logits[at].astype(float).tolist()), strict=True))
     bias, version = model.bias, zlib.crc32(model.logits.tobytes())
     kept = [c for c in df.columns if c != out]
-    rows = df.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    # the text travels once: inside the row, or beside it where `out` replaces it
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    place = kept.index(text) if text in kept else None
+    rows = df.select(row) if place is not None else df.select(row, F.col(text).alias("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def weigh(word: str):
@@ -228,13 +234,13 @@ def score_texts(df: DataFrame, model: Model, id_: str = "doc_id", text: str = "t
         words.make, chunks.make = weigh, look_up
         for batch in batches:
             values = []
-            for text_ in batch.column(0):
+            for text_ in batch.column(1) if place is None else batch.column(0).field(place):
                 found = list(map(chunks.__getitem__, (text_.as_py() or "").split()))
                 marked = [f for f in found if f]
                 n = max(1, len(found) - found.count(NO_WORD))
                 sums = np.array([sum(f[0] for f in marked), sum(f[1] for f in marked)])
                 values.append(scorer.score(sums / n))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values, pa.float64())], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["row", "score"])
 
     found = rows.mapInArrow(scored, StructType().add("row", rows.schema["row"].dataType).add("score", "double"))
     return found.select(*[F.col("row")[c].alias(c) for c in kept], F.col("score").alias(out))

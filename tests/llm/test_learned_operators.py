@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import sys
 import zlib
 from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
 import pytest
-from sourcetrust.llm import embedding_dedup, packing, toxicity
+from sourcetrust.llm import embedding_dedup, packing, tables, toxicity
 from sourcetrust.llm.queries import vocabulary
 from tokenizers import Tokenizer
 
@@ -174,3 +175,10 @@ def test_pipeline_end_to_end(spark, tmp_path):
     for r in stage.collect():
         pieces[r.doc_id] += r.length
     assert pieces == {i: len(theirs.encode(t, add_special_tokens=False).ids) + 1 for i, t in left.items()}
+
+
+def test_what_another_operator_remembered_goes_before_texts_are_read():
+    """The pipeline's toxicity stage ran beside the words that the packing stage had remembered."""
+    tables.worker_value("encoder of an earlier stage", lambda: [1])
+    assert list(toxicity._bags(iter([]))) == []
+    assert sys.modules["_sourcetrust_worker"].value is None
