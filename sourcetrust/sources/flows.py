@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -62,7 +66,8 @@ def scan_headed(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_start"),
     ).filter("trim(value) <> ''")
     # the block that begins a file is read by one task, in order
-    heads = sized(lines.filter("_start = 0").groupBy("file_path").agg(F.first("value").alias("_head")))
+    begun = lines.filter("_start = 0").select("file_path", F.col("value").alias("_head"))
+    heads = sized(begun.mapInArrow(_first_lines, begun.schema))
     kinds = [r["_head"] for r in heads.table.select("_head").distinct().collect()]
     width = max((len(_fields(h)) for h in kinds), default=0)
     shape = ", ".join(f"c{i} string" for i in range(width + 1))
@@ -78,6 +83,18 @@ def scan_headed(spark: SparkSession, paths: list[str]) -> DataFrame:
     return marked.select(*[F.try_element_at("_map", F.lit(n)).alias(n) for n in names], "source_name", "file_path", "bad_row")
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each file, whose rows follow each other; an aggregate of texts would sort them all."""
+    last = None
+    for batch in batches:
+        files = batch.column(0)
+        changed = pc.not_equal(files.slice(1), files.slice(0, max(0, len(files) - 1))).to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(np.concatenate([[files[0].as_py() != last], changed])) if len(files) else []
+        last = files[-1].as_py() if len(files) else last
+        if len(begins):
+            yield batch.take(pa.array(begins))
+
+
 def _fields(line: str) -> list[str]:
     return [f.strip() for f in next(csv.reader([line]))]
 

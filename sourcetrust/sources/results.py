@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sourcetrust.operators.joins import lookup_join, sized
+
 # fixed values: metric titles as logs print them, and the columns of a comparison row
 LOG_METRICS = {"accuracy": "Accuracy", "f1_score": "F1 Score", "precision": "Precision", "recall": "Recall"}
 TABLE_METRICS = {"accuracy": "Accuracy", "f1_score": "F1-Score"}
@@ -35,10 +37,15 @@ def write_results(results: DataFrame, path: str, fmt: str = "json", mode: str =
     results.write.mode(mode).format(fmt).save(path)
 
 
-def write_sources(df: DataFrame, path: str, fmt: str = "parquet", source: str = "client_id") -> None:
-    """One folder per source. Rebalancing splits a hot source over several files and keeps
-    small ones from being scattered over many."""
-    writer = df.hint("rebalance", source).write.mode("overwrite").partitionBy(source)
+def write_sources(df: DataFrame, path: str, fmt: str = "parquet", source: str = "client_id", rows_per_file: int = 250_000) -> None:
+    """One folder per source. A source is divided by a hash of its rows into files of about `rows_per_file`
+    rows, so what a task sorts does not grow with the source; a smaller one is one file."""
+    name = F.coalesce(F.col(source).cast("string"), F.lit("\x00"))
+    counts = sized(df.groupBy(name.alias("_source")).agg(F.ceil(F.count("*") / rows_per_file).alias("_files")))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+    dealt = lookup_join(df.withColumn("_source", name), counts, ["_source"]).withColumn("_file", F.pmod(row, F.col("_files")))
+    tasks = max(1, counts.table.agg(F.sum("_files")).first()[0] or 0)
+    writer = dealt.repartition(tasks, "_source", "_file").select(*df.columns).write.mode("overwrite").partitionBy(source)
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 

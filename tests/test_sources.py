@@ -171,3 +171,25 @@ def test_trust_rows_of_logs(spark):
     table = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, log string")
     got = table.select("i", results.trust_row(F.col("log")), results.trust_number(F.col("log"))).collect()
     assert [tuple(r)[1:] for r in sorted(got)] == [c[1:] for c in cases]
+
+
+def test_large_sources_are_divided_into_files(spark, tmp_path):
+    """What one task of the writer sorts does not grow with its source, even where one task has read it all."""
+    df = spark.range(0, 2100, 1, 1).select(F.when(F.col("id") < 2000, "large").when(F.col("id") < 2090, "small").alias("client_id"), "id")
+    results.write_sources(df, str(tmp_path / "out"), "csv", rows_per_file=200)
+    back = spark.read.option("header", True).csv(str(tmp_path / "out")).withColumn("file", F.col("_metadata.file_path"))
+    files = {r["client_id"]: (r["n"], r["files"], r["most"]) for r in back.groupBy("client_id", "file").count().groupBy("client_id").agg(
+        F.sum("count").alias("n"), F.count("*").alias("files"), F.max("count").alias("most")).collect()}
+    assert files["small"][:2] == (90, 1) and files[None][:2] == (10, 1)
+    assert files["large"][0] == 2000 and files["large"][1] > 3 and files["large"][2] < 2000
+
+
+def test_first_lines_of_files_need_no_sort(spark, tmp_path):
+    """The first line of a file is found as its lines pass by, whatever stands in a batch."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"file_path": list(f), "_head": h}) for f, h in (
+        ("aab", ["h1", "1", "h2"]), ("bb", ["2", "3"]), ("", []), ("bc", ["4", "h3"]))]
+    batches[2] = batches[0].slice(0, 0)
+    found = [tuple(r.values()) for b in flows._first_lines(iter(batches)) for r in b.to_pylist()]
+    assert found == [("a", "h1"), ("b", "h2"), ("c", "h3")]
