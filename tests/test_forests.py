@@ -115,6 +115,25 @@ def test_boosted_trees_equal_their_twin(spark):
         assert np.allclose([scored[r[1]] for r in own], 1 / (1 + np.exp(-margin)), atol=1e-9)
 
 
+def test_rows_in_the_same_bins_grow_as_one(spark, monkeypatch):
+    """What a level reads is bounded by the bins, not by the rows; the trees are those of single rows."""
+    data, growth, seen, grow = rows(8), forests.Growth(trees=3, depth=4, features=2, min_leaf=5), [], forests.grow
+    monkeypatch.setattr(forests, "grow", lambda rows, *a: (seen.append(rows.count()), grow(rows, *a))[1])
+    data += [(s, None, x, y) for s, _, x, y in data[:30]] + [("hot", "r1", None, 0), ("hot", "r2", [None, float("nan"), 1.0, 0.5], 1)]
+    table = spark.createDataFrame(data, ROWS).repartition(4)
+    found = [sorted(map(str, forests.fit_forests(table, growth, EDGES).collect()))]
+    monkeypatch.setattr(forests, "MAX_BIN_CELLS", 1)
+    found.append(sorted(map(str, forests.fit_forests(table, growth, EDGES).collect())))
+    assert found[0] == found[1] and seen[1] == len(data)
+    assert seen[0] == len({(s, y, *(bisect_left(e, v) for e, v in zip(EDGES, x))) for s, _, x, y in data[:-2]} | {("hot", 0, 0, 0, 0, 0), ("hot", 1, 0, 4, 1, 0)})
+
+
+def test_poisson_weights_are_those_of_the_uniform_draw(spark):
+    weights = forests._weighted(spark.range(3_000).selectExpr("cast(id as string) as key"), forests.Growth(trees=2)).collect()
+    draws = [[int(digest(42, i, tree)[:8], 16) / 2**32 for tree in range(2)] for i in range(3_000)]
+    assert [list(r) for r in weights] == [[sum(d >= p for p in forests.POISSON) for d in two] for two in draws]
+
+
 def test_forest_scores_and_importances(spark):
     data = rows(5)
     table = spark.createDataFrame(data, ROWS)
@@ -135,6 +154,8 @@ def test_bin_edges_and_empty_tables(spark):
     table = spark.createDataFrame(rows(6), ROWS)
     edges = forests.bin_edges(table, 8)
     assert len(edges) == 4 and all(e == sorted(set(e)) and len(e) <= 7 for e in edges)
+    ragged = spark.createDataFrame([("a", "1", None, 0), ("a", "2", [1.0], 1), ("a", "3", [2.0, 5.0], 1)], ROWS).coalesce(1)
+    assert forests.bin_edges(ragged, 2) == [[1.0], [5.0]] and forests.bin_edges(ragged.limit(0), 2) == []
     assert forests.fit_forests(table.limit(0), forests.Growth(trees=2), EDGES).count() == 0
 
 
